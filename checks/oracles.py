@@ -185,7 +185,7 @@ AGE_CATEGORY = (
 
 def dates(name, i, c, k) -> str:
     """One row for a date column (declared, or mostly date-like text), else none."""
-    chosen = "true" if k == "D" else f"avg(regexp_matches({c}, '{DATE_LIKE}')::INT) > 0.7"
+    chosen = "count(*) >= 0" if k == "D" else f"avg(regexp_matches({c}, '{DATE_LIKE}')::INT) > 0.7"
     now = f"TIMESTAMP '{AS_OF}'"
     return f"""
 SELECT strftime(lo, '%Y-%m-%d') AS min_date, strftime(hi, '%Y-%m-%d') AS max_date,
@@ -195,7 +195,7 @@ FROM (SELECT *, {days(now, 'hi')} AS r
       FROM (SELECT min(d) AS lo, max(d) AS hi, count(d) AS valid,
                    count(*) FILTER ({days(now, 'd')} > 365) AS old
             FROM (SELECT {date_expr(c, k)}::TIMESTAMP AS d FROM {name})
-            WHERE (SELECT {chosen} FROM {name})) WHERE valid > 0 OR (SELECT {chosen} FROM {name}))"""
+            HAVING (SELECT coalesce({chosen}, false) FROM {name})))"""
 
 
 def checks(name, i, c, k) -> str:

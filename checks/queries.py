@@ -17,7 +17,7 @@ from tabgauge.operators import (
     relations, remediate, schema, timeliness, trend, uniqueness, validity,
 )
 from tabgauge.plans import history, insights, report, summary
-from tabgauge.plans.assess import Options, assess, metrics
+from tabgauge.plans.assess import Assessment, Options, assess, metrics
 from tabgauge.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,19 +64,31 @@ def _without_ordinal(make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFr
     return lambda df: make(df).drop("ordinal")
 
 
-def assessment(spark: SparkSession, folder: str, *names: str):
+_ASSESSMENTS: dict[tuple[str, str], Assessment] = {}
+
+
+def assessment(spark: SparkSession, folder: str) -> Assessment:
     """The whole assessment of the views with dirt in them."""
-    dataset = {n: spark_input(spark, folder, n) for n in names or ASSESSED}
+    dataset = {n: spark_input(spark, folder, n) for n in ASSESSED}
     return assess(dataset, Options(as_of=AS_OF, rules={"dirty_lineitem": RULES}))
 
 
+def shared_assessment(spark: SparkSession, folder: str) -> Assessment:
+    """The same, once per session: scores, issues, insights and reports all
+    derive from one assessment, which is a few small tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _ASSESSMENTS:
+        _ASSESSMENTS[key] = assessment(spark, folder)
+    return _ASSESSMENTS[key]
+
+
 def assessed(make: Callable) -> Query:
-    return lambda spark, folder: rounded(make(assessment(spark, folder)))
+    return lambda spark, folder: rounded(make(shared_assessment(spark, folder)))
 
 
 def ranked(make: Callable) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        result = assessment(spark, folder)
+        result = shared_assessment(spark, folder)
         found = insights.prioritized(insights.insights(insights.signals(result)))
         return rounded(make(found, summary.overall_scores(result)))
 
@@ -320,7 +332,7 @@ def queries() -> dict[str, Query]:
     # Assessment, issues, advice
     q["assessment_scores"] = assessed(summary.dimension_scores)
     q["overall_scores"] = assessed(summary.overall_scores)
-    q["assessment_metrics"] = assessed(metrics)
+    q["assessment_metrics"] = lambda spark, folder: rounded(metrics(assessment(spark, folder)))
     q["top_issues"] = assessed(summary.top_issues)
     q["table_issues"] = assessed(summary.table_issues)
     q["dimension_recommendations"] = assessed(
@@ -346,7 +358,7 @@ def queries() -> dict[str, Query]:
     q["insights"] = ranked(lambda found, scores: _insight_rows(found))
     q["insight_priority"] = lambda spark, folder: rounded(
         insights.prioritized(
-            insights.insights(insights.signals(assessment(spark, folder))), "validity"
+            insights.insights(insights.signals(shared_assessment(spark, folder))), "validity"
         ).select("rank", "table", "rule", F.coalesce("column", F.lit("")).alias("column"), "priority_score")
     )
     q["top_recommendations"] = ranked(

@@ -8,19 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Tried in this order on text; month-first wins over day-first when both fit.
-TEXT_FORMATS = (
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "M-d-yyyy",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "yyyyMMdd",
-    "yyyy-M",
-    "yyyy/M",
-    "yyMMdd",
+# Ways of writing a date, as (pattern, replacement) that turns it into
+# year-month-day; month-first wins over day-first when both fit.
+TEXT_FORMS = (
+    (r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})$", "$1-$2-$3"),
+    (r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})$", "$3-$1-$2"),
+    (r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})$", "$3-$2-$1"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+    (r"^([0-9]{4})[-/]([0-9]{1,2})$", "$1-$2-01"),
+    (r"^([0-9]{2})([0-9]{2})([0-9]{2})$", "20$1-$2-$3"),
 )
+_DATE = r"^[0-9]{1,4}[-/]?[0-9]{1,2}([-/]?[0-9]{1,4})?$"
+_MOMENT = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]"
 
 _MICROS_PER_DAY = 86_400_000_000
 
@@ -35,14 +34,17 @@ def moment(as_of: str | date | datetime | None) -> Column:
 def parse_date(text: Column) -> Column:
     """Timestamp of a date text, NULL when it is no date.
 
-    The length test keeps long text away from the parsers.
+    The length test keeps long text away from the patterns; what passes them is
+    rewritten as year-month-day and cast, which never raises.
     """
-    iso = F.when(
-        text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T]"), text
-    ).try_cast("timestamp")
-    attempts = [F.try_to_timestamp(text, F.lit(f)) for f in TEXT_FORMATS]
-    return F.when(
-        (F.length(text) <= 40) & text.rlike("^[0-9]"), F.coalesce(iso, *attempts)
+    forms = [
+        F.when(text.rlike(pattern), F.regexp_replace(text, pattern, form)).try_cast("timestamp")
+        for pattern, form in TEXT_FORMS
+    ]
+    return (
+        F.when(F.length(text) > 40, F.lit(None).cast("timestamp"))
+        .when(text.rlike(_DATE), F.coalesce(*forms))
+        .when(text.rlike(_MOMENT), text.try_cast("timestamp"))
     )
 
 

@@ -40,17 +40,24 @@ def is_title(text: Column) -> Column:
 
 
 def type_class(text: Column) -> Column:
-    """What a text value looks like: one of ``TYPE_CLASSES``."""
+    """What a text value looks like: one of ``TYPE_CLASSES``.
+
+    Most text is recognised by its first character, without any pattern.
+    """
+    starts_number = F.substring(text, 1, 1).isin(*"+-.0123456789")
     return (
         F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(text.rlike(r"^(?i:true|false)$"), "boolean")
+        .when((F.length(text) <= 5) & F.lower(text).isin("true", "false"), "boolean")
+        .when(~starts_number, "text")
         .when(text.rlike(r"^[+-]?[0-9]+$"), "integer")
         .when(
             text.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"),
             "float",
         )
         .when(
-            text.rlike(r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4})$"),
+            text.rlike(
+                r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4})$"
+            ),
             "date",
         )
         .otherwise("text")

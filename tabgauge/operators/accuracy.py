@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabgauge.functions import fixed
-from tabgauge.functions.columns import kind_of, percent, present, ref
+from tabgauge.functions.columns import kind_of, percent, present
 from tabgauge.functions.scoring import step_score
 from tabgauge.functions.text import is_lower, is_title, is_upper
-from tabgauge.operators.consistency import numeric_fields, spread_measures
-from tabgauge.operators.measures import combined, measure_columns, size_measures
+from tabgauge.operators.consistency import SPREAD, numeric_fields, with_counts
+from tabgauge.operators.measures import SIZE, VALUE, Measures, combined, measure
 
 Moments = dict[str, tuple[float | None, float | None]]
 
@@ -21,68 +20,72 @@ def moments(df: DataFrame) -> Moments:
     fields = numeric_fields(df)
     if not fields:
         return {}
-    rows = measure_columns(df, spread_measures, fields).select("column", "mean", "std").collect()
+    rows = measure(df, SPREAD, fields).select("column", "mean", "std").collect()
     return {r["column"]: (r["mean"], r["std"]) for r in rows}
 
 
-def distance_measures(found: Moments, limit: float = fixed.Z_LIMIT):
-    """Values more than ``limit`` standard deviations from the mean."""
-
-    def measures(field: T.StructField, prefix: str):
+def far_from_mean(
+    df: DataFrame, found: Moments, limit: float = fixed.Z_LIMIT
+) -> dict[str, Column]:
+    """Per numeric column with values: is it more than ``limit`` deviations off?"""
+    conditions = {}
+    for field in numeric_fields(df):
         mean, std = found.get(field.name, (None, None))
-        if mean is None:
-            return {}, {"z_outlier_count": F.lit(None).cast("bigint")}
-        if not std > 0:
-            return {}, {"z_outlier_count": F.lit(0).cast("bigint")}
-        value = present(field).cast("double")
-        return (
-            {"distant": F.abs((value - mean) / std) > limit},
-            {"z_outlier_count": F.count_if(F.col(prefix + "distant"))},
-        )
-
-    return measures
+        if mean is not None:
+            value = present(field).cast("double")
+            distance = F.abs((value - mean) / std) if std > 0 else F.lit(0.0)
+            conditions[field.name] = distance > limit
+    return conditions
 
 
 def with_numeric_accuracy(measured: DataFrame) -> DataFrame:
     share = percent(F.col("z_outlier_count"), F.col("row_count") - F.col("missing_count"))
-    return measured.withColumn("z_outlier_percentage", share).withColumn(
-        "numeric_accuracy_score",
-        step_score(100.0 - F.col("z_outlier_percentage"), "numeric_accuracy"),
+    return measured.withColumns(
+        {
+            "z_outlier_percentage": share,
+            "numeric_accuracy_score": step_score(100.0 - share, "numeric_accuracy"),
+        }
     )
 
 
 def zscore_outliers(df: DataFrame, z_limit: float = fixed.Z_LIMIT) -> DataFrame:
     """Distant values per numeric column; columns without values are left out."""
-    measures = combined(size_measures, distance_measures(moments(df), z_limit))
+    measured = measure(df, SIZE, numeric_fields(df))
+    distant = {"z_outlier_count": far_from_mean(df, moments(df), z_limit)}
     return (
-        with_numeric_accuracy(measure_columns(df, measures, numeric_fields(df)))
+        with_numeric_accuracy(with_counts(measured, df, distant))
         .where("z_outlier_count IS NOT NULL")
         .select("ordinal", "column", "z_outlier_count", "z_outlier_percentage", "numeric_accuracy_score")
     )
 
 
-def style_measures(field: T.StructField, prefix: str):
-    """Text values in lower case, upper case and title case."""
-    if kind_of(field.dataType) != "Text":
-        nothing = F.lit(None).cast("bigint")
-        return {}, {"lower_count": nothing, "upper_count": nothing, "title_count": nothing}
-    text = ref(field.name)
+def _styles(kind: str):
+    if kind != "Text":
+        return {}, {}
+    text = F.col(VALUE)
     tests = {"lower": is_lower(text), "upper": is_upper(text), "title": is_title(text)}
-    return tests, {f"{style}_count": F.count_if(F.col(prefix + style)) for style in tests}
+    return tests, {f"{style}_count": F.count_if(F.col(style)) for style in tests}
+
+
+# Text values in lower case, upper case and title case.
+STYLES = Measures({f"{s}_count": "bigint" for s in ("lower", "upper", "title")}, _styles)
 
 
 def with_text_accuracy(measured: DataFrame) -> DataFrame:
     leading = F.greatest("lower_count", "upper_count", "title_count")
     share = percent(leading, F.col("row_count") - F.col("missing_count"))
-    return measured.withColumn("style_percentage", share).withColumn(
-        "text_accuracy_score", step_score(F.col("style_percentage"), "text_accuracy")
+    return measured.withColumns(
+        {
+            "style_percentage": share,
+            "text_accuracy_score": step_score(share, "text_accuracy"),
+        }
     )
 
 
 def text_style(df: DataFrame) -> DataFrame:
     """Share of the leading capitalisation style per text column."""
     fields = [f for f in df.schema.fields if kind_of(f.dataType) == "Text"]
-    measured = measure_columns(df, combined(size_measures, style_measures), fields)
+    measured = measure(df, combined(SIZE, STYLES), fields)
     return (
         with_text_accuracy(measured)
         .where("row_count > missing_count")
@@ -106,6 +109,7 @@ def overall_from_columns(columns: DataFrame, *keys: str) -> DataFrame:
 
 
 def accuracy_overall(df: DataFrame, z_limit: float = fixed.Z_LIMIT) -> DataFrame:
-    measures = combined(size_measures, style_measures, distance_measures(moments(df), z_limit))
-    measured = measure_columns(df, measures)
-    return overall_from_columns(with_text_accuracy(with_numeric_accuracy(measured)))
+    measured = measure(df, combined(SIZE, STYLES))
+    distant = {"z_outlier_count": far_from_mean(df, moments(df), z_limit)}
+    counted = with_counts(measured, df, distant)
+    return overall_from_columns(with_text_accuracy(with_numeric_accuracy(counted)))

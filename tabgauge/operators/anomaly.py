@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.columns import field_of, names_of_kind, percent, present
 from tabgauge.operators.distribution import histogram
-from tabgauge.operators.quantiles import exact_quantiles, spread
+from tabgauge.operators.quantiles import exact_quantiles
+from tabgauge.operators.small import spread
 
 _NODES = (
     "tree int, node int, feature int, threshold double, left_node int, right_node int,"

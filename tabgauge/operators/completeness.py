@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.columns import missing, percent, ref
 from tabgauge.functions.scoring import step_score
-from tabgauge.operators.measures import measure_columns, size_measures
+from tabgauge.operators.measures import SIZE, measure
 
 
 def with_completeness(measured: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def with_completeness(measured: DataFrame) -> DataFrame:
 
 def completeness_columns(df: DataFrame) -> DataFrame:
     """Missing count, share of values present and score per column."""
-    return with_completeness(measure_columns(df, size_measures))
+    return with_completeness(measure(df, SIZE)).drop("dtype", "kind")
 
 
 def completeness_overall(df: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def top_incomplete(df: DataFrame, rows: int = 5) -> DataFrame:
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Columns with missing values: count and share, worst first."""
     return (
-        measure_columns(df, size_measures)
+        measure(df, SIZE)
         .where("missing_count > 0")
         .select(
             "column",
@@ -75,7 +75,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def valid_and_missing(df: DataFrame) -> DataFrame:
     """Chart data: valid and missing values per column."""
-    return measure_columns(df, size_measures).select(
+    return measure(df, SIZE).select(
         "column",
         (F.col("row_count") - F.col("missing_count")).alias("valid"),
         F.col("missing_count").alias("missing"),

@@ -10,40 +10,40 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgauge.functions import fixed
-from tabgauge.functions.columns import kind_of, present
+from tabgauge.functions.columns import present
 from tabgauge.functions.scoring import distribution_quality
-from tabgauge.operators.consistency import numeric_fields, quartiles
-from tabgauge.operators.measures import measure_columns
+from tabgauge.operators.consistency import SPREAD, Quartiles, numeric_fields, quartiles
+from tabgauge.operators.measures import SIZE, VALUE, Measures, combined, measure
 
 _BINS_PER_BLOCK = 10_000
 
 
-def skewness_measures(field: T.StructField, prefix: str):
-    """Number of values and sample skewness of a numeric column."""
-    if kind_of(field.dataType) != "Numeric":
-        return {}, {"values": F.lit(None).cast("bigint"), "skewness": F.lit(None).cast("double")}
-    value = F.col(prefix + "skew_value")
-    n = F.count(value).cast("double")
+def _skew(kind: str):
+    if kind != "Numeric":
+        return {}, {}
+    n = F.count(VALUE).cast("double")
     correction = F.sqrt(n * (n - 1)) / (n - 2)
-    skew = F.when(F.min(value) < F.max(value), F.skewness(value) * correction).otherwise(0.0)
-    return (
-        {"skew_value": present(field).cast("double")},
-        {
-            "values": F.count(value),
-            "skewness": F.when(n >= fixed.MIN_DISTRIBUTION_ROWS, skew),
-        },
-    )
+    skew = F.when(F.min(VALUE) < F.max(VALUE), F.skewness(VALUE) * correction).otherwise(0.0)
+    return {}, {
+        "values": F.count(VALUE),
+        "skewness": F.when(n >= fixed.MIN_DISTRIBUTION_ROWS, skew),
+    }
+
+
+# Number of values and sample skewness of numeric columns.
+SKEW = Measures({"values": "bigint", "skewness": "double"}, _skew)
 
 
 def skewness(df: DataFrame) -> DataFrame:
     """Sample skewness per numeric column with enough values."""
     return (
-        measure_columns(df, skewness_measures, numeric_fields(df))
+        measure(df, SKEW, numeric_fields(df))
         .where("skewness IS NOT NULL")
         .select("ordinal", "column", "skewness")
     )
@@ -90,27 +90,26 @@ def bins_of(df: DataFrame, bins: int | None = None) -> dict[str, Bins]:
     fields = numeric_fields(df)
     if not fields:
         return {}
+    sizes = measure(df, combined(SIZE, SPREAD), fields).collect()
+    return bins_from(df, sizes, quartiles(df) if bins is None else {}, bins)
 
-    def extremes(field: T.StructField, prefix: str):
-        value = F.col(prefix + "value")
-        return (
-            {"value": present(field).cast("double")},
-            {"values": F.count(value), "low": F.min(value), "high": F.max(value)},
-        )
 
-    found = quartiles(df) if bins is None else {}
+def bins_from(
+    df: DataFrame, sizes: list[Row], found: Quartiles, bins: int | None = None
+) -> dict[str, Bins]:
+    """Bins from measures taken before: one row per numeric column."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     result = {}
-    for row in measure_columns(df, extremes, fields).collect():
-        if row["values"]:
-            number = bins
-            if number is None:
-                first, _, third = found[row["column"]]
-                data_type = next(f.dataType for f in fields if f.name == row["column"])
-                number = auto_bins(
-                    row["values"], row["low"], row["high"], third - first,
-                    isinstance(data_type, T.IntegralType),
-                )
-            result[row["column"]] = Bins(row["low"], row["high"], number)
+    for row in sizes:
+        name, count = row["column"], row["row_count"] - row["missing_count"]
+        if row["min"] is None:
+            continue
+        number = bins
+        if number is None:
+            first, _, third = found[name]
+            whole = isinstance(types[name], T.IntegralType)
+            number = auto_bins(count, row["min"], row["max"], third - first, whole)
+        result[name] = Bins(row["min"], row["max"], number)
     return result
 
 
@@ -135,10 +134,13 @@ def histogram(df: DataFrame, bins: int | None = None) -> DataFrame:
     found = bins_of(df, bins)
     if not found:
         raise ValueError("the table has no numeric values")
-    layout = df.sparkSession.createDataFrame(
-        [(name, b.low, b.high, b.step, b.count) for name, b in found.items()],
-        "column string, low double, high double, step double, bins int",
+    rows = pa.Table.from_pylist(
+        [
+            {"column": n, "low": b.low, "high": b.high, "step": b.step, "bins": b.count}
+            for n, b in found.items()
+        ]
     )
+    layout = df.sparkSession.createDataFrame(rows)
     blocks = layout.withColumn(
         "block", F.explode(F.expr(f"sequence(0, (bins - 1) div {_BINS_PER_BLOCK})"))
     )
@@ -167,7 +169,10 @@ def histogram(df: DataFrame, bins: int | None = None) -> DataFrame:
 
 def peaks(df: DataFrame, bins: int | None = None) -> DataFrame:
     """Inner bins fuller than both neighbours, per numeric column."""
-    found = bins_of(df, bins)
+    return peaks_in(df, bins_of(df, bins))
+
+
+def peaks_in(df: DataFrame, found: dict[str, Bins]) -> DataFrame:
     last = F.create_map(*[x for n, b in found.items() for x in (F.lit(n), F.lit(b.count - 1))])
     seen = bin_counts(df, found).select(
         "column",

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tabgauge.functions.columns import field_of, grouping_key, kind_of, percent, present, ref
 from tabgauge.functions.dates import as_timestamp, elapsed_days
 from tabgauge.operators.completeness import completeness_overall
-from tabgauge.operators.consistency import fence_measures, numeric_fields, quartiles, spread_measures
-from tabgauge.operators.measures import combined, measure_columns, size_measures
+from tabgauge.operators.consistency import (
+    SPREAD, numeric_fields, outside_fences, quartiles, with_counts, with_quartiles,
+)
+from tabgauge.operators.measures import SIZE, VALUE, Measures, combined, local_rows, measure
 from tabgauge.operators.uniqueness import distinct_counts, duplicate_rows, value_groups
 
 
@@ -45,8 +47,8 @@ def _with_distinct(measured: DataFrame, df: DataFrame, fields) -> DataFrame:
 def numeric_profile(df: DataFrame) -> DataFrame:
     """Count, missing, mean, median, extremes, deviation, distinct values."""
     fields = numeric_fields(df)
-    measures = combined(size_measures, spread_measures, fence_measures(quartiles(df)))
-    return _with_distinct(measure_columns(df, measures, fields), df, fields).select(
+    measured = with_quartiles(measure(df, combined(SIZE, SPREAD), fields), quartiles(df))
+    return _with_distinct(measured, df, fields).select(
         "column",
         (F.col("row_count") - F.col("missing_count")).alias("count"),
         F.col("missing_count").alias("missing"),
@@ -59,15 +61,11 @@ def date_profile(df: DataFrame) -> DataFrame:
     """Count, missing, earliest, latest, days between, distinct values."""
     fields = [f for f in df.schema.fields if kind_of(f.dataType) == "DateTime"]
 
-    def measures(field, prefix):
-        when = F.col(prefix + "when")
-        return (
-            {"when": as_timestamp(present(field), field.dataType)},
-            {"earliest": F.min(when), "latest": F.max(when)},
-        )
-
-    measured = measure_columns(df, combined(size_measures, measures), fields)
-    return _with_distinct(measured, df, fields).select(
+    ends = Measures(
+        {"earliest": "timestamp", "latest": "timestamp"},
+        lambda kind: ({}, {"earliest": F.min(VALUE), "latest": F.max(VALUE)}),
+    )
+    return _with_distinct(measure(df, combined(SIZE, ends), fields), df, fields).select(
         "column",
         (F.col("row_count") - F.col("missing_count")).alias("count"),
         F.col("missing_count").alias("missing"),
@@ -101,33 +99,41 @@ def text_profile(df: DataFrame) -> DataFrame:
         )
         for groups in value_groups(texts)
     ]
-    leaders = {r["position"]: r for r in reduce(DataFrame.unionByName, ranked).collect()}
-    by_column = {name: leaders.get(f"p{i}") for i, name in enumerate(texts.columns)}
-
-    def most_common(field, prefix):
-        leader = by_column[field.name]
-        if leader is None:
-            return {}, {
-                "unique_values": F.lit(0).cast("bigint"),
-                "most_common": F.lit(None).cast("string"),
-                "most_common_count": F.lit(0).cast("bigint"),
+    leaders = reduce(DataFrame.unionByName, ranked).collect()
+    by_column = {texts.columns[int(r["position"][1:])]: r for r in leaders}
+    wanted = [
+        F.min(F.when(grouping_key(f) == F.lit(by_column[f.name]["best"]["value"]), ref(f.name))).alias(f.name)
+        for f in texts.schema.fields
+        if f.name in by_column
+    ]
+    looked_up = texts.agg(*wanted).first().asDict() if wanted else {}
+    common = local_rows(
+        df.sparkSession,
+        [
+            {
+                "column": name,
+                "unique_values": r["unique_values"],
+                "most_common": looked_up[name],
+                "most_common_count": -r["best"]["rank"],
             }
-        wanted = grouping_key(field) == F.lit(leader["best"]["value"])
-        return {"leader": F.when(wanted, ref(field.name))}, {
-            "unique_values": F.lit(leader["unique_values"]).cast("bigint"),
-            "most_common": F.min(prefix + "leader"),
-            "most_common_count": F.lit(-leader["best"]["rank"]).cast("bigint"),
-        }
-
+            for name, r in by_column.items()
+        ],
+        "column string, unique_values bigint, most_common string, most_common_count bigint",
+    )
     count = F.col("row_count") - F.col("missing_count")
-    return measure_columns(texts, combined(size_measures, most_common)).select(
-        "column",
-        count.alias("count"),
-        F.col("missing_count").alias("missing"),
-        percent(F.col("missing_count"), F.col("row_count")).alias("missing_percentage"),
-        "unique_values", "most_common", "most_common_count",
-        percent(F.col("most_common_count"), count, 0.0).alias("most_common_percentage"),
-    )
+    return (
+        measure(texts, SIZE)
+        .join(F.broadcast(common), "column", "left")
+        .na.fill(0, ["unique_values", "most_common_count"])
+        .select(
+            "column",
+            count.alias("count"),
+            F.col("missing_count").alias("missing"),
+            percent(F.col("missing_count"), F.col("row_count")).alias("missing_percentage"),
+            "unique_values", "most_common", "most_common_count",
+            percent(F.col("most_common_count"), count, 0.0).alias("most_common_percentage"),
+        )
+    )
 
 
 def top_values(df: DataFrame, column: str, rows: int = 20) -> DataFrame:
@@ -161,22 +167,29 @@ def box_stats(df: DataFrame) -> DataFrame:
     fields = numeric_fields(df)
     found = quartiles(df)
 
-    def whiskers(field, prefix):
-        low, _, high = found.get(field.name, [None] * 3)
-        if low is None:
-            return {}, {"whisker_low": F.lit(None).cast("double"), "whisker_high": F.lit(None).cast("double")}
-        reach = 1.5 * (high - low)
-        value = present(field).cast("double")
-        return (
-            {"within": F.when(value.between(low - reach, high + reach), value)},
-            {"whisker_low": F.min(prefix + "within"), "whisker_high": F.max(prefix + "within")},
+    measured = with_quartiles(measure(df, combined(SIZE, SPREAD), fields), found)
+    outside = outside_fences(df, found)
+    if not outside:
+        raise ValueError("the table has no numeric values")
+    counted = with_counts(measured, df, {"outliers": outside})
+    within = {f.name: F.when(~outside[f.name], present(f).cast("double")) for f in fields if f.name in outside}
+    names = list(within)
+    ends = df.agg(
+        *[F.min(c).alias(f"low{i}") for i, c in enumerate(within.values())],
+        *[F.max(c).alias(f"high{i}") for i, c in enumerate(within.values())],
+    )
+    rows = [
+        F.struct(
+            F.lit(n).alias("column"),
+            F.col(f"low{i}").alias("whisker_low"),
+            F.col(f"high{i}").alias("whisker_high"),
         )
-
-    measures = combined(size_measures, spread_measures, fence_measures(found), whiskers)
-    return measure_columns(df, measures, fields).select(
-        "column", "min", "whisker_low", "q1", "median", "q3", "whisker_high", "max",
-        F.col("iqr_outlier_count").alias("outliers"),
-    )
+        for i, n in enumerate(names)
+    ]
+    whiskers = ends.select(F.inline(F.array(*rows)))
+    return counted.join(F.broadcast(whiskers), "column").select(
+        "column", "min", "whisker_low", "q1", "median", "q3", "whisker_high", "max", "outliers"
+    )
 
 
 def scatter(df: DataFrame, x: str, y: str, colour: str | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgauge.functions.columns import in_batches
+from tabgauge.operators.small import spread
 
 VALUE_BUDGET = 8_000_000
 COLUMNS_PER_PASS = 8
@@ -115,15 +116,6 @@ def exact_quantiles(
     return result
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small input comes in fewer pieces than there are.
-
-    Inputs with enough pieces, as all large ones have, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _direct(table: DataFrame, width: int, shares: list[float]) -> list:
     row = table.agg(
         *[F.percentile(f"v{i}", shares).alias(f"q{i}") for i in range(width)]

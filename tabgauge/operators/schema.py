@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgauge.functions import fixed
-from tabgauge.functions.columns import kind_of, missing, names_of_kind, pick_columns, present, ref
+from tabgauge.functions.columns import kind_of, names_of_kind, pick_columns, ref
 from tabgauge.functions.dates import parse_date
 from tabgauge.functions.text import looks_like_date
-from tabgauge.operators.measures import measure_columns
+from tabgauge.operators.measures import VALUE, Measures, measure
 
 Dataset = dict[str, DataFrame]
 
@@ -24,20 +24,23 @@ _DISPLAY_KINDS = {
 }
 
 
-def likely_date_measures(field: T.StructField, prefix: str):
-    """Share of a text column's values that look like dates."""
-    if kind_of(field.dataType) != "Text":
-        return {}, {"date_like_share": F.lit(None).cast("double")}
+def _date_like(kind: str):
+    if kind != "Text":
+        return {}, {}
     return (
-        {"date_like": looks_like_date(ref(field.name)).cast("int")},
-        {"date_like_share": F.avg(prefix + "date_like")},
+        {"date_like": looks_like_date(F.col(VALUE)).cast("int")},
+        {"date_like_share": F.avg("date_like")},
     )
 
 
+# Share of a text column's values that look like dates.
+DATE_LIKE = Measures({"date_like_share": "double"}, _date_like)
+
+
 def likely_dates(df: DataFrame) -> DataFrame:
     """Text columns with the share of date-like values over all rows."""
     fields = [f for f in df.schema.fields if kind_of(f.dataType) == "Text"]
-    measured = measure_columns(df, likely_date_measures, fields)
+    measured = measure(df, DATE_LIKE, fields)
     return measured.select(
         "column",
         F.coalesce("date_like_share", F.lit(0.0)).alias("date_like_share"),
@@ -136,23 +139,17 @@ def dataset_totals(info: DataFrame) -> DataFrame:
 def trend_date_columns(df: DataFrame) -> DataFrame:
     """Columns usable as a time axis: dates, and text that always parses as one."""
 
-    def measures(field: T.StructField, prefix: str):
-        value = present(field)
-        if kind_of(field.dataType) == "Text":
-            parsed = parse_date(value).isNotNull()
-        else:
-            parsed = F.lit(kind_of(field.dataType) == "DateTime")
+    def parsed(kind: str):
+        value = F.col(VALUE)
+        when = parse_date(value) if kind == "Text" else value
         return (
-            {"unparsed": value.isNotNull() & ~parsed, "filled": ~missing(field)},
-            {
-                "unparsed": F.count_if(F.col(prefix + "unparsed")),
-                "filled": F.count_if(F.col(prefix + "filled")),
-            },
+            {"when": when},
+            {"filled": F.count(value), "unparsed": F.count(value) - F.count("when")},
         )
 
     fields = [f for f in df.schema.fields if kind_of(f.dataType) in ("Text", "DateTime")]
     return (
-        measure_columns(df, measures, fields)
+        measure(df, Measures({"filled": "bigint", "unparsed": "bigint"}, parsed), fields)
         .where("unparsed = 0 AND filled > 0")
         .select("ordinal", "column")
     )

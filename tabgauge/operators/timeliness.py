@@ -4,74 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabgauge.functions.columns import kind_of, percent, present
-from tabgauge.functions.dates import as_timestamp, elapsed_days, moment
+from tabgauge.functions.columns import percent
+from tabgauge.functions.dates import elapsed_days, moment, parse_date
 from tabgauge.functions.scoring import age_category, age_score
-from tabgauge.operators.measures import combined, measure_columns
-from tabgauge.operators.schema import is_likely_date, likely_date_measures
+from tabgauge.operators.measures import VALUE, Measures, combined, measure
+from tabgauge.operators.schema import DATE_LIKE, is_likely_date
 
 OUTDATED_DAYS = 365
 
 
-def date_measures(as_of=None):
+def dates(as_of=None) -> Measures:
     """Valid dates, the earliest, the latest and how many are outdated."""
 
-    def measures(field: T.StructField, prefix: str):
-        kind = kind_of(field.dataType)
-        declared = F.lit(kind == "DateTime").alias("declared_date")
+    def of_kind(kind: str):
         if kind not in ("DateTime", "Text"):
-            return {}, {
-                "declared_date": F.lit(False),
-                "valid_dates": F.lit(None).cast("bigint"),
-                "earliest": F.lit(None).cast("timestamp"),
-                "latest": F.lit(None).cast("timestamp"),
-                "outdated_dates": F.lit(None).cast("bigint"),
-            }
-        when = F.col(prefix + "when")
+            return {}, {}
+        value = F.col(VALUE)
         return (
-            {"when": as_timestamp(present(field), field.dataType)},
+            {"when": parse_date(value) if kind == "Text" else value},
             {
-                "declared_date": declared,
-                "valid_dates": F.count(when),
-                "earliest": F.min(when),
-                "latest": F.max(when),
-                "outdated_dates": F.count_if(elapsed_days(moment(as_of), when) > OUTDATED_DAYS),
+                "valid_dates": F.count("when"),
+                "earliest": F.min("when"),
+                "latest": F.max("when"),
+                "outdated_dates": F.count_if(
+                    elapsed_days(moment(as_of), F.col("when")) > OUTDATED_DAYS
+                ),
             },
         )
 
-    return measures
+    types = {"valid_dates": "bigint", "earliest": "timestamp", "latest": "timestamp"}
+    return Measures(types | {"outdated_dates": "bigint"}, of_kind)
 
 
 def with_timeliness(measured: DataFrame, as_of=None) -> DataFrame:
     """Add span, age, score and category; NULL for columns that hold no dates."""
-    is_date = F.col("declared_date") | is_likely_date()
-    span = F.when(
-        F.col("latest") > F.col("earliest"), elapsed_days(F.col("latest"), F.col("earliest"))
-    ).otherwise(F.lit(0).cast("bigint"))
-    return (
-        measured.withColumn("is_date", is_date)
-        .withColumn("min_date", F.when(F.col("is_date"), F.date_format("earliest", "yyyy-MM-dd")))
-        .withColumn("max_date", F.when(F.col("is_date"), F.date_format("latest", "yyyy-MM-dd")))
-        .withColumn("time_span_days", F.when(F.col("is_date"), span))
-        .withColumn(
-            "recency_days", F.when(F.col("is_date"), elapsed_days(moment(as_of), F.col("latest")))
-        )
-        .withColumn("timeliness_score", F.when(F.col("is_date"), age_score(F.col("recency_days"))))
-        .withColumn(
-            "timeliness_category", F.when(F.col("is_date"), age_category(F.col("recency_days")))
-        )
-        .withColumn(
-            "outdated_percentage",
-            F.when(F.col("is_date"), percent(F.col("outdated_dates"), F.col("valid_dates"), 0.0)),
-        )
+    first, last = F.col("earliest"), F.col("latest")
+    span = F.when(last > first, elapsed_days(last, first)).otherwise(F.lit(0).cast("bigint"))
+    age = elapsed_days(moment(as_of), last)
+    derived = {
+        "min_date": F.date_format(first, "yyyy-MM-dd"),
+        "max_date": F.date_format(last, "yyyy-MM-dd"),
+        "time_span_days": span,
+        "recency_days": age,
+        "timeliness_score": age_score(age),
+        "timeliness_category": age_category(age),
+        "outdated_percentage": percent(F.col("outdated_dates"), F.col("valid_dates"), 0.0),
+    }
+    is_date = (F.col("kind") == "DateTime") | is_likely_date()
+    return measured.withColumn("is_date", is_date).withColumns(
+        {name: F.when(F.col("is_date"), column) for name, column in derived.items()}
     )
 
 
 def _measured(df: DataFrame, as_of) -> DataFrame:
-    measures = combined(likely_date_measures, date_measures(as_of))
-    return with_timeliness(measure_columns(df, measures), as_of)
+    return with_timeliness(measure(df, combined(DATE_LIKE, dates(as_of))), as_of)
 
 
 def timeliness_columns(df: DataFrame, as_of=None) -> DataFrame:

@@ -30,25 +30,23 @@ def monthly_series(df: DataFrame, date: str, target: str) -> DataFrame:
         .groupBy("month")
         .agg(F.avg("value").alias("value"))
     )
-    in_order = Window.orderBy("month")
     start = F.trunc("month", "MM")
-    spans = means.select(
-        "month",
-        "value",
-        F.min("month").over(Window.partitionBy()).alias("first"),
-        F.explode(
-            F.sequence(
-                start,
-                F.coalesce(F.add_months(F.trunc(F.lead("month").over(in_order), "MM"), -1), start),
-                F.expr("interval 1 month"),
-            )
-        ).alias("each"),
+    next_start = F.trunc(F.lead("month").over(Window.orderBy("month")), "MM")
+    spans = means.withColumns(
+        {
+            "start": start,
+            "until": F.coalesce(F.add_months(next_start, -1), start),
+            "first": F.trunc(F.min("month").over(Window.partitionBy()), "MM"),
+        }
     )
-    end = F.last_day("each")
-    return spans.select(
-        end.alias("month"),
-        F.round(F.months_between("each", F.trunc("first", "MM"))).cast("int").alias("idx"),
-        F.when(end == F.col("month"), F.col("value")).alias("value"),
+    # A month and the empty months after it.
+    each = spans.select(
+        "*", F.explode(F.sequence("start", "until", F.expr("interval 1 month"))).alias("each")
+    )
+    return each.select(
+        F.last_day("each").alias("month"),
+        F.round(F.months_between("each", "first")).cast("int").alias("idx"),
+        F.when(F.col("each") == F.col("start"), F.col("value")).alias("value"),
     )
 
 

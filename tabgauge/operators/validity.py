@@ -12,7 +12,8 @@ from tabgauge.functions import fixed
 from tabgauge.functions.columns import kind_of, percent, present, ref
 from tabgauge.functions.scoring import step_score, validity_status
 from tabgauge.functions.text import matches
-from tabgauge.operators.measures import combined, measure_columns, size_measures
+from tabgauge.operators.consistency import with_counts
+from tabgauge.operators.measures import SIZE, measure
 
 
 @dataclass(frozen=True)
@@ -36,34 +37,23 @@ class Checks:
         return None
 
 
-def check_measures(checks: Checks = Checks()):
-    """Valid values of each column that a check applies to."""
-
-    def measures(field: T.StructField, prefix: str):
-        chosen = checks.choose(field)
-        if chosen is None:
-            return {}, {
-                "check_type": F.lit(None).cast("string"),
-                "check_steps": F.lit(None).cast("string"),
-                "valid_count": F.lit(None).cast("bigint"),
-            }
-        check, steps, condition = chosen
-        return (
-            {"valid": condition},
-            {
-                "check_type": F.lit(check),
-                "check_steps": F.lit(steps),
-                "valid_count": F.count_if(F.col(prefix + "valid")),
-            },
-        )
-
-    return measures
+def valid_values(df: DataFrame, checks: Checks = Checks()) -> dict[str, Column]:
+    """Per checked column: is the value valid?"""
+    chosen = {f.name: checks.choose(f) for f in df.schema.fields}
+    return {name: found[2] for name, found in chosen.items() if found is not None}
 
 
-def with_validity(measured: DataFrame) -> DataFrame:
-    """Add share and score; both NULL where nothing could be checked."""
+def with_validity(measured: DataFrame, df: DataFrame, checks: Checks = Checks()) -> DataFrame:
+    """Add check, share and score; all NULL where nothing could be checked."""
+    kinds, steps = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for field in df.schema.fields:
+        found = checks.choose(field)
+        if found is not None:
+            here = F.col("column") == field.name
+            kinds = F.when(here, found[0]).otherwise(kinds)
+            steps = F.when(here, found[1]).otherwise(steps)
     share = percent(F.col("valid_count"), F.col("row_count") - F.col("missing_count"))
-    return measured.withColumn("validity_percentage", share).withColumn(
+    return measured.withColumns({"check_type": kinds, "check_steps": steps, "validity_percentage": share}).withColumn(
         "validity_score",
         F.when(F.col("check_steps") == "format", step_score(F.col("validity_percentage"), "format"))
         .when(F.col("check_steps") == "range", step_score(F.col("validity_percentage"), "range")),
@@ -72,12 +62,11 @@ def with_validity(measured: DataFrame) -> DataFrame:
 
 def validity_columns(df: DataFrame, checks: Checks = Checks()) -> DataFrame:
     """Check, valid values, share, score and status per checked column."""
-    fields = [f for f in df.schema.fields if checks.choose(f) is not None]
-    if not fields:
-        fields = df.schema.fields[:1]
-    measured = measure_columns(df, combined(size_measures, check_measures(checks)), fields)
+    valid = valid_values(df, checks)
+    fields = [f for f in df.schema.fields if f.name in valid] or df.schema.fields[:1]
+    counted = with_counts(measure(df, SIZE, fields), df, {"valid_count": valid})
     return (
-        with_validity(measured)
+        with_validity(counted, df, checks)
         .where("validity_score IS NOT NULL")
         .select(
             "ordinal", "column", "check_type", "valid_count", "validity_percentage",

@@ -10,17 +10,18 @@ the schema and become the two result tables.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgauge.functions import fixed, scoring
-from tabgauge.functions.columns import kind_of, pick_columns
+from tabgauge.functions.columns import in_batches, pick_columns
+from tabgauge.functions.together import together
 from tabgauge.operators import accuracy, completeness, consistency, distribution
 from tabgauge.operators import relations, timeliness, uniqueness, validity
-from tabgauge.operators.measures import combined, measure_columns, size_measures
-from tabgauge.operators.schema import Dataset, likely_date_measures
+from tabgauge.operators.measures import SIZE, combined, measure, settled
+from tabgauge.operators.schema import DATE_LIKE, Dataset
 
 
 @dataclass(frozen=True)
@@ -47,130 +48,128 @@ class Assessment:
     combinations: DataFrame
 
 
-def assess(dataset: Dataset, options: Options = Options()) -> Assessment:
-    """Assess every table of a dataset."""
+def assess(dataset: Dataset, options: Options = Options(), parallel: int = 4) -> Assessment:
+    """Assess every table of a dataset, several at a time."""
     spark = next(iter(dataset.values())).sparkSession
-    columns, tables = [], []
-    for position, (name, df) in enumerate(dataset.items()):
-        rows = _column_rows(pick_columns(df, options.columns), options)
-        measured = rows.select(
-            F.lit(position).alias("table_position"), F.lit(name).alias("table"), "*"
-        )
-        columns.append(measured)
-        tables.append(_table_row(position, name, df, options))
-    all_columns = reduce(DataFrame.unionByName, columns)
-    sizes = reduce(DataFrame.unionByName, tables)
+    numbered = list(enumerate(dataset.items()))
+    done = []
+    for batch in in_batches(numbered, parallel):
+        done += together(spark, *[partial(_one_table, p, n, df, options) for p, (n, df) in batch])
+    columns = settled(reduce(DataFrame.unionByName, [c for c, _ in done]))
+    sizes = reduce(DataFrame.unionByName, [t for _, t in done])
     return Assessment(
-        columns=all_columns,
-        tables=_with_overall(sizes, all_columns, options),
+        columns=columns,
+        tables=settled(_with_overall(sizes, columns, options)),
         rules=_rule_rows(spark, dataset, options),
         combinations=_combination_rows(spark, dataset, options),
     )
 
 
+def _one_table(position: int, name: str, df: DataFrame, options: Options):
+    picked = pick_columns(df, options.columns)
+    place = (F.lit(position).alias("table_position"), F.lit(name).alias("table"))
+    return together(
+        df.sparkSession,
+        lambda: _column_rows(picked, options).select(*place, "*"),
+        lambda: settled(_table_row(picked, len(df.columns), options).select(*place, "*")),
+    )
+
+
 def _column_rows(df: DataFrame, options: Options) -> DataFrame:
     wanted = set(options.dimensions)
-    first = [size_measures, likely_date_measures, consistency.spread_measures]
+    parts = [SIZE, DATE_LIKE, consistency.SPREAD]
     if "consistency" in wanted:
-        first.append(consistency.type_measures)
+        parts.append(consistency.TYPES)
     if "accuracy" in wanted:
-        first += [accuracy.style_measures, distribution.skewness_measures]
+        parts += [accuracy.STYLES, distribution.SKEW]
     if "timeliness" in wanted:
-        first.append(timeliness.date_measures(options.as_of))
-    if "validity" in wanted:
-        first.append(validity.check_measures(options.checks))
-    found = _kept(measure_columns(df, combined(*first)))
-
+        parts.append(timeliness.dates(options.as_of))
     numeric = consistency.numeric_fields(df)
-    if numeric and wanted & {"consistency", "accuracy"}:
-        moments = {r["column"]: (r["mean"], r["std"]) for r in found.collect()}
-        quarters = consistency.quartiles(df)
-        second = combined(
-            consistency.fence_measures(quarters),
-            accuracy.distance_measures(moments, options.z_limit),
-        )
-        found = _joined(found, measure_columns(df, second, numeric))
-    else:
-        found = _with_nulls(
-            found, "q1 double, median double, q3 double, iqr_outlier_count bigint, z_outlier_count bigint"
-        )
+    outliers = bool(numeric and wanted & {"consistency", "accuracy"})
+
+    # What needs the data only.
+    found, quarters, distinct = together(
+        df.sparkSession,
+        lambda: settled(measure(df, combined(*parts))),
+        lambda: consistency.quartiles(df) if outliers else {},
+        lambda: settled(uniqueness.distinct_counts(df).drop("column"))
+        if "uniqueness" in wanted
+        else None,
+    )
 
-    if "uniqueness" in wanted:
-        found = _joined(found, uniqueness.distinct_counts(df))
-    if "accuracy" in wanted and numeric and options.distributions:
-        found = _joined(found, _peaks(df))
+    # What needs the results of the first passes.
+    conditions: dict[str, dict[str, Column]] = {"iqr_outlier_count": {}, "z_outlier_count": {}}
+    bins = {}
+    if outliers:
+        sizes = found.where("kind = 'Numeric'").collect()
+        moments = {r["column"]: (r["mean"], r["std"]) for r in sizes}
+        conditions["iqr_outlier_count"] = consistency.outside_fences(df, quarters)
+        conditions["z_outlier_count"] = accuracy.far_from_mean(df, moments, options.z_limit)
+        if "accuracy" in wanted and options.distributions:
+            bins = distribution.bins_from(df, sizes, quarters)
+    if "validity" in wanted:
+        conditions["valid_count"] = validity.valid_values(df, options.checks)
+    if outliers:
+        found = consistency.with_quartiles(found, quarters)
     else:
-        found = _with_nulls(found, "potential_modes bigint")
-    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    found = found.withColumn("kind", kind[F.col("column")])
-    return _scored(found, wanted, options)
-
-
-def _peaks(df: DataFrame) -> DataFrame:
-    order = {n: i for i, n in enumerate(df.columns)}
-    position = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    peaks = distribution.peaks(df)
-    return peaks.withColumn("ordinal", position[F.col("column")])
+        found = _with_nulls(found, {"q1": "double", "median": "double", "q3": "double"})
+    counted, modes = together(
+        df.sparkSession,
+        lambda: settled(consistency.with_counts(found, df, conditions)),
+        lambda: settled(distribution.peaks_in(df, bins)) if bins else None,
+    )
+    if modes is not None:
+        counted = counted.join(F.broadcast(modes), "column", "left")
+    else:
+        counted = _with_nulls(counted, {"potential_modes": "bigint"})
+    if distinct is not None:
+        counted = counted.join(F.broadcast(distinct), "ordinal", "left")
+    return settled(_scored(counted, df, wanted, options))
 
 
-def _scored(found: DataFrame, wanted: set[str], options: Options) -> DataFrame:
+def _scored(found: DataFrame, df: DataFrame, wanted: set[str], options: Options) -> DataFrame:
     if "completeness" in wanted:
         found = completeness.with_completeness(found)
     if "consistency" in wanted:
         found = consistency.with_value_consistency(consistency.with_type_consistency(found))
     if "accuracy" in wanted:
         found = accuracy.with_text_accuracy(accuracy.with_numeric_accuracy(found))
-        found = found.withColumn(
-            "distribution_quality",
-            F.when(
-                F.col("skewness").isNotNull() & F.col("potential_modes").isNotNull(),
-                scoring.distribution_quality(F.col("skewness"), F.col("potential_modes")),
-            ),
+        skew, modes = F.col("skewness"), F.col("potential_modes")
+        quality = F.when(
+            skew.isNotNull() & modes.isNotNull(), scoring.distribution_quality(skew, modes)
         )
+        found = found.withColumn("distribution_quality", quality)
     if "uniqueness" in wanted:
-        found = uniqueness.with_ratio(found)
-        found = found.withColumn(
-            "key_candidate",
-            F.coalesce(uniqueness.is_key_candidate(F.col("row_count")), F.lit(False)),
-        ).withColumn("high_cardinality", F.coalesce(uniqueness.is_high_cardinality(), F.lit(False)))
+        found = uniqueness.with_ratio(found).withColumns(
+            {
+                "key_candidate": F.coalesce(
+                    uniqueness.is_key_candidate(F.col("row_count")), F.lit(False)
+                ),
+                "high_cardinality": F.coalesce(uniqueness.is_high_cardinality(), F.lit(False)),
+            }
+        )
     if "timeliness" in wanted:
         found = timeliness.with_timeliness(found, options.as_of)
     if "validity" in wanted:
-        found = validity.with_validity(found)
+        found = validity.with_validity(found, df, options.checks)
     return found
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """One row per column, computed once: a table without further lineage.
-
-    Bounded by the number of columns, so it may pass through the driver.
-    """
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
-
-
-def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
-    return found.join(F.broadcast(_kept(more.drop("column"))), "ordinal", "left")
+def _with_nulls(found: DataFrame, types: dict[str, str]) -> DataFrame:
+    return found.withColumns({n: F.lit(None).cast(t) for n, t in types.items()})
 
 
-def _with_nulls(found: DataFrame, schema: str) -> DataFrame:
-    for part in schema.split(","):
-        name, data_type = part.split()
-        found = found.withColumn(name, F.lit(None).cast(data_type))
-    return found
-
-
-def _table_row(position: int, name: str, df: DataFrame, options: Options) -> DataFrame:
-    picked = pick_columns(df, options.columns)
-    row = [
-        F.lit(position).alias("table_position"),
-        F.lit(name).alias("table"),
-        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-        F.lit(len(picked.columns)).cast("bigint").alias("assessed_columns"),
-    ]
+def _table_row(picked: DataFrame, column_count: int, options: Options) -> DataFrame:
     if "uniqueness" in options.dimensions:
-        return _kept(uniqueness.duplicate_rows(picked).select(*row, "*"))
-    return df.agg(F.count(F.lit(1)).alias("total_rows")).select(*row, "total_rows")
+        row = uniqueness.duplicate_rows(picked)
+    else:
+        row = picked.agg(F.count(F.lit(1)).alias("total_rows"))
+    return row.withColumns(
+        {
+            "column_count": F.lit(column_count).cast("bigint"),
+            "assessed_columns": F.lit(len(picked.columns)).cast("bigint"),
+        }
+    )
 
 
 def _with_overall(sizes: DataFrame, columns: DataFrame, options: Options) -> DataFrame:

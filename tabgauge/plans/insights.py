@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgauge.functions import fixed
+from tabgauge.operators.measures import settled
 from tabgauge.plans.assess import Assessment
 
 P = "p"
@@ -264,18 +265,17 @@ def _gains(rule: Rule) -> Column:
 
 def insights(found: DataFrame) -> DataFrame:
     """One row per signal that fires, with priority, effort, gains and audience."""
+    worst_first = Window.partitionBy("table", "rule").orderBy(F.desc(P), "ordinal")
+    placed = settled(found.withColumn("worst", F.row_number().over(worst_first)))
     parts = []
     for rule in RULES:
         above, then, otherwise = rule.executive
         executive = F.lit(otherwise) if above is None else F.when(F.col(P) > above, then).otherwise(otherwise)
-        part = found.where((F.col("rule") == rule.name) & (F.col(P) > rule.fires_above))
+        part = placed.where((F.col("rule") == rule.name) & (F.col(P) > rule.fires_above))
         if rule.keep is None:
             part = part.withColumn("place", F.col("ordinal"))
         else:
-            worst_first = Window.partitionBy("table").orderBy(F.desc(P), "ordinal")
-            part = part.withColumn("place", F.row_number().over(worst_first)).where(
-                F.col("place") <= rule.keep
-            )
+            part = part.withColumn("place", F.col("worst")).where(F.col("worst") <= rule.keep)
         parts.append(
             part.select(
                 "table_position",
@@ -325,8 +325,10 @@ def prioritized(found: DataFrame, focus: str | None = None) -> DataFrame:
     order = Window.orderBy(
         F.desc("priority_score"), "table_position", "rule_position", "place"
     )
-    return found.withColumn("priority_score", F.round(score, 10)).withColumn(
-        "rank", F.row_number().over(order)
+    return settled(
+        found.withColumn("priority_score", F.round(score, 10)).withColumn(
+            "rank", F.row_number().over(order)
+        )
     )
 
 
