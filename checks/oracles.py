@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from checks.inputs import AS_OF, TABLES, columns_of, duckdb_input
 
-DIGITS = 4
+DIGITS = 5
 ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts")
 RULES = {
     "small_discount": "l_discount <= 0.08",
@@ -460,9 +460,9 @@ def signals() -> str:
             f" FROM ({all_dates(name)}) HAVING count(*) > 0"
         )
         if name == "dirty_lineitem":
-            for rule, condition in RULES.items():
+            for j, (rule, condition) in enumerate(RULES.items()):
                 parts.append(
-                    f"SELECT {whole}, '{rule}' AS \"column\", 'business_rules', {pct(f'count(*) FILTER (NOT ({condition}))', f'count({condition})', '0e0')} FROM {name}"
+                    f"SELECT {whole.replace('0 AS ordinal', f'{1_000_000 + j} AS ordinal')}, '{rule}' AS \"column\", 'business_rules', {pct(f'count(*) FILTER (NOT ({condition}))', f'count({condition})', '0e0')} FROM {name}"
                 )
     return " UNION ALL ".join(parts)
 
@@ -521,7 +521,7 @@ def with_insights(sql: str, focus: str | None = None, scores: bool = False) -> s
             f"SELECT position, {pos} AS rule_position, place, \"table\", \"column\", rule, '{dimension}' AS dimension, p,"
             f" {effort} AS effort, {priority} AS priority, ({impact})::DOUBLE AS business_impact, {gain},"
             f" {team}::DOUBLE AS data_team, {users}::DOUBLE AS business_users, ({executive})::DOUBLE AS executive"
-            f" FROM (SELECT *, {place} AS place FROM signals WHERE rule = '{rule}' AND p > {above}) WHERE place <= {keep or 10 ** 6}"
+            f" FROM (SELECT *, {place} AS place FROM signals WHERE rule = '{rule}' AND p > {above}) WHERE place <= {keep or 10 ** 9}"
         )
     weights = dict(WEIGHTS)
     a, b, d = (0.6, 0.3, 0.1)
@@ -685,13 +685,13 @@ def oracle_sql() -> dict[str, str]:
 
     q["completeness_overall"] = rounded(per_table(("dirty_lineitem", "labelled"), completeness_overall), "completeness_percentage completeness_score")
     q["completeness_columns"] = rounded(per_column(("dirty_lineitem", "labelled"), "INTD", completeness), "completeness_percentage completeness_score")
-    q["completeness_top5"] = sources("dirty_lineitem") + 'SELECT "column", round(completeness_percentage, 4) AS completeness_percentage FROM (' + union([
+    q["completeness_top5"] = sources("dirty_lineitem") + 'SELECT "column", round(completeness_percentage, 5) AS completeness_percentage FROM (' + union([
         f"SELECT {i} AS ordinal, '{c}' AS \"column\", completeness_percentage FROM ({completeness('dirty_lineitem', i, c, k)})" for i, c, k in columns_of("dirty_lineitem")
     ]) + ") WHERE completeness_percentage < 100 ORDER BY completeness_percentage, ordinal LIMIT 5"
     q["missing_by_column"] = per_column(("dirty_lineitem", "labelled"), "INTD", lambda n, i, c, k: f"""
         SELECT count(*) - count({c}) AS missing_count, round(100e0 * (count(*) - count({c})) / count(*), 2) AS missing_percentage FROM {n} HAVING count(*) > count({c})""")
     q["valid_and_missing"] = sources("dirty_lineitem") + union([
-        f"SELECT '{c}' AS \"column\", count({c}) AS valid, count(*) - count({c}) AS missing, round(100e0 * count({c}) / count(*), 4) AS complete_percentage FROM dirty_lineitem"
+        f"SELECT '{c}' AS \"column\", count({c}) AS valid, count(*) - count({c}) AS missing, round(100e0 * count({c}) / count(*), 5) AS complete_percentage FROM dirty_lineitem"
         for i, c, k in columns_of("dirty_lineitem")])
     q["missing_pattern"] = per_table(("dirty_lineitem", "labelled"), lambda n: "SELECT concat(" + ", ".join(
         f"({c} IS NULL)::INT" for _, c, _ in columns_of(n)) + f") AS pattern, count(*) AS count FROM {n} GROUP BY 1")
@@ -726,7 +726,7 @@ def oracle_sql() -> dict[str, str]:
     q["validity_ranges"] = rounded(checked(("percents", "page_links"), "range"), "validity_percentage validity_score")
     q["validity_overall"] = rounded(per_table(("contacts", "percents", "orders"), validity_overall), "validity_score")
     q["business_rules"] = sources("dirty_lineitem") + union([f"""SELECT '{r}' AS rule, count({e}) AS checked_rows, count(*) FILTER (NOT ({e})) AS violations,
-        round({pct(f'count(*) FILTER (NOT ({e}))', f'count({e})', '0e0')}, 4) AS violation_percentage FROM dirty_lineitem""" for r, e in RULES.items()])
+        round({pct(f'count(*) FILTER (NOT ({e}))', f'count({e})', '0e0')}, 5) AS violation_percentage FROM dirty_lineitem""" for r, e in RULES.items()])
 
     all_three = "segment IS NOT NULL AND nation IS NOT NULL AND balance IS NOT NULL"
     q["combo_completeness"] = sources("pairs") + rounded(COMPLETE.format(condition=all_three), "complete_rows_percentage")
@@ -753,7 +753,7 @@ def oracle_sql() -> dict[str, str]:
     q["profile_numeric"] = rounded(per_column(("dirty_lineitem", "orders"), "IN", numeric_profile), "missing_percentage mean median min max std")
     q["profile_date"] = rounded(per_column(("dirty_lineitem", "events"), "D", date_profile), "missing_percentage")
     q["profile_text"] = rounded(per_column(("orders", "part", "doc_texts"), "T", text_profile), "missing_percentage most_common_percentage")
-    q["top_values"] = "SELECT value, count, round(100e0 * count / sum(count) OVER (), 4) AS percentage FROM (SELECT p_brand AS value, count(*) AS count FROM part WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY count DESC, value LIMIT 20)"
+    q["top_values"] = "SELECT value, count, round(100e0 * count / sum(count) OVER (), 5) AS percentage FROM (SELECT p_brand AS value, count(*) AS count FROM part WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY count DESC, value LIMIT 20)"
     q["records_per_month"] = "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS count FROM orders GROUP BY 1"
     q["box_stats"] = rounded(per_column(("lineitem", "orders"), "IN", box), "min whisker_low q1 median q3 whisker_high max")
     q["scatter"] = sources("mixed_events") + rounded("SELECT user_id AS x, sparse_value AS y, event_type AS colour FROM mixed_events WHERE user_id IS NOT NULL AND sparse_value IS NOT NULL", "y")
@@ -819,7 +819,7 @@ def oracle_sql() -> dict[str, str]:
     q["remediate_not_matching"] = sources("contacts") + "SELECT c_custkey, email FROM contacts WHERE NOT coalesce(regexp_matches(email, '^[a-z0-9]+@[a-z.]+$'), false)"
     q["remediate_cast"] = events + rounded("SELECT event_id, TRY_CAST(mixed AS DOUBLE) AS mixed FROM mixed_events", "mixed")
 
-    q["cluster_sizes"] = "SELECT event_type, size, round(100e0 * size / sum(size) OVER (), 4) AS percentage FROM (SELECT event_type, count(*) AS size FROM events GROUP BY 1)"
+    q["cluster_sizes"] = "SELECT event_type, size, round(100e0 * size / sum(size) OVER (), 5) AS percentage FROM (SELECT event_type, count(*) AS size FROM events GROUP BY 1)"
     q["cluster_stats"] = rounded(union([f"""SELECT event_type, '{c}' AS "column", count(*) AS size, 100e0 * count(*) / (SELECT count(*) FROM events) AS percentage, avg({c}::DOUBLE) AS mean, min({c})::DOUBLE AS min,
         max({c})::DOUBLE AS max, stddev_samp({c}::DOUBLE) AS std, quantile_cont({c}::DOUBLE, 0.5) AS median FROM events GROUP BY 1""" for c in ("user_id", "value")]), "percentage mean min max std median")
     q["cluster_samples"] = rounded("SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 10", "value")

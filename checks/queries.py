@@ -22,7 +22,7 @@ from tabgauge.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-DIGITS = 4
+DIGITS = 5
 ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts")
 RULES = {
     "small_discount": "l_discount <= 0.08",
@@ -276,7 +276,7 @@ def queries() -> dict[str, Query]:
         ("percents", "page_links"), _without_ordinal(validity.validity_columns)
     )
     q["validity_overall"] = over(("contacts", "percents", "orders"), validity.validity_overall)
-    q["business_rules"] = on("dirty_lineitem", lambda df: validity.business_rules(df, RULES))
+    q["business_rules"] = on("dirty_lineitem", lambda df: validity.business_rules(df, RULES).drop("position"))
 
     # Relations
     q["combo_completeness"] = on(

@@ -107,26 +107,46 @@ def functional_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Correlation over rows where both have a value; NULL if one is constant."""
-    a_seen, b_seen = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    scale = F.stddev_samp(a_seen) * F.stddev_samp(b_seen)
-    return F.covar_samp(a, b) / F.nullif(scale, F.lit(0.0))
-
-
 def _pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    def value(name: str) -> Column:
-        return present(field_of(df, name)).cast("double")
+    """Correlation of each pair over the rows where both have a value.
+
+    Deviations must come from those rows too. A column's deviation is shared by
+    all its partners without missing values, so that a complete table needs one
+    per column. NULL if either column is constant.
+    """
+    names = sorted({n for pair in pairs for n in pair})
+    table = df.select(
+        *[present(field_of(df, n)).cast("double").alias(f"v{i}") for i, n in enumerate(names)]
+    )
+    position = {n: i for i, n in enumerate(names)}
+    gaps = table.agg(*[F.count_if(F.col(c).isNull()) for c in table.columns]).first()
 
     parts = []
     for batch in in_batches(pairs, PAIRS_PER_PASS):
-        counted = df.agg(
-            *[_pearson(value(a), value(b)).alias(f"r{k}") for k, (a, b) in enumerate(batch)]
-        )
-        rows = [
-            F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"r{k}").alias("pearson"))
-            for k, (a, b) in enumerate(batch)
-        ]
+        aggregates: dict[str, Column] = {}
+
+        def deviation(i: int, other: int) -> Column:
+            if i == other or not gaps[other]:
+                aggregates[f"s{i}"] = F.stddev_samp(f"v{i}")
+                return F.col(f"s{i}")
+            aggregates[f"s{i}_{other}"] = F.stddev_samp(
+                F.when(F.col(f"v{other}").isNotNull(), F.col(f"v{i}"))
+            )
+            return F.col(f"s{i}_{other}")
+
+        rows = []
+        for first, second in batch:
+            i, j = position[first], position[second]
+            aggregates[f"c{i}_{j}"] = F.covar_samp(f"v{i}", f"v{j}")
+            scale = F.nullif(deviation(i, j) * deviation(j, i), F.lit(0.0))
+            rows.append(
+                F.struct(
+                    F.lit(first).alias("column_1"),
+                    F.lit(second).alias("column_2"),
+                    (F.col(f"c{i}_{j}") / scale).alias("pearson"),
+                )
+            )
+        counted = table.agg(*[c.alias(n) for n, c in aggregates.items()])
         parts.append(counted.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, parts)
 

@@ -99,6 +99,7 @@ def business_rules(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     )
     rows = [
         F.struct(
+            F.lit(i).alias("position"),
             F.lit(n).alias("rule"),
             F.col(f"n{i}").alias("checked_rows"),
             F.col(f"v{i}").alias("violations"),

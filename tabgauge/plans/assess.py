@@ -193,7 +193,7 @@ def _rule_rows(spark: SparkSession, dataset: Dataset, options: Options) -> DataF
         if table in dataset
     ]
     schema = (
-        "table string, rule string, checked_rows bigint, violations bigint,"
+        "table string, position int, rule string, checked_rows bigint, violations bigint,"
         " violation_percentage double"
     )
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)

@@ -169,6 +169,8 @@ RULES = (
     ),
 )
 
+# The user's rules come after the columns of a table.
+_AFTER_COLUMNS = 1_000_000
 _POSITION = {rule.name: i for i, rule in enumerate(RULES)}
 
 
@@ -222,7 +224,8 @@ def signals(result: Assessment) -> DataFrame:
         add("format_violations", columns, known & is_format, broken, column, ordinal)
         add("business_rules", columns, known & is_range, broken, column, ordinal)
         rules = result.rules.join(tables.select("table", "table_position"), "table")
-        add("business_rules", rules, F.lit(True), F.col("violation_percentage"), F.col("rule"), none)
+        after_columns = F.col("position") + _AFTER_COLUMNS
+        add("business_rules", rules, F.lit(True), F.col("violation_percentage"), F.col("rule"), after_columns)
     return reduce(DataFrame.unionByName, parts)
 
 
