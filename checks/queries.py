@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from checks.inputs import AS_OF, TABLES, spark_input
 from tabgauge.functions.checkpoints import use_checkpoint_dir
 from tabgauge.functions import scoring
+from tabgauge.functions.together import together
 from tabgauge.operators import (
     accuracy, anomaly, clustering, completeness, consistency, distribution, profile,
     relations, remediate, schema, timeliness, trend, uniqueness, validity,
@@ -52,9 +53,10 @@ def over(names: tuple[str, ...], make: Callable[[DataFrame], DataFrame]) -> Quer
     """A query on each of several inputs, with the input's name in front."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        parts = [
-            make(spark_input(spark, folder, n)).select(F.lit(n).alias("table"), "*") for n in names
-        ]
+        def one(n: str) -> DataFrame:
+            return make(spark_input(spark, folder, n)).select(F.lit(n).alias("table"), "*")
+
+        parts = together(spark, *[partial(one, n) for n in names])
         return rounded(reduce(DataFrame.unionByName, parts))
 
     return run

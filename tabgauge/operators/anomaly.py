@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.columns import field_of, names_of_kind, percent, present
+from tabgauge.functions.checkpoints import use_checkpoint_dir
+from tabgauge.functions.columns import field_of, names_of_kind, percent, present, ref
 from tabgauge.operators.distribution import histogram
 from tabgauge.operators.quantiles import exact_quantiles
 from tabgauge.operators.small import spread
@@ -170,8 +171,13 @@ def detect_anomalies(
     sample = min(forest.sample, df.count())
     score = _scorer(df, nodes, sample)
     features = F.struct(*[f.alias(f"f{i}") for i, f in enumerate(mean_filled(df, chosen))])
+    # The search for the cut passes over the scores several times, so they are
+    # kept: one number per row, not the rows.
+    use_checkpoint_dir(df.sparkSession)
+    values = df.select(*[ref(c) for c in chosen])
+    scores = spread(values).select(score(features).alias("score")).checkpoint()
+    cut = exact_quantiles(scores, {"cut": F.col("score")}, [forest.contamination])["cut"][0]
     scored = spread(df).withColumn("anomaly_score", score(features))
-    cut = exact_quantiles(scored, {"cut": F.col("anomaly_score")}, [forest.contamination])["cut"][0]
     return scored.withColumn("anomaly_score", F.col("anomaly_score") - F.lit(cut)).withColumn(
         "is_anomaly", F.col("anomaly_score") < 0
     )

@@ -25,6 +25,8 @@ VALUE_BUDGET = 8_000_000
 COLUMNS_PER_PASS = 8
 _GRID = 1_000
 _ACCURACY = 20_000
+# Below this many candidates per rank narrowing further does not pay.
+_PER_RANK = 100
 
 
 @dataclass
@@ -104,14 +106,16 @@ def exact_quantiles(
     """Quantiles of each expression, skipping NULL; None for no values at all."""
     result: dict[str, list[float | None]] = {}
     rows = df.count() if values else 0
-    for names in in_batches(list(values), COLUMNS_PER_PASS):
+    direct = max(1, min(COLUMNS_PER_PASS, budget // max(rows, 1)))
+    for names in in_batches(list(values), direct):
         table = df.select(
             *[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)]
         )
-        if rows * len(names) <= budget:
+        if rows <= budget:
             found = _direct(spread(table), len(names), shares)
         else:
-            found = _searched(table, len(names), shares, budget)
+            # One column at a time: its passes read nothing but that column.
+            found = [_searched(table, shares, budget)]
         result.update(zip(names, found))
     return result
 
@@ -123,22 +127,21 @@ def _direct(table: DataFrame, width: int, shares: list[float]) -> list:
     return [list(q) if q is not None else [None] * len(shares) for q in row]
 
 
-def _searched(table: DataFrame, width: int, shares: list[float], budget: int) -> list:
+def _searched(table: DataFrame, shares: list[float], budget: int) -> list:
+    """Quantiles of the only column, ``v0``."""
     grid = [i / _GRID for i in range(_GRID + 1)]
-    first = table.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(width)],
-        *[F.percentile_approx(f"v{i}", grid, _ACCURACY).alias(f"g{i}") for i in range(width)],
+    count, sketch = table.agg(
+        F.count("v0"), F.percentile_approx("v0", grid, _ACCURACY)
     ).first()
-    searches: dict[tuple[int, int], _Rank] = {}
-    for i in range(width):
-        count = first[f"n{i}"]
-        for share in shares if count else []:
-            position = share * (count - 1)
-            for rank in (math.floor(position), math.ceil(position)):
-                if (i, rank) not in searches:
-                    search = _Rank(f"v{i}", rank)
-                    search.narrow(count, first[f"g{i}"])
-                    searches[i, rank] = search
+    if not count:
+        return [None] * len(shares)
+    searches: dict[int, _Rank] = {}
+    for share in shares:
+        position = share * (count - 1)
+        for rank in (math.floor(position), math.ceil(position)):
+            if rank not in searches:
+                searches[rank] = _Rank("v0", rank)
+                searches[rank].narrow(count, sketch)
 
     while True:
         open_searches = [s for s in searches.values() if s.value is None]
@@ -147,7 +150,8 @@ def _searched(table: DataFrame, width: int, shares: list[float], budget: int) ->
         _count_all(table, open_searches)
         open_searches = [s for s in open_searches if s.value is None]
         lost = [s for s in open_searches if s.between < 0]
-        if not lost and sum(s.between for s in open_searches) <= budget:
+        enough = max(budget, _PER_RANK * len(open_searches))
+        if not lost and sum(s.between for s in open_searches) <= enough:
             _pick_all(table, open_searches)
             break
         sketched = table.agg(
@@ -164,11 +168,7 @@ def _searched(table: DataFrame, width: int, shares: list[float], budget: int) ->
         ).first()
         for j, search in enumerate(open_searches):
             search.narrow(sketched[f"n{j}"], sketched[f"g{j}"])
-
-    return [
-        [_interpolated(searches, i, first[f"n{i}"], share) for share in shares]
-        for i in range(width)
-    ]
+    return [_interpolated(searches, count, share) for share in shares]
 
 
 def _count_all(table: DataFrame, searches: list[_Rank]) -> None:
@@ -184,10 +184,8 @@ def _pick_all(table: DataFrame, searches: list[_Rank]) -> None:
             search.value = value
 
 
-def _interpolated(searches: dict, i: int, count: int, share: float) -> float | None:
-    if not count:
-        return None
+def _interpolated(searches: dict[int, _Rank], count: int, share: float) -> float:
     position = share * (count - 1)
-    low = searches[i, math.floor(position)].value
-    high = searches[i, math.ceil(position)].value
+    low = searches[math.floor(position)].value
+    high = searches[math.ceil(position)].value
     return low + (high - low) * (position - math.floor(position))

@@ -8,12 +8,14 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgauge.functions.columns import field_of, grouping_key, in_batches, missing, names_of_kind, percent, present
 from tabgauge.functions.scoring import correlation_strength, dependency_strength
 from tabgauge.operators.completeness import complete_rows
+from tabgauge.operators.small import spread
 
 PAIRS_PER_PASS = 200
 MAX_CATEGORIES = 20
@@ -110,45 +112,38 @@ def functional_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
 def _pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Correlation of each pair over the rows where both have a value.
 
-    Deviations must come from those rows too. A column's deviation is shared by
-    all its partners without missing values, so that a complete table needs one
-    per column. NULL if either column is constant.
+    The pairs of a row are stacked and aggregated by pair in one pass, so the
+    plan has three aggregates however many pairs there are, and each task sends
+    one row per pair. NULL if either column is constant.
     """
     names = sorted({n for pair in pairs for n in pair})
-    table = df.select(
-        *[present(field_of(df, n)).cast("double").alias(f"v{i}") for i, n in enumerate(names)]
+    values = {n: present(field_of(df, n)).cast("double") for n in names}
+    table = spread(df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)]))
+    position = {n: f"v{i}" for i, n in enumerate(names)}
+    labels = pa.table(
+        {
+            "pair": pa.array(range(len(pairs)), pa.int32()),
+            "column_1": pa.array([a for a, _ in pairs], pa.string()),
+            "column_2": pa.array([b for _, b in pairs], pa.string()),
+        }
     )
-    position = {n: i for i, n in enumerate(names)}
-    gaps = table.agg(*[F.count_if(F.col(c).isNull()) for c in table.columns]).first()
-
     parts = []
-    for batch in in_batches(pairs, PAIRS_PER_PASS):
-        aggregates: dict[str, Column] = {}
-
-        def deviation(i: int, other: int) -> Column:
-            if i == other or not gaps[other]:
-                aggregates[f"s{i}"] = F.stddev_samp(f"v{i}")
-                return F.col(f"s{i}")
-            aggregates[f"s{i}_{other}"] = F.stddev_samp(
-                F.when(F.col(f"v{other}").isNotNull(), F.col(f"v{i}"))
-            )
-            return F.col(f"s{i}_{other}")
-
-        rows = []
-        for first, second in batch:
-            i, j = position[first], position[second]
-            aggregates[f"c{i}_{j}"] = F.covar_samp(f"v{i}", f"v{j}")
-            scale = F.nullif(deviation(i, j) * deviation(j, i), F.lit(0.0))
-            rows.append(
-                F.struct(
-                    F.lit(first).alias("column_1"),
-                    F.lit(second).alias("column_2"),
-                    (F.col(f"c{i}_{j}") / scale).alias("pearson"),
-                )
+    for batch in in_batches(list(enumerate(pairs)), PAIRS_PER_PASS):
+        cells = [
+            F.struct(
+                F.lit(k).alias("pair"), F.col(position[a]).alias("a"), F.col(position[b]).alias("b")
             )
-        counted = table.agg(*[c.alias(n) for n, c in aggregates.items()])
-        parts.append(counted.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, parts)
+            for k, (a, b) in batch
+        ]
+        both = table.select(F.inline(F.array(*cells))).where("a IS NOT NULL AND b IS NOT NULL")
+        scale = F.nullif(F.stddev_samp("a") * F.stddev_samp("b"), F.lit(0.0))
+        parts.append(both.groupBy("pair").agg((F.covar_samp("a", "b") / scale).alias("pearson")))
+    found = reduce(DataFrame.unionByName, parts)
+    return (
+        df.sparkSession.createDataFrame(labels)
+        .join(F.broadcast(found), "pair", "left")
+        .select("column_1", "column_2", "pearson")
+    )
 
 
 def pair_correlation(df: DataFrame, first: str, second: str) -> DataFrame:
