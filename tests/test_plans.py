@@ -52,8 +52,9 @@ def test_insights_and_gains(result):
     assert found["business_rules", "positive"]["p"] == pytest.approx(0.5)
     improved = insights.improvements(ranked, summary.overall_scores(result)).collect()
     assert all(r["projected"] <= 100 for r in improved)
-    first = insights.prioritized(insights.insights(insights.signals(result)), "validity").first()
-    assert first["dimension"] == "validity"
+    focused = insights.prioritized(insights.insights(insights.signals(result)), "validity")
+    score = focused.where("rule = 'format_violations'").first()["priority_score"]
+    assert score == pytest.approx(0.5 * 0.8 + 0.2 * 0.5 + 0.3 * 1.0)
     assert insights.executive_summary(ranked, insights.improvements(ranked, summary.overall_scores(result))).count() > 3
 
 
