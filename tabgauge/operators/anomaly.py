@@ -85,12 +85,11 @@ def _grow(rows: np.ndarray, depth_limit: int, random: np.random.Generator) -> li
     return nodes
 
 
-def fit_forest(df: DataFrame, columns: list[str], forest: Forest = Forest()) -> pd.DataFrame:
-    """The nodes of all trees, grown in parallel."""
+def fit_forest(df: DataFrame, columns: list[str], forest: Forest, count: int) -> pd.DataFrame:
+    """The nodes of all trees, grown in parallel; ``count`` is the number of rows."""
     features = mean_filled(df, columns)
     names = [f"f{i}" for i in range(len(columns))]
     table = df.select(*[f.alias(n) for f, n in zip(features, names)])
-    count = table.count()
     sample = min(forest.sample, count)
     needed = forest.trees * forest.sample
     # Twice as many rows as needed are drawn, so that no tree runs short.
@@ -163,21 +162,22 @@ def detect_anomalies(
 ) -> DataFrame:
     """The table with ``anomaly_score`` (below 0: anomalous) and ``is_anomaly``."""
     chosen = numeric_choice(df, columns)
-    nodes = fit_forest(df, chosen, forest)
+    rows = df.count()
+    nodes = fit_forest(df, chosen, forest, rows)
     if nodes.empty:
         return df.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn(
             "is_anomaly", F.lit(False)
         )
-    sample = min(forest.sample, df.count())
+    sample = min(forest.sample, rows)
     score = _scorer(df, nodes, sample)
     features = F.struct(*[f.alias(f"f{i}") for i, f in enumerate(mean_filled(df, chosen))])
     # The search for the cut passes over the scores several times, so they are
     # kept: one number per row, not the rows.
     use_checkpoint_dir(df.sparkSession)
     values = df.select(*[ref(c) for c in chosen])
-    scores = spread(values).select(score(features).alias("score")).checkpoint()
+    scores = spread(values, rows).select(score(features).alias("score")).checkpoint()
     cut = exact_quantiles(scores, {"cut": F.col("score")}, [forest.contamination])["cut"][0]
-    scored = spread(df).withColumn("anomaly_score", score(features))
+    scored = spread(df, rows).withColumn("anomaly_score", score(features))
     return scored.withColumn("anomaly_score", F.col("anomaly_score") - F.lit(cut)).withColumn(
         "is_anomaly", F.col("anomaly_score") < 0
     )

@@ -112,7 +112,7 @@ def exact_quantiles(
             *[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)]
         )
         if rows <= budget:
-            found = _direct(spread(table), len(names), shares)
+            found = _direct(spread(table, rows), len(names), shares)
         else:
             # One column at a time: its passes read nothing but that column.
             found = [_searched(table, shares, budget)]

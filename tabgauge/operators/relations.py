@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tabgauge.functions.columns import field_of, grouping_key, in_batches, missing, names_of_kind, percent, present
 from tabgauge.functions.scoring import correlation_strength, dependency_strength
 from tabgauge.operators.completeness import complete_rows
-from tabgauge.operators.small import spread
 
 PAIRS_PER_PASS = 200
 MAX_CATEGORIES = 20
@@ -118,7 +117,7 @@ def _pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """
     names = sorted({n for pair in pairs for n in pair})
     values = {n: present(field_of(df, n)).cast("double") for n in names}
-    table = spread(df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)]))
+    table = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
     position = {n: f"v{i}" for i, n in enumerate(names)}
     labels = pa.table(
         {

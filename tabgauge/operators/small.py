@@ -1,8 +1,7 @@
-"""Inputs that come in fewer pieces than there are cores.
+"""Small inputs that come in fewer pieces than there are cores.
 
-Large inputs have many pieces and are read from storage in every pass, each pass
-reading only its columns. A small file is often a single piece, which would
-leave all cores but one idle; such an input is spread over the cores.
+Large inputs have many pieces and stay as they are. A small file is often a
+single piece, which would leave all cores but one idle.
 """
 
 from __future__ import annotations
@@ -11,14 +10,12 @@ from pyspark.sql import DataFrame
 
 from tabgauge.functions.columns import kind_of, ref
 
+SMALL_ROWS = 2_000_000
 
-def is_small(df: DataFrame) -> bool:
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small input over all cores; any other input as it is."""
-    if not is_small(df):
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """An input of few rows over all cores; any other input as it is."""
+    if rows > SMALL_ROWS:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     keys = [ref(f.name) for f in df.schema.fields if kind_of(f.dataType) != "Other"]
