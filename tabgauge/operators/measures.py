@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 from tabgauge.functions.columns import in_batches, kind_of, present
 
-CONDITIONS_PER_PASS = 200
+# More conditions in one aggregate make its generated code too long for the JIT
+# compiler. Passes read different columns, so splitting costs no extra reading.
+CONDITIONS_PER_PASS = 24
 VALUE = "value"
 
 # For a kind: expressions on ``value`` evaluated once per row, and aggregates
