@@ -3,19 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, as the cluster names it.
+    """The shared folder for checkpoints, as the cluster names it in spark.checkpoint.dir.
 
-    Only where none is named, as in a test on one machine, a local one is made.
+    Only a session on one machine (a local master, as in tests) may go without the
+    setting: it gets a folder of its own. On a cluster a missing setting is an error,
+    because no folder of the driver's machine reaches the executors.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabgauge-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that the driver and all executors share"
+            )
+        folder = tempfile.mkdtemp(prefix="tabgauge-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir() or folder
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{use_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """The table, computed once, written as Parquet in the shared folder and read from there.
+
+    Later steps read only the columns they need, and a lost executor costs them
+    nothing that was computed before.
+    """
+    path = scratch_path(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
