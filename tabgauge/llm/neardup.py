@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabgauge.functions.checkpoints import settled
+from tabgauge.llm.documents import NO_ID, identified, sent
 from tabgauge.llm.words import mixed, shingles
 
 SHINGLE_WORDS = 5
@@ -28,8 +29,6 @@ PERCENT = 75
 BANDS = 40
 ROWS = 4
 SKETCH_BITS = 1024
-#: Ids from here on stand for documents without one.
-NO_ID = 1 << 62
 #: Up to so many ids (8 bytes each) a list of documents is sent to all executors.
 SENT_IDS = 1_000_000
 
@@ -128,21 +127,6 @@ def _sets(batches):
         )
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and id: the doc_id, or a number from the text where there is none."""
-    own = F.xxhash64("text").bitwiseAND(NO_ID - 1).bitwiseOR(F.lit(NO_ID))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), own).alias("id"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
-
-
-def _sent(table: DataFrame, rows: int) -> DataFrame:
-    """A list of ids goes to all executors while it is short, else both sides are shuffled."""
-    return F.broadcast(table) if rows <= SENT_IDS else table
-
-
 def components(links: DataFrame) -> DataFrame:
     """id and root (the smallest id that links lead to), for the ids in links (a, b).
 
@@ -242,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch")
     sketches = settled(sketches)
     count = sketches.count()
-    some = own.join(_sent(sketches.select("id"), count), "id", "left_semi")
+    some = own.join(sent(sketches.select("id"), count, SENT_IDS), "id", "left_semi")
     sets = settled(some.select("id", "text").mapInArrow(_sets, "id long, found array<long>"))
 
     first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import neardup
+from tabgauge.llm import decontaminate, neardup, oracles
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,11 +17,17 @@ def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, folder))
 
 
+def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.contamination(_documents(spark, folder), benchmark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_near_duplicates": _near_duplicates,
+        "op5_decontamination": _decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
