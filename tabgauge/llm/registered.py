@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import decontaminate, neardup, oracles
+from tabgauge.llm import decontaminate, neardup, oracles, secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(_documents(spark, folder))
+
+
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, folder))
 
@@ -24,6 +28,7 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": _secrets,
         "op4_near_duplicates": _near_duplicates,
         "op5_decontamination": _decontamination,
     }
