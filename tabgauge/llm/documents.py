@@ -11,13 +11,37 @@ from pyspark.sql import functions as F
 NO_ID = 1 << 62
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """id, doc_id, text; id is the doc_id, or a number from the text where there is none."""
+def row_id() -> Column:
+    """The doc_id, or a number from the text where there is none."""
     own = F.xxhash64("text").bitwiseAND(NO_ID - 1).bitwiseOR(F.lit(NO_ID))
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
+def identified(docs: DataFrame, *more: str) -> DataFrame:
+    """id, doc_id, text and more text columns; id is never null."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), own).alias("id"),
+        row_id().alias("id"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
+        *[F.col(c).cast("string").alias(c) for c in ("text", *more)],
+    )
+
+
+def without(docs: DataFrame, rows: DataFrame, check: Column, most: int) -> DataFrame:
+    """docs, all its columns, without the rows (id, check) of a stored table.
+
+    check tells rows of one doc_id apart; a short list goes to all executors.
+    """
+    taken = set(docs.columns)
+    names = {}
+    for column in ("id", "check"):
+        name = f"_{column}"
+        while name in taken:
+            name = f"_{name}"
+        names[column] = name
+    left = docs.withColumns({names["id"]: row_id(), names["check"]: check})
+    right = rows.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    return left.join(sent(right, rows.count(), most), list(names.values()), "left_anti").select(
+        *docs.columns
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import decontaminate, neardup, oracles, secrets
+from tabgauge.llm import decontaminate, neardup, oracles, quality, secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,11 +26,16 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, folder), benchmark)
 
 
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(_documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": _secrets,
         "op4_near_duplicates": _near_duplicates,
         "op5_decontamination": _decontamination,
+        "op9_quality_rules": _quality,
     }
 
 
