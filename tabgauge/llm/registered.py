@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import decontaminate, neardup, oracles, quality, secrets
+from tabgauge.llm import decontaminate, neardup, oracles, packing, quality, secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +17,10 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets(_documents(spark, folder))
 
 
+def _packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder))
+
+
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, folder))
 
@@ -33,6 +37,7 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": _secrets,
+        "op3_packing": _packing,
         "op4_near_duplicates": _near_duplicates,
         "op5_decontamination": _decontamination,
         "op9_quality_rules": _quality,
