@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import decontaminate, neardup, oracles, packing, quality, secrets
+from tabgauge.llm import decontaminate, idfiles, neardup, oracles, packing, quality, secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,10 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, folder), benchmark)
 
 
+def _id_files(spark: SparkSession, folder: str) -> DataFrame:
+    return idfiles.written_and_read(_documents(spark, folder))
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_documents(spark, folder))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": _packing,
         "op4_near_duplicates": _near_duplicates,
         "op5_decontamination": _decontamination,
+        "op6_id_files": _id_files,
         "op9_quality_rules": _quality,
     }
 
