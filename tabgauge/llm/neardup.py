@@ -11,13 +11,16 @@
    Groups found so far are merged; only members that share a bucket but not a group
    are then compared with each other. No bucket is expanded into all its pairs, and
    no link between different groups is lost.
+5. Before sets are fetched, the odd sketch of each whole set is consulted: shingles
+   that only one side has flip at most one bit each, so more differing bits than the
+   threshold allows prove that a pair is no link. This check loses nothing.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabgauge.functions.checkpoints import settled
@@ -29,6 +32,7 @@ PERCENT = 75
 BANDS = 40
 ROWS = 4
 SKETCH_BITS = 1024
+PARITY_BITS = 2048
 #: Up to so many ids (8 bytes each) a list of documents is sent to all executors.
 SENT_IDS = 1_000_000
 
@@ -119,11 +123,28 @@ def _fingerprints(batches):
         )
 
 
+def parity_of(found: np.ndarray) -> np.ndarray:
+    """The odd sketch of a whole set as 64-bit words: every member flips one bit."""
+    bits = (found & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    odd = np.bincount(bits, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_SETS = "id long, n long, parity array<long>, found array<long>"
+
+
 def _sets(batches):
+    longs = pa.list_(pa.int64())
     for batch in batches:
-        found = [shingles(data, SHINGLE_WORDS).view(np.int64) for data in _texts(batch)]
+        found = [shingles(data, SHINGLE_WORDS) for data in _texts(batch)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "found"]
+            [
+                batch.column("id"),
+                pa.array([len(f) for f in found], pa.int64()),
+                pa.array([parity_of(f) for f in found], longs),
+                pa.array([f.view(np.int64) for f in found], longs),
+            ],
+            names=["id", "n", "parity", "found"],
         )
 
 
@@ -160,39 +181,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _alike(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches do not rule the threshold out."""
-    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(_different_bits("sketch_a", "sketch_b") <= most_different_bits())
-        .select("a", "b")
-        .distinct()
-    )
+def _paired(table: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with columns of both sides, named <column>_a and <column>_b."""
+    for side in ("a", "b"):
+        held = table.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = pairs.join(held, side)
+    return pairs
 
 
-def _different_bits(left: str, right: str):
-    words = [
-        F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(SKETCH_BITS // 64)
-    ]
+def _different_bits(left: str, right: str, bits: int) -> Column:
+    words = [F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(bits // 64)]
     return sum(words[1:], words[0])
 
 
+def _alike() -> Column:
+    """The sketches sketch_a and sketch_b do not rule the threshold out."""
+    return _different_bits("sketch_a", "sketch_b", SKETCH_BITS) <= most_different_bits()
+
+
+def _possible() -> Column:
+    """The sizes n and odd sketches of the whole sets leave the threshold possible."""
+    different = F.greatest(
+        F.abs(F.col("n_a") - F.col("n_b")), _different_bits("parity_a", "parity_b", PARITY_BITS)
+    )
+    return (100 + PERCENT) * different <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
+
+
 def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("found").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("found").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(100 * common >= PERCENT * union)
-        .select("a", "b")
-        .distinct()
-    )
+    possible = _paired(sets, pairs, "n", "parity").where(_possible()).select("a", "b").distinct()
+    common = F.size(F.array_intersect("found_a", "found_b"))
+    union = F.size("found_a") + F.size("found_b") - common
+    reached = 100 * common >= PERCENT * union
+    return _paired(sets, possible, "found").where(reached).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,16 +248,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = settled(sketches)
     count = sketches.count()
     some = own.join(sent(sketches.select("id"), count, SENT_IDS), "id", "left_semi")
-    sets = settled(some.select("id", "text").mapInArrow(_sets, "id long, found array<long>"))
+    sets = settled(some.select("id", "text").mapInArrow(_sets, _SETS))
 
     first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    links = settled(_confirmed(sets, _alike(sketches, first.distinct())))
-    same_id = _links_by_id(prints, classes)
-    roots = components(links.union(same_id))
-    open_pairs = settled(_alike(sketches, _unsettled(members, roots, sketches)))
-    more = settled(_confirmed(sets, open_pairs))
+    first = _paired(sketches, first.distinct(), "sketch").where(_alike()).select("a", "b")
+    links = settled(_confirmed(sets, first).union(_links_by_id(prints, classes)))
+    roots = components(links)
+    more = settled(_confirmed(sets, _unsettled(members, roots, sketches, sets)))
     if not more.isEmpty():
-        roots = components(links.union(same_id).union(more))
+        roots = components(links.union(more))
 
     named = classes.join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "same", "n_shingles", F.coalesce("root", "node").alias("root")
@@ -283,7 +303,9 @@ def _links_by_id(prints: DataFrame, classes: DataFrame) -> DataFrame:
     return held.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _unsettled(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+def _unsettled(
+    members: DataFrame, roots: DataFrame, sketches: DataFrame, sets: DataFrame
+) -> DataFrame:
     """Pairs that share a bucket, but neither a component nor a comparison so far."""
     rows = (
         members.where("id <> pivot")
@@ -296,17 +318,12 @@ def _unsettled(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> Dat
         .where("low < high")
         .select("bucket")
     )
-    rows = rows.join(mixed_buckets, "bucket", "left_semi").join(sketches, "id")
-    other = rows.select(
-        "bucket",
-        F.col("id").alias("b"),
-        F.col("root").alias("root_b"),
-        F.col("sketch").alias("sketch_b"),
-    )
-    alike = _different_bits("sketch", "sketch_b") <= most_different_bits()
-    return (
-        rows.join(other, "bucket")
-        .where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & alike)
-        .select(F.col("id").alias("a"), "b")
-        .distinct()
-    )
+    held = rows.join(mixed_buckets, "bucket", "left_semi")
+    held = held.join(sketches, "id").join(sets.select("id", "n", "parity"), "id")
+    sides = [
+        held.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "bucket"])
+        for side in ("a", "b")
+    ]
+    new = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = sides[0].join(sides[1], "bucket").where(new & _possible() & _alike())
+    return settled(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())

@@ -51,7 +51,7 @@ def test_documents_as_brute_force(spark):
     assert result(docs.repartition(7)) == brute_force(rows)
 
 
-def test_chains_of_copies_without_a_common_base(spark):
+def test_chains_of_copies(spark):
     rng = random.Random(5)
     rows, texts = [], []
     for start in range(6):
@@ -122,4 +122,4 @@ def test_sketch_estimates(spark):
 
 def test_estimate_in_spark(spark):
     table = spark.createDataFrame([([1, -1] + [0] * 14, [0] * 16)], "l array<long>, r array<long>")
-    assert table.select(neardup._different_bits("l", "r").alias("n")).first().n == 65
+    assert table.select(neardup._different_bits("l", "r", 1024).alias("n")).first().n == 65
