@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgauge.functions.checkpoints import settled
-from tabgauge.llm.documents import identified, lowered, sent
+from tabgauge.llm.documents import identified, lowered, sent, without
 
 WINDOW = 10
 RAREST = 3
@@ -263,3 +263,9 @@ def contamination_by_row(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         )
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that no benchmark window hits, with all their columns."""
+    hit = settled(contamination_by_row(docs, benchmark).where("contaminated").select("id", "check"))
+    return without(docs, hit, SENT_ROWS, check=F.xxhash64("text"))

@@ -26,20 +26,18 @@ def identified(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def without(docs: DataFrame, rows: DataFrame, check: Column, most: int) -> DataFrame:
-    """docs, all its columns, without the rows (id, check) of a stored table.
+def without(docs: DataFrame, rows: DataFrame, most: int, **checks: Column) -> DataFrame:
+    """docs, all its columns, without the rows of a stored table (id and checks).
 
-    check tells rows of one doc_id apart; a short list goes to all executors.
+    checks are what, besides the id, tells rows apart; up to `most` rows of the table
+    are sent to all executors.
     """
-    taken = set(docs.columns)
-    names = {}
-    for column in ("id", "check"):
-        name = f"_{column}"
-        while name in taken:
-            name = f"_{name}"
-        names[column] = name
-    left = docs.withColumns({names["id"]: row_id(), names["check"]: check})
-    right = rows.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    values = {"id": row_id(), **checks}
+    names = {column: f"_{column}" for column in values}
+    while set(names.values()) & set(docs.columns):
+        names = {column: f"_{name}" for column, name in names.items()}
+    left = docs.withColumns({names[column]: value for column, value in values.items()})
+    right = rows.select(*[F.col(column).alias(name) for column, name in names.items()]).distinct()
     return left.join(sent(right, rows.count(), most), list(names.values()), "left_anti").select(
         *docs.columns
     )

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabgauge.functions.checkpoints import settled
-from tabgauge.llm.documents import NO_ID, identified, sent
+from tabgauge.llm.documents import NO_ID, identified, sent, without
 from tabgauge.llm.words import mixed, shingles
 
 SHINGLE_WORDS = 5
@@ -216,18 +216,8 @@ def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return _paired(sets, possible, "found").where(reached).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
-
-    * Documents with 100 * common shingles >= 75 * all shingles are linked; a component
-      is what links lead to, named by its smallest doc_id; the document of that id is kept.
-    * Null or empty texts and texts without words have no shingles, are linked with
-      nothing and kept. Fewer than five words are one shingle.
-    * Rows that repeat a doc_id count as one document that has the links of all of them.
-    * A null doc_id takes part through its text; a component of such rows only has a
-      null component_id. These rows are kept only if they name no other document.
-    * Ids are below 2**62. Other columns are not looked at. No rows give no rows.
-    """
+def judged(docs: DataFrame) -> DataFrame:
+    """id, doc_id, n_shingles, root (the smallest id of the component) for every row."""
     own = identified(docs)
     prints = settled(
         own.mapInArrow(
@@ -261,22 +251,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "same", "n_shingles", F.coalesce("root", "node").alias("root")
     )
-    # Copies of one text can be a third of all rows: the side of the classes is dealt
-    # to every part of a hot class by the adaptive join.
-    component = F.coalesce("root", "id")
-    component = F.when(component < NO_ID, component)
+    # Copies of one text can be a third of all rows; the adaptive join splits them.
     return (
         prints.select("id", "doc_id", "n_shingles", "same")
         .join(named, ["same", "n_shingles"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            component.alias("component_id"),
-            F.col("doc_id").eqNullSafe(component).alias("kept"),
-        )
+        .select("id", "doc_id", "n_shingles", F.coalesce("root", "id").alias("root"))
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+
+    * Documents with 100 * common shingles >= 75 * all shingles are linked; a component
+      is what links lead to, named by its smallest doc_id; the document of that id is kept.
+    * Null or empty texts and texts without words have no shingles, are linked with
+      nothing and kept. Fewer than five words are one shingle.
+    * Rows that repeat a doc_id count as one document that has the links of all of them.
+    * A null doc_id takes part through its text; a component of such rows only has a
+      null component_id. These rows are kept only if they name no other document.
+    * Ids are below 2**62. Other columns are not looked at. No rows give no rows.
+    """
+    component = F.when(F.col("root") < NO_ID, F.col("root"))
+    return judged(docs).select(
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, of which each component keeps one document.
+
+    Of rows that repeat both the id and a text with words, one stays.
+    """
+    rows = settled(judged(docs))
+    others = settled(rows.where("root <> id").select("id"))
+    kept = without(docs, others, SENT_IDS)
+    again = rows.where("n_shingles > 0 and root = id").groupBy("id").agg(F.count("*").alias("n"))
+    again = settled(again.where("n > 1").select("id"))
+    if again.isEmpty():
+        return kept
+    once = without(kept, again, SENT_IDS)
+    repeated = kept.exceptAll(once)
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
 def _members(nodes: DataFrame) -> DataFrame:
     """bucket, id, pivot (the smallest id in the bucket), for buckets of several classes."""
     rows = nodes.select("id", F.explode("buckets").alias("bucket"))

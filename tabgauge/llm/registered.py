@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tabgauge.llm import decontaminate, idfiles, neardup, oracles, packing, quality, secrets
 
 
@@ -46,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": _decontamination,
         "op6_id_files": _id_files,
         "op9_quality_rules": _quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -328,3 +328,21 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
             ),
         )
     )
+
+
+def redact(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+    """docs, all its columns, with the mark in place of every span found in text.
+
+    n_chars, where there is such a column, is set to the new length of changed texts.
+    Null texts stay null.
+    """
+    found = with_spans(docs.select(F.struct("*").alias("row"), "text"), allowed)
+    changed = F.size("_spans") > 0
+    new = F.when(changed, redacted(F.col("_text"), F.col("_spans"))).otherwise(F.col("text"))
+    found = found.withColumn("_new", new)
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.col("_new")
+    if "n_chars" in columns:
+        length = F.length("_new").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(changed, length).otherwise(columns["n_chars"])
+    return found.select(*[value.alias(c) for c, value in columns.items()])
