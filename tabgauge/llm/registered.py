@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabgauge.llm import decontaminate, idfiles, neardup, oracles, packing, quality, secrets
+from tabgauge.llm import decontaminate, idfiles, language, neardup, oracles, packing, quality, secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +35,10 @@ def _id_files(spark: SparkSession, folder: str) -> DataFrame:
     return idfiles.written_and_read(_documents(spark, folder))
 
 
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(_documents(spark, folder))
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_documents(spark, folder))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": _decontamination,
         "op6_id_files": _id_files,
         "op9_quality_rules": _quality,
+        "op10_languages": _languages,
         "pipeline": corpus_pipeline.run,
     }
 
