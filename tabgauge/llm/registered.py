@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabgauge.llm import decontaminate, idfiles, language, neardup, oracles, packing, quality, secrets
+from tabgauge.llm import decontaminate, extraction, idfiles, language, neardup, oracles, packing, quality, secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,10 @@ def _languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(_documents(spark, folder))
 
 
+def _main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_documents(spark, folder))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": _near_duplicates,
         "op5_decontamination": _decontamination,
         "op6_id_files": _id_files,
+        "op7_main_texts": _main_texts,
         "op9_quality_rules": _quality,
         "op10_languages": _languages,
         "pipeline": corpus_pipeline.run,
