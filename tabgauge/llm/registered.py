@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabgauge.llm import decontaminate, extraction, idfiles, language, neardup, oracles, packing, quality, secrets
+from tabgauge.llm import decontaminate, extraction, idfiles, language, licenses, neardup, oracles, packing, quality, secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets(_documents(spark, folder))
 
 
+def _licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(_documents(spark, folder))
+
+
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder))
 
@@ -50,6 +54,7 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": _secrets,
+        "op2_licenses": _licenses,
         "op3_packing": _packing,
         "op4_near_duplicates": _near_duplicates,
         "op5_decontamination": _decontamination,
