@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabgauge.llm import decontaminate, extraction, idfiles, language, licenses, neardup, oracles, packing, quality, secrets
+from tabgauge.llm import decontaminate, extraction, idfiles, language, licenses, neardup, oracles, packing, quality, secrets, token_counts
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +47,10 @@ def _main_texts(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counts_after_redaction(_documents(spark, folder))
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_documents(spark, folder))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": _decontamination,
         "op6_id_files": _id_files,
         "op7_main_texts": _main_texts,
+        "op8_token_counts": _token_counts,
         "op9_quality_rules": _quality,
         "op10_languages": _languages,
         "pipeline": corpus_pipeline.run,
