@@ -34,17 +34,15 @@ def moment(as_of: str | date | datetime | None) -> Column:
 def parse_date(text: Column) -> Column:
     """Timestamp of a date text, NULL when it is no date.
 
-    The length test keeps long text away from the patterns; what passes them is
-    rewritten as year-month-day and cast, which never raises.
+    What passes the anchored patterns is rewritten as year-month-day and cast, which
+    never raises.
     """
     forms = [
         F.when(text.rlike(pattern), F.regexp_replace(text, pattern, form)).try_cast("timestamp")
         for pattern, form in TEXT_FORMS
     ]
-    return (
-        F.when(F.length(text) > 40, F.lit(None).cast("timestamp"))
-        .when(text.rlike(_DATE), F.coalesce(*forms))
-        .when(text.rlike(_MOMENT), text.try_cast("timestamp"))
+    return F.when(text.rlike(_DATE), F.coalesce(*forms)).when(
+        text.rlike(_MOMENT), text.try_cast("timestamp")
     )
 
 

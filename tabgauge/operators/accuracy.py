@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ def far_from_mean(
         mean, std = found.get(field.name, (None, None))
         if mean is not None:
             value = present(field).cast("double")
-            distance = F.abs((value - mean) / std) if std > 0 else F.lit(0.0)
+            # an infinite value leaves no deviation to measure by
+            usable = std > 0 and math.isfinite(mean) and math.isfinite(std)
+            distance = F.abs((value - mean) / std) if usable else F.lit(0.0)
             conditions[field.name] = distance > limit
     return conditions
 

@@ -1,7 +1,8 @@
 """Anomaly detection with an isolation forest.
 
-Each tree is grown in its own task from a small random sample; the sampling is
-part of the method. The forest (at most trees x 2 x sample nodes, whatever the
+Each tree is grown in its own task from a small sample; the sampling is part of the
+method. A hash of seed, tree and row decides which rows a tree sees, so the forest does
+not depend on how the table is split or on tasks that run again. The forest (at most trees x 2 x sample nodes, whatever the
 table's size) is then sent to all tasks, which score their rows batch by batch.
 The cut between normal and anomalous rows is an exact quantile of all scores.
 """
@@ -17,11 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.checkpoints import use_checkpoint_dir
+from tabgauge.functions.checkpoints import settled
 from tabgauge.functions.columns import field_of, names_of_kind, percent, present, ref
 from tabgauge.operators.distribution import histogram
 from tabgauge.operators.quantiles import exact_quantiles
-from tabgauge.operators.small import spread
 
 _NODES = (
     "tree int, node int, feature int, threshold double, left_node int, right_node int,"
@@ -85,23 +85,24 @@ def _grow(rows: np.ndarray, depth_limit: int, random: np.random.Generator) -> li
     return nodes
 
 
-def fit_forest(df: DataFrame, columns: list[str], forest: Forest, count: int) -> pd.DataFrame:
-    """The nodes of all trees, grown in parallel; ``count`` is the number of rows."""
-    features = mean_filled(df, columns)
-    names = [f"f{i}" for i in range(len(columns))]
-    table = df.select(*[f.alias(n) for f, n in zip(features, names)])
+def fit_forest(
+    df: DataFrame, features: list[Column], forest: Forest, count: int, key: list[str] | None = None
+) -> pd.DataFrame:
+    """The nodes of all trees, grown in parallel; ``count`` is the number of rows.
+
+    A row is drawn for a tree where the hash of the tree and the row's ``key`` (all
+    columns unless given) is below the rate.
+    """
+    names = [f"f{i}" for i in range(len(features))]
+    place = F.xxhash64(*[ref(c) for c in key or df.columns])
+    table = df.select(*[f.alias(n) for f, n in zip(features, names)], place.alias("place"))
     sample = min(forest.sample, count)
-    needed = forest.trees * forest.sample
     # Twice as many rows as needed are drawn, so that no tree runs short.
-    if count > 2 * needed:
-        drawn = table.sample(False, 2.0 * needed / count, forest.seed)
-        assigned = drawn.withColumn(
-            "tree", F.floor(F.rand(forest.seed) * forest.trees).cast("int")
-        )
-    else:
-        all_trees = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
-        kept = min(1.0, 2.0 * sample / max(count, 1))
-        assigned = table.select("*", all_trees).where(F.rand(forest.seed) < kept)
+    rate = min(1.0, 2.0 * sample / max(count, 1))
+    bound = F.lit(int(rate * (2**63 - 1)))
+    every_tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
+    drawn = F.xxhash64(F.lit(forest.seed), "tree", "place").bitwiseAND(2**63 - 1) <= bound
+    assigned = table.select("*", every_tree).where(drawn).drop("place")
     depth_limit = math.ceil(math.log2(max(sample, 2)))
     seed = forest.seed
 
@@ -158,26 +159,29 @@ def _scorer(df: DataFrame, nodes: pd.DataFrame, sample: int):
 
 
 def detect_anomalies(
-    df: DataFrame, columns: list[str] | None = None, forest: Forest = Forest()
+    df: DataFrame,
+    columns: list[str] | None = None,
+    forest: Forest = Forest(),
+    key: list[str] | None = None,
 ) -> DataFrame:
-    """The table with ``anomaly_score`` (below 0: anomalous) and ``is_anomaly``."""
+    """The table with ``anomaly_score`` (below 0: anomalous) and ``is_anomaly``.
+
+    ``key`` names columns that identify a row, all columns unless given. Rows are scored
+    once, into shared storage; the cut and the result are both taken from there.
+    """
     chosen = numeric_choice(df, columns)
     rows = df.count()
-    nodes = fit_forest(df, chosen, forest, rows)
+    features = mean_filled(df, chosen)
+    nodes = fit_forest(df, features, forest, rows, key)
     if nodes.empty:
         return df.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn(
             "is_anomaly", F.lit(False)
         )
-    sample = min(forest.sample, rows)
-    score = _scorer(df, nodes, sample)
-    features = F.struct(*[f.alias(f"f{i}") for i, f in enumerate(mean_filled(df, chosen))])
-    # The search for the cut passes over the scores several times, so they are
-    # kept: one number per row, not the rows.
-    use_checkpoint_dir(df.sparkSession)
-    values = df.select(*[ref(c) for c in chosen])
-    scores = spread(values, rows).select(score(features).alias("score")).checkpoint()
-    cut = exact_quantiles(scores, {"cut": F.col("score")}, [forest.contamination])["cut"][0]
-    scored = spread(df, rows).withColumn("anomaly_score", score(features))
+    score = _scorer(df, nodes, min(forest.sample, rows))
+    vector = F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features)])
+    scored = settled(df.withColumn("anomaly_score", score(vector)))
+    found = exact_quantiles(scored, {"cut": F.col("anomaly_score")}, [forest.contamination])
+    cut = found["cut"][0]
     return scored.withColumn("anomaly_score", F.col("anomaly_score") - F.lit(cut)).withColumn(
         "is_anomaly", F.col("anomaly_score") < 0
     )

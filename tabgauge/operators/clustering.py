@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgauge.functions.columns import field_of, percent, present, ref
 from tabgauge.operators.anomaly import mean_filled, numeric_choice
-from tabgauge.operators.quantiles import exact_quantiles
-
-MAX_GROUPS = 100
+from tabgauge.operators.quantiles import stacked_quantiles
 
 
 def cluster_rows(
@@ -70,24 +66,21 @@ def cluster_stats(
 
 
 def cluster_medians(clustered: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """Exact median per cluster and column, for up to ``MAX_GROUPS`` clusters.
+    """Exact median per cluster and column, all searched together.
 
-    Each cluster and column is a separate search, so that no task has to hold
-    the values of a cluster.
+    No task holds the values of a cluster; a few numbers per cluster reach the driver.
     """
-    groups = [r[0] for r in clustered.select(ref(label)).distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{label!r} has more than {MAX_GROUPS} groups")
-    wanted = {
-        (i, c): F.when(ref(label).eqNullSafe(g), present(field_of(clustered, c)))
-        for i, g in enumerate(groups)
-        for c in columns
-    }
-    named = {f"{i}/{c}": (i, c) for i, c in wanted}
-    found = exact_quantiles(clustered, {n: wanted[key] for n, key in named.items()}, [0.5])
+    cells = [
+        F.struct(
+            F.struct(ref(label).alias("group"), F.lit(i).alias("position")).alias("key"),
+            present(field_of(clustered, c)).cast("double").alias("value"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    found = stacked_quantiles(clustered.select(F.inline(F.array(*cells))), [0.5])
     label_type = field_of(clustered, label).dataType.simpleString()
     return clustered.sparkSession.createDataFrame(
-        [(groups[i], c, found[n][0]) for n, (i, c) in named.items()],
+        [(key["group"], columns[key["position"]], median) for key, (median,) in found.items()],
         f"`{label}` {label_type}, column string, median double",
     )
 
@@ -97,13 +90,12 @@ def cluster_samples(
 ) -> DataFrame:
     """The first rows of every cluster in a stated order.
 
-    One small sorted limit per cluster, rather than a window over each.
+    Each task keeps its first rows per cluster before anything is shuffled.
     """
-    groups = [r[0] for r in clustered.select(ref(label)).distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{label!r} has more than {MAX_GROUPS} groups")
-    parts = [
-        clustered.where(ref(label).eqNullSafe(g)).orderBy(*[ref(c) for c in order_by]).limit(rows)
-        for g in groups
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    number = "__number"
+    first = Window.partitionBy(ref(label)).orderBy(*[ref(c) for c in order_by])
+    return (
+        clustered.withColumn(number, F.row_number().over(first))
+        .where(F.col(number) <= rows)
+        .drop(number)
+    )

@@ -89,7 +89,7 @@ def outside_fences(df: DataFrame, found: Quartiles) -> dict[str, Column]:
     for field in numeric_fields(df):
         low, _, high = found[field.name]
         if low is not None:
-            reach = fixed.IQR_FACTOR * (high - low)
+            reach = fixed.IQR_FACTOR * (high - low) if high > low else 0.0
             value = present(field).cast("double")
             conditions[field.name] = (value < low - reach) | (value > high + reach)
     return conditions

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from tabgauge.functions import fixed
 from tabgauge.functions.columns import present
 from tabgauge.functions.scoring import distribution_quality
-from tabgauge.operators.consistency import SPREAD, Quartiles, numeric_fields, quartiles
-from tabgauge.operators.measures import SIZE, VALUE, Measures, combined, measure
+from tabgauge.operators.consistency import Quartiles, numeric_fields, quartiles
+from tabgauge.operators.measures import VALUE, Measures, count_where, measure
 
 _BINS_PER_BLOCK = 10_000
 
@@ -36,6 +36,26 @@ def _skew(kind: str):
     }
 
 
+def finite(value: Column) -> Column:
+    return F.abs(value) < F.lit(math.inf)
+
+
+def _finite(kind: str):
+    if kind != "Numeric":
+        return {}, {}
+    kept = F.when(finite(F.col(VALUE)), F.col(VALUE))
+    return {}, {
+        "finite_count": F.count(kept),
+        "finite_min": F.min(kept),
+        "finite_max": F.max(kept),
+    }
+
+
+# What histograms span: the values that are not infinite.
+FINITE = Measures(
+    {"finite_count": "bigint", "finite_min": "double", "finite_max": "double"}, _finite
+)
+
 # Number of values and sample skewness of numeric columns.
 SKEW = Measures({"values": "bigint", "skewness": "double"}, _skew)
 
@@ -57,7 +77,7 @@ def auto_bins(count: int, low: float, high: float, iqr: float, whole: bool) -> i
         return 1
     sturges = reach / (math.log2(count) + 1.0)
     relaxed = max(2.0 * iqr / count ** (1.0 / 3.0), reach / math.sqrt(count) / 2)
-    width = min(relaxed, sturges)
+    width = min(relaxed, sturges) if relaxed > 0 else sturges
     if whole and width < 1:
         width = 1.0
     return max(1, math.ceil(reach / width))
@@ -90,7 +110,7 @@ def bins_of(df: DataFrame, bins: int | None = None) -> dict[str, Bins]:
     fields = numeric_fields(df)
     if not fields:
         return {}
-    sizes = measure(df, combined(SIZE, SPREAD), fields).collect()
+    sizes = measure(df, FINITE, fields).collect()
     return bins_from(df, sizes, quartiles(df) if bins is None else {}, bins)
 
 
@@ -101,23 +121,29 @@ def bins_from(
     types = {f.name: f.dataType for f in df.schema.fields}
     result = {}
     for row in sizes:
-        name, count = row["column"], row["row_count"] - row["missing_count"]
-        if row["min"] is None:
+        name, count = row["column"], row["finite_count"]
+        if not count:
             continue
+        low, high = row["finite_min"], row["finite_max"]
         number = bins
         if number is None:
             first, _, third = found[name]
             whole = isinstance(types[name], T.IntegralType)
-            number = auto_bins(count, row["min"], row["max"], third - first, whole)
-        result[name] = Bins(row["min"], row["max"], number)
+            iqr = third - first if third > first else 0.0
+            number = auto_bins(count, low, high, iqr, whole)
+        result[name] = Bins(low, high, number)
     return result
 
 
 def bin_counts(df: DataFrame, bins: dict[str, Bins]) -> DataFrame:
-    """Values per column and bin, for bins that have any."""
+    """Values per column and bin, for bins that have any; infinite values have none."""
     fields = [f for f in numeric_fields(df) if f.name in bins]
+    values = {f.name: present(f).cast("double") for f in fields}
     indexed = df.select(
-        *[bins[f.name].index_of(present(f).cast("double")).alias(f"b{i}") for i, f in enumerate(fields)]
+        *[
+            F.when(finite(values[f.name]), bins[f.name].index_of(values[f.name])).alias(f"b{i}")
+            for i, f in enumerate(fields)
+        ]
     )
     names = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f"b{i}"), F.lit(f.name))])
     return (
@@ -167,6 +193,12 @@ def histogram(df: DataFrame, bins: int | None = None) -> DataFrame:
     )
 
 
+def infinite_values(df: DataFrame) -> DataFrame:
+    """Number of infinite values per numeric column, which no histogram shows."""
+    conditions = {f.name: ~finite(present(f).cast("double")) for f in numeric_fields(df)}
+    return count_where(df, {"infinite_count": conditions}).drop("ordinal")
+
+
 def peaks(df: DataFrame, bins: int | None = None) -> DataFrame:
     """Inner bins fuller than both neighbours, per numeric column."""
     return peaks_in(df, bins_of(df, bins))

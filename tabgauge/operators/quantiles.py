@@ -1,13 +1,12 @@
-"""Exact quantiles with linear interpolation, at any size.
-
-Small inputs go through the built-in ``percentile``. It keeps every distinct
-value in one task, so above a budget the search is narrowed first. A bounded
-sketch gives, per column and wanted rank, two values around it; the next pass
-counts exactly how many values lie below, on and between them, which proves
-where the rank is, and only the values strictly between are sketched again. Each
-pass cuts the candidates a hundredfold or more, whatever ties the data has. When
-few are left, ``percentile_disc`` picks the value among them. Only a handful of
-numbers per column reaches the driver in each pass.
+"""Exact quantiles with linear interpolation, one algorithm at any size.
+
+All columns are stacked and searched together. A bounded sketch gives, per column and
+wanted rank, two values around it. The next pass counts exactly how many values lie
+below, on and between all these values, which proves where each rank is: on one of them,
+or strictly between two. Once few values lie between, they are gathered and the rank is
+picked; until then they are sketched again, which cuts them a hundredfold or more each
+time, whatever ties the data has. Infinite values take their place in the order. Only a
+handful of numbers per column reaches the driver in each pass.
 """
 
 from __future__ import annotations
@@ -17,175 +16,174 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabgauge.functions.columns import in_batches
-from tabgauge.operators.small import spread
-
-VALUE_BUDGET = 8_000_000
-COLUMNS_PER_PASS = 8
+#: As many values between two bounds are gathered, 8 bytes each; more are narrowed first.
+GATHERED = 100_000
 _GRID = 1_000
 _ACCURACY = 20_000
-# Below this many candidates per rank narrowing further does not pay.
-_PER_RANK = 100
+_SLACK = 2
 
 
 @dataclass
 class _Rank:
     """The search for one order statistic, between two values (None: open)."""
 
-    column: str
     rank: int
     low: float | None = None
     high: float | None = None
-    slack: int = 2
-    up_to_low: int = 0
-    between: int = 0
     value: float | None = None
-
-    def interior(self) -> Column:
-        value = F.col(self.column)
-        condition = value.isNotNull()
-        if self.low is not None:
-            condition = condition & (value > self.low)
-        if self.high is not None:
-            condition = condition & (value < self.high)
-        return condition
-
-    def counts(self, j: int) -> list[Column]:
-        value = F.col(self.column)
-        none = F.lit(False)
-        return [
-            F.count_if(none if self.low is None else value < self.low).alias(f"lt{j}"),
-            F.count_if(none if self.low is None else value == self.low).alias(f"lo{j}"),
-            F.count_if(self.interior()).alias(f"in{j}"),
-            F.count_if(none if self.high is None else value == self.high).alias(f"hi{j}"),
-        ]
-
-    def locate(self, below: int, at_low: int, between: int, at_high: int) -> None:
-        """Settle the rank on a bound, keep it inside, or start again wider."""
-        self.up_to_low, self.between = below + at_low, between
-        if below <= self.rank < self.up_to_low:
-            self.value = self.low
-        elif self.up_to_low <= self.rank < self.up_to_low + between:
-            pass
-        elif self.rank >= self.up_to_low and self.rank < self.up_to_low + between + at_high:
-            self.value = self.high
-        else:
-            self.low, self.high, self.slack = None, None, self.slack * 4
-            self.up_to_low, self.between = 0, -1
+    before: int = 0
+    between: int = 0
+    part: int = 0
 
     def narrow(self, count: int, grid: list[float]) -> None:
-        local = self.rank - self.up_to_low
-        first = math.floor(local / count * _GRID) - self.slack
-        last = math.ceil((local + 1) / count * _GRID) + self.slack
+        """Bounds from a sketch of the values that lie between the present ones."""
+        local = self.rank - self.before
+        first = math.floor(local / count * _GRID) - _SLACK
+        last = math.ceil((local + 1) / count * _GRID) + _SLACK
         if first > 0:
             self.low = grid[first]
         if last < _GRID:
             self.high = grid[last]
 
-    def pick(self) -> Column:
-        share = (self.rank - self.up_to_low + 0.5) / self.between
-        bounds = []
-        if self.low is not None:
-            bounds.append(f"{self.column} > {self.low!r}D")
-        if self.high is not None:
-            bounds.append(f"{self.column} < {self.high!r}D")
-        kept = " AND ".join(bounds) or f"{self.column} IS NOT NULL"
-        return F.expr(
-            f"percentile_disc({share!r}D) WITHIN GROUP "
-            f"(ORDER BY CASE WHEN {kept} THEN {self.column} END)"
-        )
+
+class _Search:
+    """The open ranks of one column and the bounds that split its values."""
+
+    def __init__(self, count: int, shares: list[float]) -> None:
+        self.count = count
+        places = [share * (count - 1) for share in shares]
+        self.ranks = {r: _Rank(r) for p in places for r in (math.floor(p), math.ceil(p))}
+        self.bounds: list[float] = []
+
+    def open(self) -> list[_Rank]:
+        return [r for r in self.ranks.values() if r.value is None]
+
+    def bound(self) -> None:
+        ends = {x for r in self.open() for x in (r.low, r.high) if x is not None}
+        self.bounds = sorted(ends)
+
+    def locate(self, counts: dict[int, int]) -> None:
+        """Place the open ranks by the exact number of values in each part.
+
+        Part 2 i holds the values strictly between bounds i - 1 and i, part 2 i + 1 those
+        equal to bound i.
+        """
+        for rank in self.open():
+            before = 0
+            for part in range(2 * len(self.bounds) + 1):
+                held = counts.get(part, 0)
+                if before <= rank.rank < before + held:
+                    break
+                before += held
+            i, equal = divmod(part, 2)
+            if equal:
+                rank.value = self.bounds[i]
+            else:
+                rank.low = self.bounds[i - 1] if i else None
+                rank.high = self.bounds[i] if i < len(self.bounds) else None
+                rank.before, rank.between, rank.part = before, held, part
+
+    def quantile(self, share: float) -> float:
+        place = share * (self.count - 1)
+        low = self.ranks[math.floor(place)].value
+        high = self.ranks[math.ceil(place)].value
+        part = place - math.floor(place)
+        if low == high or part == 0:
+            return low
+        if math.isinf(low):  # nothing lies between; the lower one of two infinities
+            return low
+        return high if math.isinf(high) else low + (high - low) * part
 
 
 def exact_quantiles(
-    df: DataFrame,
-    values: dict[str, Column],
-    shares: list[float],
-    budget: int = VALUE_BUDGET,
+    df: DataFrame, values: dict[str, Column], shares: list[float], gathered: int = GATHERED
 ) -> dict[str, list[float | None]]:
     """Quantiles of each expression, skipping NULL; None for no values at all."""
-    result: dict[str, list[float | None]] = {}
-    rows = df.count() if values else 0
-    direct = max(1, min(COLUMNS_PER_PASS, budget // max(rows, 1)))
-    for names in in_batches(list(values), direct):
-        table = df.select(
-            *[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)]
-        )
-        if rows <= budget:
-            found = _direct(spread(table, rows), len(names), shares)
-        else:
-            # One column at a time: its passes read nothing but that column.
-            found = [_searched(table, shares, budget)]
-        result.update(zip(names, found))
-    return result
-
-
-def _direct(table: DataFrame, width: int, shares: list[float]) -> list:
-    row = table.agg(
-        *[F.percentile(f"v{i}", shares).alias(f"q{i}") for i in range(width)]
-    ).first()
-    return [list(q) if q is not None else [None] * len(shares) for q in row]
-
-
-def _searched(table: DataFrame, shares: list[float], budget: int) -> list:
-    """Quantiles of the only column, ``v0``."""
+    none: list[float | None] = [None] * len(shares)
+    if not values:
+        return {}
+    cells = [
+        F.struct(F.lit(i).alias("key"), v.cast("double").alias("value"))
+        for i, v in enumerate(values.values())
+    ]
+    stacked = df.select(F.inline(F.array(*cells)))
+    found = stacked_quantiles(stacked, shares, gathered)
+    return {name: found.get(i, none) for i, name in enumerate(values)}
+
+
+def stacked_quantiles(stacked: DataFrame, shares: list[float], gathered: int = GATHERED) -> dict:
+    """Key to quantiles, from rows (key, value); keys without values are left out.
+
+    The driver holds a few numbers per key.
+    """
+    stacked = stacked.where(F.col("value").isNotNull())
     grid = [i / _GRID for i in range(_GRID + 1)]
-    count, sketch = table.agg(
-        F.count("v0"), F.percentile_approx("v0", grid, _ACCURACY)
-    ).first()
-    if not count:
-        return [None] * len(shares)
-    searches: dict[int, _Rank] = {}
-    for share in shares:
-        position = share * (count - 1)
-        for rank in (math.floor(position), math.ceil(position)):
-            if rank not in searches:
-                searches[rank] = _Rank("v0", rank)
-                searches[rank].narrow(count, sketch)
-
-    while True:
-        open_searches = [s for s in searches.values() if s.value is None]
-        if not open_searches:
-            break
-        _count_all(table, open_searches)
-        open_searches = [s for s in open_searches if s.value is None]
-        lost = [s for s in open_searches if s.between < 0]
-        enough = max(budget, _PER_RANK * len(open_searches))
-        if not lost and sum(s.between for s in open_searches) <= enough:
-            _pick_all(table, open_searches)
-            break
-        sketched = table.agg(
-            *[
-                part
-                for j, s in enumerate(open_searches)
-                for part in (
-                    F.count_if(s.interior()).alias(f"n{j}"),
-                    F.percentile_approx(
-                        F.when(s.interior(), F.col(s.column)), grid, _ACCURACY
-                    ).alias(f"g{j}"),
-                )
-            ]
-        ).first()
-        for j, search in enumerate(open_searches):
-            search.narrow(sketched[f"n{j}"], sketched[f"g{j}"])
-    return [_interpolated(searches, count, share) for share in shares]
-
-
-def _count_all(table: DataFrame, searches: list[_Rank]) -> None:
-    row = table.agg(*[c for j, s in enumerate(searches) for c in s.counts(j)]).first()
-    for j, search in enumerate(searches):
-        search.locate(*(row[f"{part}{j}"] for part in ("lt", "lo", "in", "hi")))
-
-
-def _pick_all(table: DataFrame, searches: list[_Rank]) -> None:
-    if searches:
-        row = table.agg(*[s.pick().alias(f"q{j}") for j, s in enumerate(searches)]).first()
-        for search, value in zip(searches, row):
-            search.value = value
-
-
-def _interpolated(searches: dict[int, _Rank], count: int, share: float) -> float:
-    position = share * (count - 1)
-    low = searches[math.floor(position)].value
-    high = searches[math.ceil(position)].value
-    return low + (high - low) * (position - math.floor(position))
+    sketch = F.percentile_approx("value", grid, _ACCURACY)
+    searches = {}
+    for key, count, found in stacked.groupBy("key").agg(F.count("value"), sketch).collect():
+        searches[key] = _Search(count, shares)
+        for rank in searches[key].open():
+            rank.narrow(count, found)
+    while active := {k: s for k, s in searches.items() if s.open()}:
+        for search in active.values():
+            search.bound()
+        parted = _parted(stacked, active)
+        counts: dict = {}
+        for key, part, count in parted.groupBy("key", "part").count().collect():
+            counts.setdefault(key, {})[part] = count
+        for key, search in active.items():
+            search.locate(counts[key])
+        left = [(k, r) for k, s in active.items() for r in s.open()]
+        _pick(parted, [(k, r) for k, r in left if r.between <= gathered])
+        wide = [(k, r) for k, r in left if r.between > gathered]
+        if wide:
+            inside = _only(parted, {(k, r.part) for k, r in wide})
+            again = inside.groupBy("key", "part").agg(F.count("value"), sketch).collect()
+            sketched = {(key, part): (count, found) for key, part, count, found in again}
+            for key, rank in wide:
+                rank.narrow(*sketched[key, rank.part])
+    return {key: [s.quantile(share) for share in shares] for key, s in searches.items()}
+
+
+def _local(like: DataFrame, rows: list[tuple], rest: str) -> DataFrame:
+    """A small table whose first column is a key of another table."""
+    schema = T.StructType([like.schema["key"], *T.StructType.fromDDL(rest).fields])
+    return F.broadcast(like.sparkSession.createDataFrame(rows, schema))
+
+
+def _parted(stacked: DataFrame, searches: dict) -> DataFrame:
+    """Rows with the part of their column that they lie in."""
+    rows = [(key, search.bounds) for key, search in searches.items()]
+    joined = stacked.join(_local(stacked, rows, "bounds array<double>"), "key")
+    part = F.lit(0)
+    for i in range(max(len(bounds) for _, bounds in rows)):
+        bound = F.get("bounds", F.lit(i))
+        above = (F.col("value") > bound).cast("int") + (F.col("value") >= bound).cast("int")
+        part = part + F.coalesce(above, F.lit(0))
+    return joined.select("key", "value", part.alias("part"))
+
+
+def _only(parted: DataFrame, wanted: set) -> DataFrame:
+    kept = [(key, part) for key, part in wanted]
+    return parted.join(_local(parted, kept, "part int"), ["key", "part"])
+
+
+def _pick(parted: DataFrame, ranks: list) -> None:
+    """Settle ranks whose parts hold few values."""
+    if not ranks:
+        return
+    places: dict = {}
+    for key, rank in ranks:
+        places.setdefault((key, rank.part), []).append(rank)
+    rows = [(k, p, [r.rank - r.before for r in held]) for (k, p), held in places.items()]
+    sorted_values = F.array_sort(F.collect_list("value"))
+    gathered = _only(parted, set(places)).groupBy("key", "part").agg(sorted_values.alias("held"))
+    wanted = _local(parted, rows, "part int, places array<int>")
+    picked = gathered.join(wanted, ["key", "part"]).select(
+        "key", "part", F.transform("places", lambda p: F.get("held", p))
+    )
+    for key, part, found in picked.collect():
+        for rank, value in zip(places[key, part], found):
+            rank.value = value

@@ -17,6 +17,7 @@ from tabgauge.functions.scoring import correlation_strength, dependency_strength
 from tabgauge.operators.completeness import complete_rows
 
 PAIRS_PER_PASS = 200
+#: More different values than this make a table of shares unreadable.
 MAX_CATEGORIES = 20
 
 
@@ -68,10 +69,23 @@ def functional_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
 
     A value fixes another column when the smallest and the largest partner are
     the same, so one aggregation per determinant serves all partners, combines
-    before the shuffle and never lists the partners of a frequent value.
+    before the shuffle and never lists the partners of a frequent value. Partners
+    are compared by two 64-bit hashes, whose extremes are numbers and so are
+    aggregated by hashing, without a sort, whatever the partner's type.
     """
     table = combination(df, columns)
-    keys = table.select(*[grouping_key(f).alias(f"k{i}") for i, f in enumerate(table.schema.fields)])
+    fields = list(enumerate(table.schema.fields))
+    keys = table.select(*[grouping_key(f).alias(f"k{i}") for i, f in fields])
+    keys = keys.select(
+        "*",
+        *[F.when(F.col(f"k{i}").isNotNull(), F.xxhash64(f"k{i}")).alias(f"a{i}") for i, _ in fields],
+        *[F.when(F.col(f"k{i}").isNotNull(), F.xxhash64(F.lit(1), f"k{i}")).alias(f"b{i}") for i, _ in fields],
+    )
+
+    def single(j: int) -> Column:
+        same = (F.min(f"a{j}") == F.max(f"a{j}")) & (F.min(f"b{j}") == F.max(f"b{j}"))
+        return F.coalesce(same, F.lit(False)).cast("int").alias(f"fixed{j}")
+
     names = table.columns
     parts = []
     for i, determinant in enumerate(names):
@@ -79,12 +93,7 @@ def functional_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
         groups = (
             keys.where(F.col(f"k{i}").isNotNull())
             .groupBy(f"k{i}")
-            .agg(
-                *[
-                    F.coalesce(F.min(f"k{j}") == F.max(f"k{j}"), F.lit(False)).cast("int").alias(f"fixed{j}")
-                    for j in others
-                ]
-            )
+            .agg(*[single(j) for j in others])
         )
         counted = groups.agg(
             F.count(F.lit(1)).alias("groups"), *[F.sum(f"fixed{j}").alias(f"s{j}") for j in others]
@@ -168,27 +177,46 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return found.select(F.explode(both_orders).alias("pair"), "pearson").select("pair.*", "pearson")
 
 
-def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Share of rows per pair of values, when both columns have few values.
+def _value_pairs(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows per pair of values; counted before the shuffle, in one scan."""
+    table = combination(df, [first, second])
+    values = [F.col(f"`{c}`").cast("string").alias(f"value_{i}") for i, c in ((1, first), (2, second))]
+    return table.select(*values).groupBy("value_1", "value_2").agg(F.count(F.lit(1)).alias("count"))
+
 
-    Empty when either has more than ``MAX_CATEGORIES``. Pairs that never occur
-    are left out. Rows are counted before the shuffle.
-    """
-    table = combination(df, [first, second]).select(
-        F.col(f"`{first}`").cast("string").alias("value_1"),
-        F.col(f"`{second}`").cast("string").alias("value_2"),
+def category_counts(
+    df: DataFrame, first: str, second: str, most: int | None = MAX_CATEGORIES
+) -> DataFrame:
+    """Different values of both columns, and whether `contingency` shows them."""
+    counts = _value_pairs(df, first, second).agg(
+        F.count_distinct("value_1").alias("values_1"), F.count_distinct("value_2").alias("values_2")
     )
-    few = table.agg(
-        (F.count_distinct("value_1") <= MAX_CATEGORIES) & (F.count_distinct("value_2") <= MAX_CATEGORIES)
+    fits = F.lit(True) if most is None else F.greatest("values_1", "values_2") <= most
+    return counts.withColumn("shown", fits)
+
+
+def contingency(
+    df: DataFrame, first: str, second: str, most: int | None = MAX_CATEGORIES
+) -> DataFrame:
+    """Share of rows per pair of values, when no column has more than ``most`` values.
+
+    Otherwise empty: `category_counts` tells how many there are. ``most=None`` shows any
+    number. Pairs that never occur are left out. The table is read and grouped once;
+    everything else is derived from the pairs.
+    """
+    pairs = _value_pairs(df, first, second)
+    total = F.sum(F.when(F.col("value_1").isNotNull() & F.col("value_2").isNotNull(), F.col("count")))
+    whole = pairs.agg(
+        total.alias("total"),
+        F.greatest(F.count_distinct("value_1"), F.count_distinct("value_2")).alias("most"),
     )
-    pairs = (
-        table.where("value_1 IS NOT NULL AND value_2 IS NOT NULL")
-        .where(few.scalar())
-        .groupBy("value_1", "value_2")
-        .count()
+    sizes = whole.select(F.struct("*")).scalar()
+    shown = pairs.where("value_1 IS NOT NULL AND value_2 IS NOT NULL").withColumn("sizes", sizes)
+    if most is not None:
+        shown = shown.where(F.col("sizes.most") <= most)
+    return shown.select(
+        "value_1", "value_2", "count", (F.col("count") / F.col("sizes.total")).alias("share")
     )
-    total = pairs.agg(F.sum("count")).scalar()
-    return pairs.withColumn("share", F.col("count") / total)
 
 
 def strong_associations(df: DataFrame, first: str, second: str, rows: int = 5) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabgauge.functions import fixed
-from tabgauge.functions.checkpoints import use_checkpoint_dir
-from tabgauge.functions.columns import field_of, present, ref
+from tabgauge.functions.columns import field_of, grouping_key, kind_of, present, ref
 from tabgauge.functions.dates import as_timestamp, elapsed_days, moment
 from tabgauge.functions.text import matches
 from tabgauge.operators.accuracy import moments
@@ -26,22 +26,19 @@ def forward_fill(
 ) -> DataFrame:
     """Missing values replaced by the last value before them.
 
-    ``order_by`` should identify a row, so that ties do not pile up in one range.
-    Rows are split into ranges of that order and each range is filled by itself;
-    the last value of every range is handed on to the ranges after it. The ranges
-    are checkpointed because both steps must see the same split.
+    ``order_by`` should identify a row, so that ties do not pile up in one range. The
+    bounds of the ranges are taken once, from a sketch of the first column of the order,
+    and then are part of the plan: every run of a task splits rows the same way. Each
+    range is filled by itself; the last value of a range is handed on to the ranges after
+    it. Only keys of the order, the column and the range go through the windows' sorts
+    beside the row itself.
     """
     spark = df.sparkSession
-    use_checkpoint_dir(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [ref(c) for c in order_by]
     value = present(field_of(df, column))
-    ranged = (
-        df.withColumn(column, value)
-        .repartitionByRange(parts, *keys)
-        .withColumn("__range", F.spark_partition_id())
-        .checkpoint()
-    )
+    first = field_of(df, order_by[0])
+    ranged = df.withColumn(column, value).withColumn("__range", _range_of(df, first, parts))
     last_values = (
         ranged.where(ref(column).isNotNull())
         .groupBy("__range")
@@ -49,7 +46,7 @@ def forward_fill(
     )
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     handed_on = (
-        spark.range(parts)
+        spark.range(-1, parts + 1)
         .select(F.col("id").cast("int").alias("__range"))
         .join(last_values, "__range", "left")
         .select("__range", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
@@ -68,9 +65,57 @@ def forward_fill(
     )
 
 
+def _range_of(df: DataFrame, field: T.StructField, parts: int) -> Column:
+    """The number of the range a row lies in; -1 for rows without a value.
+
+    Numbers and times are split by their quantiles, texts by their first characters'
+    place in the order, which is their own order.
+    """
+    kind = kind_of(field.dataType)
+    if kind in ("Numeric", "DateTime"):
+        place = ref(field.name)
+        place = F.unix_micros(place.cast("timestamp")) if kind == "DateTime" else place
+        place = place.cast("double")
+        grid = [i / parts for i in range(1, parts)]
+        found = df.agg(F.percentile_approx(place, grid)).first()[0] if grid else None
+        bounds = sorted(set(found or []))
+    else:
+        place = ref(field.name).cast("string")
+        rows = df.where(place.isNotNull()).select(place.alias("place"))
+        bounds = _text_bounds(rows, parts)
+    number = F.lit(0)
+    for bound in bounds:
+        number = number + (place >= F.lit(bound)).cast("int")
+    return F.when(ref(field.name).isNull(), F.lit(-1)).otherwise(number)
+
+
+def _text_bounds(rows: DataFrame, parts: int) -> list[str]:
+    """Texts that split the rows about evenly, from counts of their beginnings."""
+    counted = rows.groupBy(F.substring("place", 1, 4).alias("start")).count()
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    if not total or parts < 2:
+        return []
+    so_far = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    cell = F.floor(F.coalesce(F.sum("count").over(so_far), F.lit(0)) * parts / total)
+    starts = counted.withColumn("cell", cell).groupBy("cell").agg(F.min("start").alias("start"))
+    return sorted({r.start for r in starts.where("cell > 0").collect()})
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One of each group of equal rows."""
-    return df.distinct()
+    """One of each group of equal rows; NaN and NULL are the same, as elsewhere.
+
+    Rows are grouped by a digest of what `duplicate_rows` compares, so whole texts are
+    no keys. Of equal rows the one that a task meets first stays.
+    """
+    keys = [grouping_key(f).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    names = df.columns
+    return (
+        df.select(digest.alias("digest"), F.struct(*[ref(n) for n in names]).alias("row"))
+        .groupBy("digest")
+        .agg(F.any_value("row").alias("row"))
+        .select("row.*")
+    )
 
 
 def duplicates_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,15 +124,16 @@ def duplicates_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
     Keys are counted before they are shuffled; a frequent key is one small row on
     the build side, and the rows it matches can be split by adaptive execution.
     """
+    parts = [present(field_of(df, k)) for k in keys]  # NaN is missing like NULL
     repeated = (
-        df.groupBy(*[ref(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+        df.groupBy(*[part.alias(f"__k{i}") for i, part in enumerate(parts)])
         .count()
         .where("count > 1")
         .drop("count")
     )
     condition = F.lit(True)
-    for i, k in enumerate(keys):
-        condition = condition & ref(k).eqNullSafe(F.col(f"__k{i}"))
+    for i, part in enumerate(parts):
+        condition = condition & part.eqNullSafe(F.col(f"__k{i}"))
     return df.join(repeated, condition, "left_semi")
 
 

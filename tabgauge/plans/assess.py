@@ -60,8 +60,8 @@ def assess(dataset: Dataset, options: Options = Options(), parallel: int = 4) ->
     return Assessment(
         columns=columns,
         tables=settled(_with_overall(sizes, columns, options)),
-        rules=_rule_rows(spark, dataset, options),
-        combinations=_combination_rows(spark, dataset, options),
+        rules=settled(_rule_rows(spark, dataset, options)),
+        combinations=settled(_combination_rows(spark, dataset, options)),
     )
 
 
@@ -81,7 +81,7 @@ def _column_rows(df: DataFrame, options: Options) -> DataFrame:
     if "consistency" in wanted:
         parts.append(consistency.TYPES)
     if "accuracy" in wanted:
-        parts += [accuracy.STYLES, distribution.SKEW]
+        parts += [accuracy.STYLES, distribution.SKEW, distribution.FINITE]
     if "timeliness" in wanted:
         parts.append(timeliness.dates(options.as_of))
     numeric = consistency.numeric_fields(df)

@@ -44,8 +44,37 @@ def snapshot(result: Assessment, name: str, at=None) -> DataFrame:
 
 
 def append(row: DataFrame, path: str) -> None:
-    """Add snapshots to the history, one folder per day."""
-    row.write.mode("append").partitionBy("day").parquet(path)
+    """Add snapshots to the history, in the folders day and batch ('single')."""
+    row.withColumn("batch", F.lit("single")).write.mode("append").partitionBy("day", "batch").parquet(path)
+
+
+def put_batch(row: DataFrame, path: str, batch: str) -> None:
+    """Store the snapshot of a batch; storing the same batch again replaces it.
+
+    The folders are those of `append`, so one history can have both kinds.
+    """
+    spark = row.sparkSession
+    day = row.first()["day"]
+    if _exists(spark, path):
+        earlier = spark.read.option("basePath", path).parquet(path).where(F.col("batch") == batch)
+        for other in {r.day for r in earlier.select("day").distinct().collect()} - {day}:
+            _delete(spark, f"{path}/day={other}/batch={batch}")
+    row.drop("day").write.mode("overwrite").parquet(f"{path}/day={day}/batch={batch}")
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place) and len(files.listStatus(place)) > 0
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -43,6 +43,8 @@ class Rule:
     actions: tuple[str, ...]
     tools: tuple[str, ...]
     example: str
+    #: What the signal is multiplied by to be a percentage.
+    scale: int = 1
 
 
 _SHARES = ((50, "critical", 0.9), (30, "high", 0.7), (15, "medium", 0.5), (None, "low", 0.3))
@@ -82,7 +84,7 @@ RULES = (
         ("Write down the plausible range of {c}", "Check the range on entry",
          "Review the values outside it"),
         ("range checks", "rule engine"),
-        "remediate.outside_range(df, '{c}', low, high)",
+        "remediate.outside_range(df, '{c}', low, high)", 100,
     ),
     Rule(
         "outliers", "accuracy", 5, 3,
@@ -128,7 +130,7 @@ RULES = (
         "Refresh outdated rows",
         ("Reload the outdated rows", "Watch the age of the data", "Agree how often it is renewed"),
         ("scheduled loads", "freshness checks"),
-        "remediate.outdated(df, '{c}', days=365)",
+        "remediate.outdated(df, date_column, days=365)  # for each date column",
     ),
     Rule(
         "missing_time_values", "timeliness", 10, None,
@@ -290,7 +292,9 @@ def insights(found: DataFrame) -> DataFrame:
                 F.lit(rule.dimension).alias("dimension"),
                 F.col(P),
                 _filled(rule.title).alias("title"),
-                F.format_string("%.1f%% (%s)", F.col(P), F.lit(rule.name.replace("_", " "))).alias("description"),
+                F.format_string(
+                    "%.1f%% (%s)", F.col(P) * rule.scale, F.lit(rule.name.replace("_", " "))
+                ).alias("description"),
                 F.array(*[_filled(a) for a in rule.actions]).alias("actions"),
                 F.struct(
                     _filled(rule.example).alias("code_example"),

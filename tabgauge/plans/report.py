@@ -91,7 +91,7 @@ def narrative(result: Assessment) -> DataFrame:
             "strongest", "strongest_score", "weakest", "weakest_score",
         ),
     )
-    issues = summary.top_issues(result, 5).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(3), F.format_string("%d columns need attention first.", "n")
+    issues = summary.issues(result).agg(F.count_distinct("table", "column").alias("n")).select(
+        F.lit(3), F.format_string("%d columns need attention.", "n")
     )
     return overall.union(ends).union(issues)

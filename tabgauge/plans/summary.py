@@ -55,7 +55,7 @@ def overall_scores(result: Assessment) -> DataFrame:
     )
 
 
-def _issues(result: Assessment) -> DataFrame:
+def issues(result: Assessment) -> DataFrame:
     """Every issue of every column, with both ways of ranking."""
     columns = result.columns
     parts = []
@@ -99,7 +99,7 @@ def _issues(result: Assessment) -> DataFrame:
 def top_issues(result: Assessment, rows: int = 10) -> DataFrame:
     """The most severe issues over all tables."""
     return (
-        _issues(result)
+        issues(result)
         .orderBy(F.desc("severity"), "table_position", "rule_position", "ordinal")
         .limit(rows)
         .select("table", "column", "issue", "dimension", "severity")
@@ -112,7 +112,7 @@ def table_issues(result: Assessment, rows: int = 8) -> DataFrame:
         Window.partitionBy("table").orderBy("score", "rule_position", "ordinal")
     )
     return (
-        _issues(result)
+        issues(result)
         .withColumn("rank", rank)
         .where(F.col("rank") <= rows)
         .select("table", "rank", "column", F.col("table_issue").alias("issue"), "dimension", "score")

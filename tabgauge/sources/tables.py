@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +27,19 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, sources: dict[str, str] | str, **options) -> dict[str, DataFrame]:
-    """Several named tables: a mapping of names to paths, or a folder of files."""
+    """Several named tables: a mapping of names to paths, or a folder of files.
+
+    The folder may be in any storage that Spark reaches.
+    """
     if isinstance(sources, str):
-        found = sorted(
-            n for n in os.listdir(sources) if n.rsplit(".", 1)[-1].lower() in _FORMATS
-        )
-        sources = {n.rsplit(".", 1)[0]: os.path.join(sources, n) for n in found}
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sources)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(status.getPath().getName() for status in files.listStatus(place))
+        sources = {
+            name.rsplit(".", 1)[0]: f"{sources.rstrip('/')}/{name}"
+            for name in names
+            if name.rsplit(".", 1)[-1].lower() in _FORMATS
+        }
     return {name: load_table(spark, path, **options) for name, path in sources.items()}
 
 
@@ -55,6 +60,10 @@ def read_csv(
     Types are decided on all rows in one aggregation, whose single row tells how
     many values of each column fit each type. Dates stay text, so that their
     format is assessed like any other text.
+
+    Line breaks inside quotes need ``multiline=True``: such a file is read by one task,
+    because a reader that starts in the middle cannot tell quoted breaks from others.
+    `broken_quotes` counts the rows that would be split without it.
     """
     raw = (
         spark.read.option("header", True)
@@ -94,6 +103,13 @@ def read_csv(
     return cleaned.select(*typed)
 
 
+def broken_quotes(spark: SparkSession, path: str, encoding: str = "UTF-8") -> int:
+    """Lines with an odd number of quotes: parts of rows that have line breaks inside quotes."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.where(quotes % 2 == 1).count()
+
+
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     """Store a result; the format follows the ending of the name."""
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()

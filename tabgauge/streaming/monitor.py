@@ -6,6 +6,7 @@ assesses every batch of new rows and appends the snapshot to the history.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,16 +24,18 @@ def window_quality(
     delay: str = "1 hour",
     valid: str | None = None,
 ) -> DataFrame:
-    """Rows, missing and valid share, extremes per window; late rows are dropped
-    once the watermark has passed their window.
+    """Rows, missing and valid share, extremes per window.
 
-    State holds one small row per open window.
+    Of a stream, late rows are dropped once the watermark has passed their window, and
+    a window is given out when the watermark passes its end, so the last windows of an
+    input that has ended stay open; state holds one small row per open window. A table
+    gives all its windows.
     """
     value = present(field_of(stream, column))
     condition = F.expr(valid) if valid else value.isNotNull()
+    timed = stream.withWatermark(time, delay) if stream.isStreaming else stream
     grouped = (
-        stream.withWatermark(time, delay)
-        .groupBy(F.window(ref(time), width))
+        timed.groupBy(F.window(ref(time), width))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(value.isNull()).alias("missing"),
@@ -62,15 +65,19 @@ def watch(
 ) -> StreamingQuery:
     """Assess each batch of new rows and append a snapshot to the history.
 
-    A batch that is run again after a failure writes its own folder again, so
-    every batch is in the history once.
+    A batch that is run again after a failure replaces its own snapshot, so every batch
+    is in the history once. The rows of a batch are kept while it is assessed, so its
+    files are read once.
     """
 
     def assess_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        row = history.snapshot(assess({name: batch}, options), name, options.as_of)
-        row.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not rows.isEmpty():
+                row = history.snapshot(assess({name: rows}, options), name, options.as_of)
+                history.put_batch(row, history_path, f"{name}-{batch_id}")
+        finally:
+            rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(assess_batch)

@@ -154,6 +154,80 @@ def test_quantiles_exact_at_any_budget(spark, budget):
     assert found["none"] == [None] * len(shares)
 
 
+@pytest.mark.parametrize("gathered", [100_000, 2])
+def test_quantiles_with_infinities(spark, gathered):
+    values = [float("inf")] * 3 + [float("-inf")] * 2 + [1.0, 2.0, 3.0, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = consistency.quartiles(df)
+    assert found["x"] == [float("-inf"), 2.5, float("inf")]
+    shares = [0.0, 0.5, 1.0]
+    some = exact_quantiles(df, {"x": F.nullif("x", F.lit(float("nan")))}, shares, gathered)
+    assert some["x"] == [float("-inf"), 2.5, float("inf")]
+
+
+def test_histogram_leaves_infinities_out(spark):
+    df = spark.createDataFrame([(float("inf"),), (1.0,), (2.0,), (2.0,), (None,)], "x double")
+    assert sum(r["count"] for r in distribution.histogram(df, 4).collect()) == 3
+    assert sum(r["count"] for r in distribution.histogram(df).collect()) == 3
+    assert distribution.infinite_values(df).first()["infinite_count"] == 1
+
+
+def test_many_groups(spark):
+    df = spark.range(1200).selectExpr("id % 150 AS g", "id AS v", "double(id) AS x")
+    medians = clustering.cluster_medians(df, "g", ["x"]).collect()
+    assert {r["g"]: r["median"] for r in medians} == {
+        g: float(np.median(np.arange(g, 1200, 150))) for g in range(150)
+    }
+    samples = clustering.cluster_samples(df, ["v"], "g", 2)
+    assert sorted(r["v"] for r in samples.collect()) == list(range(300))
+
+
+def test_anomalies_do_not_depend_on_the_layout(spark):
+    random = np.random.default_rng(4)
+    rows = pd.DataFrame({"k": range(4000), "a": random.normal(size=4000), "b": random.normal(size=4000)})
+    df = spark.createDataFrame(rows)
+
+    def flagged(table):
+        found = anomaly.detect_anomalies(table, ["a", "b"], key=["k"])
+        return {r["k"] for r in found.where("is_anomaly").collect()}
+
+    first = flagged(df)
+    assert len(first) == 200 and first == flagged(df.repartition(7)) == flagged(df.orderBy("a"))
+
+
+def test_long_dates_are_dates(spark):
+    text = "2024-01-01 10:00:00.123456 America/Argentina/Buenos_Aires"
+    assert spark.range(1).select(parse_date(F.lit(text)).cast("date")).first()[0] == date(2024, 1, 1)
+
+
+def test_dependency_plan_has_no_sort(spark):
+    df = spark.createDataFrame([("a", "x", 1)], "p string, q string, r int")
+    plan = relations.functional_dependencies(df, ["p", "q", "r"])._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan.split("Physical Plan")[-1]
+
+
+def test_too_many_categories_are_told(spark):
+    df = spark.range(30).selectExpr("string(id) AS a", "string(id % 2) AS b")
+    assert relations.contingency(df, "a", "b").collect() == []
+    assert tuple(relations.category_counts(df, "a", "b").first()) == (30, 2, False)
+    assert relations.contingency(df, "a", "b", most=None).count() == 30
+
+
+def test_duplicates_with_nan_and_maps(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (double('nan'), map(1, 2)), (NULL, map(1, 2)), (1.0, map(1, 2)) AS t(x, m)"
+    )
+    assert remediate.drop_duplicates(df).count() == 2
+    assert remediate.duplicates_by_key(df.drop("m"), ["x"]).count() == 2
+
+
+def test_forward_fill_over_texts_and_missing_keys(spark):
+    rows = [(f"k{i:03d}" if i else None, i, None if i % 3 else float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "t string, n int, x double").repartition(5)
+    found = {r["n"]: r["x"] for r in remediate.forward_fill(df, "x", ["t"], 6).collect()}
+    assert found == {i: float(i - i % 3) for i in range(120)}
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_histogram_as_numpy(spark, whole):
     random = np.random.default_rng(3)
