@@ -824,8 +824,19 @@ def oracle_sql() -> dict[str, str]:
         max({c})::DOUBLE AS max, stddev_samp({c}::DOUBLE) AS std, quantile_cont({c}::DOUBLE, 0.5) AS median FROM events GROUP BY 1""" for c in ("user_id", "value")]), "percentage mean min max std median")
     q["cluster_samples"] = rounded("SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 10", "value")
 
-    q["stream_windows"] = rounded("""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS window_end, count(*) AS rows,
+    q["anomaly_counts"] = "SELECT count(*) AS rows, (floor(0.05 * (count(*) - 1)) + 1)::BIGINT AS anomalies FROM lineitem"
+    q["load_folder"] = q["dataset_info"]
+    q["csv_round_trip"] = rounded("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders", "o_totalprice")
+    q["narrative"] = sources(*ASSESSED, more=ranked) + f"""SELECT 1::INT AS line, format('Overall quality is {{:.1f}} of 100: {{}}.', score, three_bands) AS text
+        FROM (SELECT score, {bands('score')} FROM overall WHERE dimension = 'overall')
+        UNION ALL SELECT 2, format('The strongest dimension is {{}} ({{:.1f}}), the weakest {{}} ({{:.1f}}).', strongest, strongest_score, weakest, weakest_score) FROM ({ENDS})
+        UNION ALL SELECT 3, format('{{}} columns need attention.', count(DISTINCT "table" || '/' || "column")) FROM ({issues()})"""
+    windows = """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS window_end, count(*) AS rows,
         100e0 * (count(*) - count(value)) / count(*) AS missing_percentage, 100e0 * count(*) FILTER (value BETWEEN 0 AND 50) / count(value) AS valid_percentage, min(value) AS min, max(value) AS max
-        FROM (SELECT date_trunc('hour', ts) AS w, value FROM events) GROUP BY w HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
-        "missing_percentage valid_percentage min max")
+        FROM (SELECT date_trunc('hour', ts) AS w, value FROM events) GROUP BY w"""
+    q["table_windows"] = rounded(windows, "missing_percentage valid_percentage min max")
+    q["stream_windows"] = rounded(
+        windows + " HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+        "missing_percentage valid_percentage min max",
+    )
     return q

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.inputs import AS_OF, TABLES, spark_input
-from tabgauge.functions.checkpoints import use_checkpoint_dir
+from tabgauge.functions.checkpoints import scratch_path, use_checkpoint_dir
 from tabgauge.functions import scoring
 from tabgauge.functions.together import together
 from tabgauge.operators import (
@@ -19,6 +20,7 @@ from tabgauge.operators import (
 )
 from tabgauge.plans import history, insights, report, summary
 from tabgauge.plans.assess import Assessment, Options, assess, metrics
+from tabgauge.sources import tables
 from tabgauge.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,31 +68,23 @@ def _without_ordinal(make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFr
     return lambda df: make(df).drop("ordinal")
 
 
-_ASSESSMENTS: dict[tuple[str, str], Assessment] = {}
-
-
-def assessment(spark: SparkSession, folder: str) -> Assessment:
-    """The whole assessment of the views with dirt in them."""
+def assessment(
+    spark: SparkSession, folder: str, dimensions: tuple[str, ...] = (), distributions: bool = True
+) -> Assessment:
+    """The assessment of the views with dirt in them, all dimensions unless some are named."""
     dataset = {n: spark_input(spark, folder, n) for n in ASSESSED}
-    return assess(dataset, Options(as_of=AS_OF, rules={"dirty_lineitem": RULES}))
-
-
-def shared_assessment(spark: SparkSession, folder: str) -> Assessment:
-    """The same, once per session: scores, issues, insights and reports all
-    derive from one assessment, which is a few small tables."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _ASSESSMENTS:
-        _ASSESSMENTS[key] = assessment(spark, folder)
-    return _ASSESSMENTS[key]
+    options = Options(as_of=AS_OF, rules={"dirty_lineitem": RULES}, distributions=distributions)
+    return assess(dataset, replace(options, dimensions=dimensions) if dimensions else options)
 
 
-def assessed(make: Callable) -> Query:
-    return lambda spark, folder: rounded(make(shared_assessment(spark, folder)))
+def assessed(make: Callable, *dimensions: str) -> Query:
+    """A query on an assessment of what it needs; histograms only where metrics show them."""
+    return lambda spark, folder: rounded(make(assessment(spark, folder, dimensions, False)))
 
 
 def ranked(make: Callable) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        result = shared_assessment(spark, folder)
+        result = assessment(spark, folder, distributions=False)
         found = insights.prioritized(insights.insights(insights.signals(result)))
         return rounded(make(found, summary.overall_scores(result)))
 
@@ -163,24 +157,46 @@ def _stream_windows(spark: SparkSession, folder: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    found = spark.read.schema(windows.schema).parquet(f"{target}/windows")
-    return rounded(
-        found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")).withColumn(
-            "window_end", F.date_format("window_end", "yyyy-MM-dd HH:mm")
-        )
+    return rounded(_minutes(spark.read.schema(windows.schema).parquet(f"{target}/windows")))
+
+
+def _minutes(windows: DataFrame) -> DataFrame:
+    form = "yyyy-MM-dd HH:mm"
+    return windows.withColumns(
+        {c: F.date_format(c, form) for c in ("window_start", "window_end")}
     )
 
 
+def _table_windows(df: DataFrame) -> DataFrame:
+    timed = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _minutes(monitor.window_quality(timed, "ts", "value", valid="value BETWEEN 0 AND 50"))
+
+
+def _load_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of a folder, found and loaded through Spark's file systems."""
+    found = tables.load_tables(spark, folder)
+    return schema.dataset_info({t: found[t] for t in TABLES}).select("table", "rows", "columns")
+
+
+def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """A table written as CSV and loaded again, with its types recognised."""
+    path = f"{scratch_path(spark)}.csv"
+    names = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    tables.write_table(spark_input(spark, folder, "orders").select(*names), path)
+    return rounded(tables.load_table(spark, path))
+
+
 def _column_names(names: str) -> list[str]:
     return names.split()
 
 
+_ISSUES = _column_names("completeness consistency accuracy")
 _ANOMALY = _column_names("l_quantity l_extendedprice l_discount l_tax")
 _CLUSTER = _column_names("user_id value")
 
 
 def _scored(df: DataFrame) -> DataFrame:
-    return anomaly.detect_anomalies(df, _ANOMALY)
+    return anomaly.detect_anomalies(df, _ANOMALY, key=["l_orderkey", "l_linenumber"])
 
 
 def _insight_rows(found: DataFrame) -> DataFrame:
@@ -335,8 +351,8 @@ def queries() -> dict[str, Query]:
     q["assessment_scores"] = assessed(summary.dimension_scores)
     q["overall_scores"] = assessed(summary.overall_scores)
     q["assessment_metrics"] = lambda spark, folder: rounded(metrics(assessment(spark, folder)))
-    q["top_issues"] = assessed(summary.top_issues)
-    q["table_issues"] = assessed(summary.table_issues)
+    q["top_issues"] = assessed(summary.top_issues, *_ISSUES)
+    q["table_issues"] = assessed(summary.table_issues, *_ISSUES)
     q["dimension_recommendations"] = assessed(
         lambda r: summary.recommendations(summary.overall_scores(r)).select("dimension", "priority")
     )
@@ -360,7 +376,8 @@ def queries() -> dict[str, Query]:
     q["insights"] = ranked(lambda found, scores: _insight_rows(found))
     q["insight_priority"] = lambda spark, folder: rounded(
         insights.prioritized(
-            insights.insights(insights.signals(shared_assessment(spark, folder))), "validity"
+            insights.insights(insights.signals(assessment(spark, folder, distributions=False))),
+            "validity",
         ).select("rank", "table", "rule", F.coalesce("column", F.lit("")).alias("column"), "priority_score")
     )
     q["top_recommendations"] = ranked(
@@ -480,6 +497,15 @@ def queries() -> dict[str, Query]:
         lambda df: anomaly.top_anomalies(_scored(df)).select("l_orderkey", "l_linenumber", *_ANOMALY, "anomaly_score"),
     )
 
-    # Streaming
+    q["anomaly_counts"] = on(
+        "lineitem", lambda df: anomaly.anomaly_summary(_scored(df)).select("rows", "anomalies")
+    )
+
+    # Streaming, and the same measure over a table, which gives all windows
     q["stream_windows"] = _stream_windows
+    q["table_windows"] = on("events", _table_windows)
+
+    # Loading and storing
+    q["load_folder"] = _load_folder
+    q["csv_round_trip"] = _csv_round_trip
     return q
