@@ -126,6 +126,61 @@ def test_watch_appends_a_snapshot_per_batch(spark, people, tmp_path):
     assert spark.read.parquet(str(tmp_path / "history")).first()["total_rows"] == 100
 
 
+def test_one_history_of_batches_and_snapshots(spark, people, result, tmp_path):
+    path = str(tmp_path / "history")
+    history.append(history.snapshot(result, "single", "2024-02-01"), path)
+    for _ in range(2):  # a batch that runs again replaces its own snapshot
+        history.put_batch(history.snapshot(result, "batch", "2024-02-02"), path, "people-0")
+    history.put_batch(history.snapshot(result, "batch", "2024-02-03"), path, "people-1")
+    history.put_batch(history.snapshot(result, "batch", "2024-02-04"), path, "people-1")
+    found = history.read(spark, path).orderBy("ts").collect()
+    assert [(r["name"], str(r["day"])) for r in found] == [
+        ("single", "2024-02-01"), ("batch", "2024-02-02"), ("batch", "2024-02-04")
+    ]
+    assert len(history.score_change(history.read(spark, path)).collect()) == 3
+
+
+def test_insight_wording_can_be_followed(result):
+    rules = {rule.name: rule for rule in insights.RULES}
+    assert rules["value_ranges"].scale == 100 and rules["outliers"].scale == 1
+    assert "''" not in rules["outdated_records"].example
+
+
+def test_infinity_does_not_stop_an_assessment(spark):
+    rows = [(float("inf"), "a"), (1.0, "b"), (2.0, "c")] + [(3.0, "d")] * 20
+    found = metrics(assess({"t": spark.createDataFrame(rows, "x double, y string")}))
+    assert found.where("column = 'x' AND metric = 'median'").first()["value"] == 3.0
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from tabgauge.functions import checkpoints
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoints.use_checkpoint_dir(Session())
+
+
+def test_quotes_over_several_lines_are_counted(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    assert tables.broken_quotes(spark, str(path)) == 2
+    assert tables.load_table(spark, str(path), multiline=True).count() == 2
+
+
 def test_own_checks(spark):
     df = spark.createDataFrame([("DE-1",), ("x",)], "plate string")
     checks = validity.Checks(formats=(("plate", ("plate",), r"^[A-Z]{2}-\d+$"),), ranges=())
