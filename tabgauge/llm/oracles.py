@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+from tabgauge.llm.license_texts import TEMPLATES
+from tabgauge.llm.secrets import _UNIT, ALLOWED, BASE, CLASSES, _gains
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -31,7 +37,131 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _places(name: str, pattern: str, group: int) -> str:
+    """CTEs with the matches of a pattern: r, s (start), v (match), part (the group)."""
+    return f"""
+{name}_m AS (
+  SELECT r, regexp_extract_all(text, {_quoted(pattern)}, 0) AS whole,
+         regexp_extract_all(text, {_quoted(pattern)}, {group}) AS parts,
+         string_split_regex(text, {_quoted(pattern)}) AS pieces
+  FROM t WHERE regexp_matches(text, {_quoted(pattern)})),
+{name}_p AS (
+  SELECT r, whole[i] AS v, parts[i] AS part,
+         len(array_to_string(pieces[1 : i], '')) + len(array_to_string(whole[1 : i - 1], '')) AS s
+  FROM {name}_m, unnest(range(1, len(whole) + 1)) u(i))"""
+
+
+def _secrets() -> str:
+    ctes, base, more = [], [], []
+    for rank, (kind, pattern, group, least) in enumerate(BASE):
+        ctes.append(_places(kind, pattern, group))
+        base.append(
+            f"SELECT r, s, s + len(v) AS e, {rank} AS rank, '{kind}' AS kind FROM {kind}_p WHERE len(part) >= {least}"
+        )
+    for rank, of in enumerate(CLASSES, len(BASE)):
+        name, w = of.kind, of.window
+        value = "lower(v)" if of.kind == "entropy_hex" else "v"
+        needs = " AND ".join(f"regexp_matches(v, {_quoted(n)})" for n in of.needs)
+        # the one entry with a reference back is said with functions here
+        known = [f"regexp_matches(v, {_quoted('(?i)' + a)})" for a in ALLOWED if "\\1" not in a]
+        known.append(
+            "len(list_filter(string_split(lower(v), ''), lambda c: contains(lower(v), repeat(c, 8)))) > 0"
+        )
+        sums = list(itertools.accumulate(_gains(w)[1:]))
+        most = round((math.log2(w) - of.bits) * w * _UNIT)
+        ctes.append(_places(name, of.pattern, 0))
+        ctes.append(f"""
+{name}_c AS (SELECT r, s, {value} AS v FROM {name}_p WHERE {needs} AND NOT ({' OR '.join(known)})),
+{name}_n AS (
+  SELECT r, s, i, c, count(*) AS n FROM (
+    SELECT r, s, i, unnest(string_split(substr(v, i + 1, {w}), '')) AS c
+    FROM {name}_c, unnest(range(0, len(v) - {w} + 1)) u(i))
+  GROUP BY ALL),
+{name}_w AS (SELECT r, s, i FROM {name}_n GROUP BY r, s, i HAVING sum({sums}[n]) <= {most}),
+{name}_g AS (
+  SELECT r, s, i, sum(fresh) OVER (PARTITION BY r, s ORDER BY i) AS island FROM (
+    SELECT r, s, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r, s ORDER BY i) + {w} THEN 0 ELSE 1 END AS fresh
+    FROM {name}_w))""")
+        more.append(
+            f"SELECT r, s + min(i) AS s, s + max(i) + {w} AS e, {rank} AS rank, '{name}' AS kind"
+            f" FROM {name}_g GROUP BY r, {name}_g.s, island"
+        )
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
+    held = " FILTER (rank < 3)"
+    counts = ", ".join(
+        f"count(*) FILTER (rank = {k}) AS n_{kind}" for k, (kind, *_) in enumerate(BASE)
+    )
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{','.join(ctes)},
+base AS ({' UNION ALL '.join(base)}),
+more AS (
+  SELECT * FROM ({' UNION ALL '.join(more)}) m
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.s <= m.s AND b.e >= m.e)),
+found AS (SELECT r, {counts}, count(*) FILTER (rank > 2) AS n_entropy, {listed}{held} AS base, {listed} AS spans
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM t LEFT JOIN found USING (r)
+"""
+
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * c.n >= 75 * (a.n + b.n - c.n)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+root AS (SELECT x AS doc_id, min(y) AS root FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id,
+       coalesce(root, doc_id) = doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
+"""
+
+
+def _licenses() -> str:
+    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in TEMPLATES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+tw AS (SELECT name, {_WORDS} AS ws FROM (VALUES {rows}) v(name, text)),
+ts AS (SELECT DISTINCT name, array_to_string(ws[i : i + 2], ' ') AS g FROM tw, unnest(range(1, len(ws) - 1)) u(i)),
+tm AS (SELECT name, count(*) AS m FROM ts GROUP BY name),
+ds AS (SELECT r, i - 1 AS p, array_to_string(ws[i : i + 2], ' ') AS g FROM d, unnest(range(1, len(ws) - 1)) u(i)),
+h AS (SELECT r, name, m, p, g FROM ds JOIN ts USING (g) JOIN tm USING (name)),
+f AS (
+  SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY r, name ORDER BY p) <= m // 4 + 3 THEN 0 ELSE 1 END AS fresh
+  FROM h),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY r, name ORDER BY p) AS island FROM f),
+matches AS (
+  SELECT r, name, min(p) AS first, max(p) + 3 AS last FROM k
+  GROUP BY r, name, m, island HAVING 100 * count(DISTINCT g) >= 75 * m),
+s AS (
+  SELECT r, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names,
+         string_agg(name || ':' || first || ':' || last, ',' ORDER BY first, last, name) AS spans
+  FROM matches GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secrets": _secrets(),
+        "op2_licenses": _licenses(),
+        "op4_near_duplicates": NEAR_DUPLICATES,
         "op5_decontamination": DECONTAMINATION,
     }

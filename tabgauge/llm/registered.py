@@ -19,7 +19,7 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _licenses(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.licenses(_documents(spark, folder))
+    return licenses.licenses(_documents(spark, folder)).drop("matches")
 
 
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
