@@ -83,6 +83,17 @@ def grouping_key(field: T.StructField) -> Column:
     return column
 
 
+def row_digest(fields: Iterable[T.StructField]) -> list[Column]:
+    """Two 64-bit hashes, equal for equal rows; NULL is told from its neighbours.
+
+    A shuffle then moves 16 bytes a row, however wide the table. Different rows agree in
+    both hashes with a probability of 2 to the power of -128.
+    """
+    keys = [grouping_key(f) for f in fields]
+    parts = [F.array(*[k.isNull() for k in keys]), *keys]
+    return [F.xxhash64(*parts).alias("digest_1"), F.xxhash64(F.lit(1), *parts).alias("digest_2")]
+
+
 def pick_columns(df: DataFrame, wanted: Iterable[str] | None) -> DataFrame:
     """Keep the wanted columns that exist; keep all when none of them does."""
     if not wanted:

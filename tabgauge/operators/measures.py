@@ -38,6 +38,8 @@ class Measures:
 
     types: dict[str, str]
     of_kind: OfKind
+    #: Only asks whether values are missing, so that the values need not be moved.
+    presence_only: bool = False
 
 
 def combined(*parts: Measures) -> Measures:
@@ -55,7 +57,7 @@ def combined(*parts: Measures) -> Measures:
     types: dict[str, str] = {}
     for part in parts:
         types.update(part.types)
-    return Measures(types, both)
+    return Measures(types, both, all(part.presence_only for part in parts))
 
 
 def _size(kind: str):
@@ -65,7 +67,7 @@ def _size(kind: str):
     }
 
 
-SIZE = Measures({"row_count": "bigint", "missing_count": "bigint"}, _size)
+SIZE = Measures({"row_count": "bigint", "missing_count": "bigint"}, _size, presence_only=True)
 
 
 def _stackable(field: T.StructField) -> Column:
@@ -133,9 +135,13 @@ def measure(
 
 def _measured_kind(df: DataFrame, measures: Measures, kind: str, members: list) -> DataFrame:
     prepared, aggregates = measures.of_kind(kind)
-    cells = [
-        F.struct(F.lit(i).alias("ordinal"), _stackable(f).alias(VALUE)) for i, f in members
-    ]
+
+    def value(field: T.StructField) -> Column:
+        if measures.presence_only:
+            return F.when(present(field).isNotNull(), F.lit(True))
+        return _stackable(field)
+
+    cells = [F.struct(F.lit(i).alias("ordinal"), value(f).alias(VALUE)) for i, f in members]
     stacked = df.select(F.inline(F.array(*cells)))
     if prepared:
         stacked = stacked.select("ordinal", VALUE, *[c.alias(n) for n, c in prepared.items()])

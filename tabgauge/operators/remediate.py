@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgauge.functions import fixed
-from tabgauge.functions.columns import field_of, grouping_key, kind_of, present, ref
+from tabgauge.functions.columns import field_of, kind_of, present, ref, row_digest
 from tabgauge.functions.dates import as_timestamp, elapsed_days, moment
 from tabgauge.functions.text import matches
 from tabgauge.operators.accuracy import moments
@@ -107,12 +107,10 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     Rows are grouped by a digest of what `duplicate_rows` compares, so whole texts are
     no keys. Of equal rows the one that a task meets first stays.
     """
-    keys = [grouping_key(f).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
-    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
-    names = df.columns
+    row = F.struct(*[ref(n) for n in df.columns]).alias("row")
     return (
-        df.select(digest.alias("digest"), F.struct(*[ref(n) for n in names]).alias("row"))
-        .groupBy("digest")
+        df.select(*row_digest(df.schema.fields), row)
+        .groupBy("digest_1", "digest_2")
         .agg(F.any_value("row").alias("row"))
         .select("row.*")
     )

@@ -2,7 +2,8 @@
 
 Both group before they shuffle, so copies of one row or value collapse within
 each task and a value that fills a third of the table does not make one task
-slow. Long text is grouped by digest (see ``grouping_key``).
+slow. Long text is grouped by digest (see ``grouping_key``), rows by the hashes of
+``row_digest``.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabgauge.functions.columns import field_of, grouping_key, percent
+from tabgauge.functions.columns import field_of, grouping_key, percent, row_digest
 from tabgauge.functions.scoring import step_score
 
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows beyond the first of each group of equal rows; NULLs are equal."""
     names = columns or df.columns
-    keys = [grouping_key(field_of(df, n)).alias(f"k{i}") for i, n in enumerate(names)]
-    grouped = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).count()
+    digest = row_digest([field_of(df, n) for n in names])
+    grouped = df.select(*digest).groupBy("digest_1", "digest_2").count()
     return with_uniqueness(
         grouped.agg(
             F.coalesce(F.sum("count"), F.lit(0)).alias("total_rows"),
