@@ -55,6 +55,14 @@ SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_mktsegment END AS s
        c_acctbal AS balance
 FROM customer"""
 
+# Values far off, values of mostly one kind, repeated rows and missing dates.
+_SPOILED = """
+SELECT o_orderstatus,
+       CASE WHEN o_orderkey % 100 < 8 THEN 1000e0 ELSE 0e0 END AS spikes,
+       CASE WHEN o_orderkey % 10 < 2 THEN -50e0 WHEN o_orderkey % 10 > 7 THEN 50e0 ELSE 5e0 END AS steps,
+       CASE WHEN o_orderkey % 7 < 2 THEN NULL ELSE o_orderdate END AS delivered
+FROM orders"""
+
 _DAILY = """
 SELECT CAST({day} AS {text}) AS name, {day_ts} AS ts, count(*) AS total_rows,
        CAST(6 AS BIGINT) AS total_columns, avg(value) AS overall,
@@ -82,6 +90,7 @@ _VIEWS = {
     "percents": _PERCENTS,
     "labelled": _LABELLED,
     "pairs": _PAIRS,
+    "spoiled": _SPOILED,
     "daily": _DAILY,
     "page_links": "SELECT page_id, url FROM pages",
     "doc_texts": "SELECT text, lang, source, n_chars FROM documents",
@@ -105,6 +114,7 @@ KINDS = {
     "percents": "l_orderkey:I l_linenumber:I disc_pct:N",
     "page_links": "page_id:I url:T",
     "pairs": "segment:T nation:I balance:N",
+    "spoiled": "o_orderstatus:T spikes:N steps:N delivered:D",
     "doc_texts": "text:T lang:T source:T n_chars:I",
     "lineitem": (
         "l_orderkey:I l_partkey:I l_suppkey:I l_linenumber:I l_quantity:N l_extendedprice:N"

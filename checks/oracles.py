@@ -8,7 +8,7 @@ from __future__ import annotations
 from checks.inputs import AS_OF, TABLES, columns_of, duckdb_input
 
 DIGITS = 5
-ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts")
+ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts", "spoiled")
 RULES = {
     "small_discount": "l_discount <= 0.08",
     "low_tax": "l_tax < 0.08",

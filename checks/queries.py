@@ -26,7 +26,7 @@ from tabgauge.streaming import monitor
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 5
-ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts")
+ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts", "spoiled")
 RULES = {
     "small_discount": "l_discount <= 0.08",
     "low_tax": "l_tax < 0.08",
