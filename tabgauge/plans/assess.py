@@ -250,14 +250,23 @@ _TABLE_METRICS = {
 }
 
 
+_RULE_METRICS = {"rules": ("checked_rows", "violations", "violation_percentage")}
+_COMBINATION_METRICS = {"combinations": ("completeness", "dependency_strength", "overall")}
+
+
 def metrics(result: Assessment) -> DataFrame:
     """All results as one long table: table, column, dimension, metric, value.
 
-    Table-wide metrics have no column. Metrics that do not apply are left out.
+    Table-wide metrics have no column; those of rules and combinations have the rule's
+    name and the columns' names there. Metrics that do not apply are left out.
     """
     per_column = _melted(result.columns, _METRICS, F.col("column"))
     per_table = _melted(result.tables, _TABLE_METRICS, F.lit(None).cast("string"))
-    return per_column.unionByName(per_table)
+    per_rule = _melted(result.rules, _RULE_METRICS, F.col("rule"))
+    members = F.array_join("columns", " + ")
+    per_combination = _melted(result.combinations, _COMBINATION_METRICS, members)
+    parts = (per_column, per_table, per_rule, per_combination)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _melted(wide: DataFrame, layout: dict[str, tuple[str, ...]], column: Column) -> DataFrame:

@@ -181,6 +181,12 @@ def test_quotes_over_several_lines_are_counted(spark, tmp_path):
     assert tables.load_table(spark, str(path), multiline=True).count() == 2
 
 
+def test_metrics_have_rules_and_combinations(result):
+    found = {(r["dimension"], r["column"], r["metric"]): r["value"] for r in metrics(result).collect()}
+    assert found["rules", "positive", "violations"] == 1
+    assert found["combinations", "id + code", "completeness"] == 100
+
+
 def test_own_checks(spark):
     df = spark.createDataFrame([("DE-1",), ("x",)], "plate string")
     checks = validity.Checks(formats=(("plate", ("plate",), r"^[A-Z]{2}-\d+$"),), ranges=())
