@@ -15,11 +15,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabgauge.functions.checkpoints import settled
+from tabgauge.llm.documents import sent
+
 #: Sampled documents per language, and characters taken from the middle of each.
 SAMPLE = 256
 SAMPLE_CHARS = 400
 #: Bytes of a language's dictionary; what is sent to the executors is this per language.
 DICTIONARY = 110 << 10
+#: Rows (some 40 bytes each) that are sent to all executors rather than shuffled.
+SENT_ROWS = 1_000_000
 #: Languages whose dictionaries are held at once; more are compared in groups of so many.
 LANGUAGES = 256
 #: Bytes compressed at once, so that the dictionary counts throughout a long text.
@@ -51,7 +56,9 @@ def sample(docs: DataFrame) -> DataFrame:
         .select("lang", "place", "n")
     )
     start = F.greatest(F.lit(1), (F.length("text") - SAMPLE_CHARS) / 2).cast("int")
-    return marked.join(chosen, ["lang", "place"]).select(
+    # at most SAMPLE rows a language: sent to the texts, so that no text is shuffled
+    chosen = settled(chosen)
+    return marked.join(sent(chosen, chosen.count(), SENT_ROWS), ["lang", "place"]).select(
         "lang", "place", "n", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")
     )
 
