@@ -44,7 +44,8 @@ def _pieces(name: str, end: int, length: int, ids: bool):
                 starts = [0, *range(first, len(data), width)]
                 for piece, (start, stop) in enumerate(zip(starts, [*starts[1:], len(data)])):
                     part = data[start:stop]
-                    rows.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part), part))
+                    row = (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part))
+                    rows.append((*row, part) if ids else row)
             columns = list(zip(*rows)) if rows else [()] * 6
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]

@@ -20,7 +20,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _RUNS = re.compile(f"[{_WHITE}]{{2}}")
 #: Pieces and words that a task remembers, some 200 bytes each.
-_KNOWN = 400_000
+_KNOWN = 300_000
 
 
 class _Known(dict):
