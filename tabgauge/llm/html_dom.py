@@ -20,6 +20,15 @@ ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("thead", "tr"),
 }
+#: What may stand in a head; any other element, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title script style template noscript noframes".split())
+#: Elements that start a language of their own, what ends them, and what holds HTML in them.
+FOREIGN = frozenset("svg math".split())
+BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+    "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 SCOPES = frozenset("table ul ol dl div section article main aside nav header footer form body td th".split())
 
 #: Words in class, id and role attributes, by what they usually stand for.
@@ -77,6 +86,7 @@ class Page(HTMLParser):
         self.buffer: list[str] = []
         self.link_chars = 0
         self.hidden = 0
+        self.foreign = 0
         self.links = 0
         self.feed(html)
         self.close()
@@ -101,6 +111,7 @@ class Page(HTMLParser):
         """End the open elements from this place of the stack on."""
         for tag, node in self.open[at:]:
             self.hidden -= tag in HIDDEN
+            self.foreign -= tag in FOREIGN
             self.links -= tag == "a"
         if any(node >= 0 for _, node in self.open[at:]):
             self.flush()
@@ -115,7 +126,31 @@ class Page(HTMLParser):
             if tag in SCOPES and tag not in tags:
                 return
 
+    def _end_head(self, tag: str) -> None:
+        """End an open head that this element does not belong to; body ends also what is open in it."""
+        if tag == "body":
+            at = next((k for k, (t, _) in enumerate(self.open) if t in ("head", "template")), 0)
+            if self.open[at][0] == "head":
+                self._end(at)
+        elif self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._end(len(self.open) - 1)
+
+    def _end_foreign(self) -> None:
+        """End the open svg and math elements up to one that holds HTML."""
+        first = 0
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] in HOLDS:
+                break
+            if self.open[at][0] in FOREIGN:
+                first = at
+        if first:
+            self._end(first)
+
     def handle_starttag(self, tag, attrs) -> None:
+        if self.foreign and tag in BREAKS:
+            self._end_foreign()
+        if self.hidden:
+            self._end_head(tag)
         if tag in CONTROLS:
             self.controls[next(n for _, n in reversed(self.open) if n >= 0)] += 1
         if tag in VOID:
@@ -139,6 +174,7 @@ class Page(HTMLParser):
                 found.update(_WORD[w] for w in map(str.lower, _TOKENS.findall(value)) if w in _WORD)
         self.open.append((tag, self._node(tag, frozenset(found))))
         self.hidden += tag in HIDDEN
+        self.foreign += tag in FOREIGN
 
     def handle_startendtag(self, tag, attrs) -> None:
         if tag in VOID or tag in INLINE:
@@ -147,6 +183,8 @@ class Page(HTMLParser):
                 self.handle_endtag(tag)
         else:
             self.handle_starttag(tag, attrs)
+            if tag in FOREIGN:
+                self._end(len(self.open) - 1)
 
     def handle_endtag(self, tag) -> None:
         for at in range(len(self.open) - 1, 0, -1):
@@ -157,6 +195,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data) -> None:
+        if self.open[-1][0] == "head" and data.strip():
+            self._end(len(self.open) - 1)
         if not self.hidden and not any(tag in CONTROLS for tag, _ in self.open[-2:]):
             self.buffer.append(data)
             if self.links:

@@ -58,6 +58,30 @@ def test_blocks():
     assert texts == ["One & two three", "four five", "a", "b c", "x", "y", "z <éé", "1", "2", "3", "tail"]
 
 
+def test_hidden_elements_end_where_html_ends_them():
+    def texts(html):
+        return [t for t in Page(html).texts if t is not None]
+
+    body = "<p>one</p><div>two</div>"
+    for start in (
+        "<html><head><title>t</title><meta name=a><body>", "<head><title>t</title><script>x</script>", "<head><noscript><link><body>",
+        "<head><style>x</style>\n<body class=a>", "<head>\n</head><body>", "<body><svg><g><path d=1>", "<body><svg/>", "<math><mrow>",
+        "<svg><svg><circle>",
+    ):
+        assert texts(start + body) == ["one", "two"], start
+    assert texts("<head><title>t</title>plain <b>words</b>") == ["plain words"]
+    assert texts("<head><title>t</title><a href=x>link</a> text") == ["link text"]
+    hidden = "<head><title>t</title><noscript><p>no</p></noscript></head><svg><desc><p>no</p></desc><text>no</text></svg>"
+    assert texts(hidden + body) == ["one", "two"]
+    assert texts("<template><head><body><p>no</p></template>" + body) == ["one", "two"]
+
+
+def test_page_without_end_of_head(trees):
+    html, main = Layouts(77).page()
+    open_head = "<html><head><title>t</title>" + html[html.index("<body") :] if "<body" in html else "<head><title>t</title>" + html
+    assert extraction.main_texts([open_head], trees)[0]
+
+
 def test_decoding_is_the_best_choice():
     rng = np.random.default_rng(1)
     forest = Forest([Page("<div>a<p>b</p><ul><li>c<li>d</ul></div>"), Page("<p>x</p>")])
