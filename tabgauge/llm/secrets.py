@@ -4,8 +4,9 @@ Base spans are leftmost non-overlapping matches per kind (fixed patterns below).
 method adds spans: candidate strings are runs of one character class; a window slides
 over each candidate, the counts of its characters are kept up to date as one enters
 and one leaves, and with them the Shannon entropy. Stretches whose windows reach the
-class's entropy become spans, unless an allow-list entry suppresses them or a base
-span covers them already.
+class's entropy become spans, unless a base span covers them already. An allow-list
+entry suppresses the whole candidate it stands in for the spans that are reported (as
+their SQL does); redaction takes only the match of the entry out and scores the rest.
 
 All is DataFrame functions on one row at a time: nothing is shuffled.
 """
@@ -66,6 +67,10 @@ ALLOWED = (
     r"abcdefghij", r"[a-z]{3,}[/_-][a-z]{3,}[/_-][a-z]{3,}", r"(.)\1{7,}",
 )
 
+_PATH = r"[a-z]{3,}[/_-][a-z]{3,}[/_-][a-z]{3,}"
+#: Redaction takes a path for known only where it is of whole words in lower case.
+_WORDS_PATH = r"(?-i:(?<![A-Za-z0-9])[a-z]{3,}(?:[/_-][a-z]{3,}){2,}(?![A-Za-z0-9]))"
+
 #: Entropies are compared as whole numbers of this part of a bit.
 _UNIT = 1_000_000
 #: Spans are gathered in lists of this length, so that gathering stays linear.
@@ -199,9 +204,40 @@ def _candidate(of: CharacterClass, allowed: tuple[str, ...]):
     return test
 
 
-def with_spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def _without_allowed(found: Column, of: CharacterClass, allowed: tuple[str, ...]) -> Column:
+    """The pieces (start, end, value) between allow-list matches that hold a window."""
+
+    def cut(entry):
+        def pieces(m):
+            value, pattern = m["value"], "(?i)" + (_WORDS_PATH if entry == _PATH else entry)
+            whole = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
+            known = _located(value, pattern, whole, whole, _at_least(1))
+            starts = F.concat(F.array(F.lit(0)), F.transform(known, lambda k: k["end"]))
+            between = F.zip_with(
+                F.split(value, pattern, -1),
+                starts,
+                lambda piece, at: F.struct(
+                    (m["start"] + at).alias("start"),
+                    (m["start"] + at + F.length(piece)).alias("end"),
+                    piece.alias("value"),
+                ),
+            )
+            return F.filter(between, lambda b: F.length(b["value"]) >= of.window)
+
+        return pieces
+
+    for entry in allowed:
+        found = F.flatten(F.transform(found, cut(entry)))
+    return found
+
+
+def with_spans(
+    docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, rest: bool = False
+) -> DataFrame:
     """The table with the columns _text (null: empty) and _spans (start, end, kind).
 
+    An allow-list entry suppresses the candidates that hold it or, with rest, only its
+    match; what stands before and after is searched.
     Spans are ordered by start, then by kind: assign, access, hex, then the kinds of
     CLASSES. Places are in code points, ends exclusive.
     """
@@ -228,7 +264,8 @@ def with_spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame
         found[f"_{kind}"] = F.when(F.size(f"_{kind}") > 0, located).otherwise(none)
     for of in CLASSES:
         whole = F.col(f"_{of.kind}")
-        found[f"_{of.kind}"] = _located(text, of.pattern, whole, whole, _candidate(of, allowed))
+        located = _located(text, of.pattern, whole, whole, _candidate(of, () if rest else allowed))
+        found[f"_{of.kind}"] = _without_allowed(located, of, allowed) if rest else located
     table = table.withColumns(found)
 
     def spans(kind):
@@ -333,10 +370,11 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """docs, all its columns, with the mark in place of every span found in text.
 
+    Secrets that touch an allow-list match without a break are replaced too.
     n_chars, where there is such a column, is set to the new length of changed texts.
     Null texts stay null.
     """
-    found = with_spans(docs.select(F.struct("*").alias("row"), "text"), allowed)
+    found = with_spans(docs.select(F.struct("*").alias("row"), "text"), allowed, rest=True)
     changed = F.size("_spans") > 0
     new = F.when(changed, redacted(F.col("_text"), F.col("_spans"))).otherwise(F.col("text"))
     found = found.withColumn("_new", new)

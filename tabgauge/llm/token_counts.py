@@ -210,7 +210,7 @@ def recounted(docs: DataFrame, edits: Column) -> DataFrame:
 
 def counts_after_redaction(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Token counts of documents before and after their secrets are redacted."""
-    found = secrets.with_spans(docs.select("doc_id", "text"))
+    found = secrets.with_spans(docs.select("doc_id", "text"), rest=True)
     edits = F.transform(
         "_spans",
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("text")),

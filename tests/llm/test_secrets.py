@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -112,3 +113,22 @@ def test_main_path_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = secrets.secrets(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_redaction_beside_allowed_words(spark):
+    rng = random.Random(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    long = "".join(rng.choices(signs, k=3000))
+    cases = [
+        (f"{RANDOM}EXAMPLE", "[SECRET]EXAMPLE"), (f"xxxxxxxx{RANDOM}", "xxxxxxxx[SECRET]"), (f"é {RANDOM}________ z", "é [SECRET]________ z"),
+        (f"/some/longer/path/{RANDOM}", "/some/longer/path[SECRET]"), (f"{RANDOM}example{RANDOM}", "[SECRET]example[SECRET]"),
+        ("/usr/local/share/doc/ABC1", None), ("3F2504E0-4F89-11D3-9A0C-0305E82C3301", None),
+    ]
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(99, long)], "doc_id long, text string")
+    found = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    for i, (text, wanted) in enumerate(cases):
+        assert found[i] == (wanted or text)
+    assert any(re.search(a, long, re.I) for a in secrets.ALLOWED)
+    assert len(found[99]) < 100
+    plan = secrets.redact(table)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
