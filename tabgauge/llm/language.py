@@ -77,8 +77,10 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     found = {}
     for lang in sorted(texts, key=lambda known: (-frequency[known], known)):
         own = texts[lang]
-        data = "\n".join(own[place][0] for place in sorted(own)).lower().encode("utf-8", "replace")
-        found[lang] = data[:DICTIONARY]
+        # each sample has its share of the bytes, so that all are in it in every script
+        share = DICTIONARY // len(own) - 1
+        parts = (own[place][0].lower().encode("utf-8", "replace")[:share] for place in sorted(own))
+        found[lang] = b"\n".join(part.decode("utf-8", "ignore").encode() for part in parts)
     return found
 
 

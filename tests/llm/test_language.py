@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tabgauge.llm import language
@@ -67,3 +68,24 @@ def test_groups_of_languages(spark, monkeypatch, group):
     before = {r.doc_id: r for r in language.languages(docs).collect()}
     monkeypatch.setattr(language, "LANGUAGES", group)
     assert {r.doc_id: r for r in language.languages(docs).collect()} == before
+
+
+def test_every_sample_is_in_the_dictionary_in_every_script(monkeypatch):
+    class Samples(list):
+        def distinct(self):
+            return self
+
+        def toLocalIterator(self):
+            return iter(self)
+
+    rows = [
+        Row(lang=lang, place=k, text=f"{k} " + letter * (language.SAMPLE_CHARS - len(f"{k} ")), n=1)
+        for lang, letter in (("en", "a"), ("el", "α"), ("hi", "क"), ("zh", "東"))
+        for k in range(language.SAMPLE)
+    ]
+    monkeypatch.setattr(language, "sample", lambda docs: Samples(rows))
+    for lang, data in language.dictionaries(None).items():
+        assert len(data) <= language.DICTIONARY
+        starts = [part.split(" ")[0] for part in data.decode().split("\n")]
+        assert starts == [str(k) for k in range(language.SAMPLE)], lang
+    assert language.dictionaries(None)["en"].decode() == "\n".join(r.text for r in rows if r.lang == "en")
