@@ -158,10 +158,97 @@ FROM d LEFT JOIN s USING (r)
 """
 
 
+#: CTEs and an expression for the crc32 of a text's UTF-8 bytes.
+_CRC_TABLE = """crc AS (
+  SELECT list(v ORDER BY n) AS crcs FROM (
+    SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) u(n)))"""
+
+
+def _crc32(text: str) -> str:
+    byte = f"CAST('0x' || substr(hex({text}), 2 * j - 1, 2) AS BIGINT)"
+    held = f"list_transform(range(1, strlen({text}) + 1), lambda j: {byte})"
+    step = "lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])"
+    return f"xor(4294967295, list_reduce([4294967295] || {held}, {step}))"
+
+
+def _conversations() -> str:
+    def more(state: str, edit: str, cost: str, line: str) -> str:
+        return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{edit}', t := {state}.t || chr(10) || {line})"
+
+    def put(state: str, role: str) -> str:
+        return more(state, "I", "3", f"'{role}:'")
+
+    def turned(state: str, role: str) -> str:
+        return more(state, "R", "3 + late", f"'{role}:' || text")
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN left(role, 1) = '{initial}' THEN {more(state, 'K', 'late', 'role || chr(58) || text')} ELSE none END"
+
+    def gone(state: str) -> str:
+        return f"struct_pack(c := {state}.c + 4, a := {state}.a || 'D', t := {state}.t)"
+
+    keep = "CASE WHEN must THEN none ELSE least({}) END"
+    into = {
+        "s0": "none",
+        "s1": keep.format(f"none, {kept('i0', 's')}"),
+        "s2": keep.format(", ".join(x for q in ("i0", "i1", "i3") for x in (kept(q, "u"), turned(q, "user")))),
+        "s3": keep.format(f"{kept('i2', 'a')}, {turned('i2', 'assistant')}"),
+    }
+    steps = ", ".join(f"least({gone('i' + s[1])}, {x}) AS {s}" for s, x in into.items())
+    null = "struct_pack(c := CAST(1000000000 AS BIGINT), a := '~', t := '')"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+f AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k, conv_id, turn, coalesce(role, ' ') AS role,
+         coalesce(text, ' ') AS text, {_crc32(key)} % 20 AS fate
+  FROM conversations, crc),
+d AS (
+  SELECT k, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM f, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(i)),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(text)) AS p FROM d),
+r AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY k, role, text ORDER BY p) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+         left(lag(role) OVER (PARTITION BY k ORDER BY p), 1) || left(role, 1) AS pair
+  FROM o),
+m AS (SELECT k, p, role, text, blank OR again AS must, CASE WHEN cut THEN 3 ELSE 0 END AS late FROM r),
+dp AS (
+  SELECT k, CAST(0 AS BIGINT) AS p, struct_pack(c := CAST(0 AS BIGINT), a := '', t := '') AS s0,
+         {null} AS s1, {null} AS s2, {null} AS s3 FROM f GROUP BY k
+  UNION ALL
+  SELECT k, p, {steps} FROM (
+    SELECT k, p, role, text, must, late, none, i0, i1,
+           least(j2, {put('j3', 'user')}) AS i2, least(j3, {put('j2', 'assistant')}) AS i3
+    FROM (
+      SELECT k, m.p, role, text, must, late, {null} AS none, s0 AS i0, s1 AS i1,
+             least(s2, {put('s0', 'user')}, {put('s1', 'user')}, {put('s3', 'user')}) AS j2,
+             least(s3, {put('s2', 'assistant')}) AS j3
+      FROM dp JOIN m USING (k) WHERE m.p = dp.p + 1))),
+w AS (SELECT k, arg_max(least(s0, s3, {put('s2', 'assistant')},
+             struct_pack(c := s1.c + 6, a := s1.a || 'II', t := s1.t || chr(10) || 'user:' || chr(10) || 'assistant:')), p) AS best
+  FROM dp GROUP BY k),
+g AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+         count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+       sha256(substr(best.t, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM f) JOIN w USING (k) LEFT JOIN g USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secrets": _secrets(),
         "op2_licenses": _licenses(),
         "op4_near_duplicates": NEAR_DUPLICATES,
         "op5_decontamination": DECONTAMINATION,
+        "op11_conversations": _conversations(),
     }

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabgauge.llm import decontaminate, extraction, idfiles, language, licenses, neardup, oracles, packing, quality, secrets, token_counts
+from tabgauge.llm import (
+    conversations,
+    decontaminate,
+    extraction,
+    idfiles,
+    language,
+    licenses,
+    neardup,
+    oracles,
+    packing,
+    quality,
+    secrets,
+    token_counts,
+)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +68,11 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_documents(spark, folder))
 
 
+def _conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    return conversations.repair(conversations.damaged(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": _secrets,
@@ -67,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": _token_counts,
         "op9_quality_rules": _quality,
         "op10_languages": _languages,
+        "op11_conversations": _conversations,
         "pipeline": corpus_pipeline.run,
     }
 
