@@ -110,25 +110,26 @@ FROM t LEFT JOIN found USING (r)
 """
 
 
-NEAR_DUPLICATES = r"""
+def _components(words: int, percent: int, kept: str) -> str:
+    """Documents linked by the Jaccard similarity of their shingles, from all pairs."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
 sh AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
-  FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) u(i) WHERE len(ws) > 0),
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + {words - 1}], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(ws) - {words - 2}, 2))) u(i) WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 c AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
   FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (
   SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
-  WHERE 100 * c.n >= 75 * (a.n + b.n - c.n)),
+  WHERE 100 * c.n >= {percent} * (a.n + b.n - c.n)),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
 root AS (SELECT x AS doc_id, min(y) AS root FROM reach GROUP BY x)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id,
-       coalesce(root, doc_id) = doc_id AS kept
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id{kept}
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
 """
 
@@ -248,7 +249,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secrets": _secrets(),
         "op2_licenses": _licenses(),
-        "op4_near_duplicates": NEAR_DUPLICATES,
+        "op4_near_duplicates": _components(5, 75, ", coalesce(root, doc_id) = doc_id AS kept"),
         "op5_decontamination": DECONTAMINATION,
         "op11_conversations": _conversations(),
+        "op12_ngram_join": _components(4, 85, ""),
     }

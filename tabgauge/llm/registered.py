@@ -15,6 +15,7 @@ from tabgauge.llm import (
     language,
     licenses,
     neardup,
+    ngram_join,
     oracles,
     packing,
     quality,
@@ -73,6 +74,10 @@ def _conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damaged(turns))
 
 
+def _ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_groups(_documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": _secrets,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": _quality,
         "op10_languages": _languages,
         "op11_conversations": _conversations,
+        "op12_ngram_join": _ngram_join,
         "pipeline": corpus_pipeline.run,
     }
 
