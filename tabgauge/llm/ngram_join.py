@@ -33,8 +33,9 @@ from tabgauge.llm.words import mixed, shingles
 
 SHINGLE_WORDS = 4
 PERCENT = 85
-#: Shingles a group holds on average, at most.
-GROUP_SHINGLES = 4
+#: Shingles a group holds on average, up to the largest number of groups.
+GROUP_SHINGLES = 8
+MOST_GROUPS = 256
 #: So many of the most frequent shingles come last in the order (8 bytes each, sent to all).
 FREQUENT = 1_000_000
 #: Shingles whose repetitions a task counts at a time.
@@ -50,6 +51,7 @@ FAN = 64
 SENT_IDS = 1_000_000
 
 _SEEDS = mixed(np.arange(1, 2 * STARS + 1, dtype=np.uint64))
+_FACTORS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _texts(batch: pa.RecordBatch):
@@ -106,14 +108,20 @@ def first_size(n: int) -> int:
 
 
 def groups_of(n: int) -> int:
-    return 1 << max(4, (-(-n // GROUP_SHINGLES) - 1).bit_length())
+    return min(MOST_GROUPS, 1 << max(4, (-(-n // GROUP_SHINGLES) - 1).bit_length()))
 
 
 def point_of(found: np.ndarray) -> np.ndarray:
-    """The counts of a set's shingles by group."""
+    """The counts of a set's shingles by group, in the smallest type that holds them."""
     size = groups_of(len(found))
     groups = (mixed(found) & np.uint64(size - 1)).astype(np.int64)
-    return np.bincount(groups, minlength=size).astype(np.int32)
+    counts = np.bincount(groups, minlength=size)
+    return counts.astype(np.min_scalar_type(counts.max()))
+
+
+def stored(point: bytes, n: int) -> np.ndarray:
+    """point_of() a set of n, from its bytes."""
+    return np.frombuffer(point, f"u{len(point) // groups_of(n)}").astype(np.int32)
 
 
 def folded(point: np.ndarray, size: int) -> np.ndarray:
@@ -127,15 +135,19 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def ordered(found: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order."""
-    late = np.isin(found, last, assume_unique=True)
-    keys = mixed(found ^ np.uint64(0x5851F42D4C957F2D))
-    return found[np.lexsort((keys, late))[: first_size(len(found))]]
+    """The first shingles of a set in the common order; those in last (sorted) come last."""
+    keys = mixed(found ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(1)
+    if len(last):
+        late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+        keys |= late.astype(np.uint64) << np.uint64(63)
+    # a tie of keys falls to the shingle itself, because found is sorted
+    return found[np.argsort(keys, kind="stable")[: first_size(len(found))]]
 
 
 def stars_of(found: np.ndarray) -> np.ndarray:
     """Hashes of pairs of MinHash samples of a set."""
-    samples = np.array([mixed(found ^ seed).min() for seed in _SEEDS]).reshape(STARS, 2)
+    values = (found >> np.uint64(32)).astype(np.uint32)
+    samples = np.array([(values * f + f).min() for f in _FACTORS], np.uint64).reshape(STARS, 2)
     return mixed(mixed(samples[:, 0] + _SEEDS[:STARS]) + samples[:, 1]).view(np.int64)
 
 
@@ -189,7 +201,7 @@ def _near_points(batches):
     for batch in batches:
         points = [zip(*(batch.column(f"{c}_{s}").to_pylist() for c in ("n", "point"))) for s in "ab"]
         kept = [
-            _enough(overlap_bound(np.frombuffer(p, np.int32), np.frombuffer(q, np.int32)), n + m)
+            _enough(overlap_bound(stored(p, n), stored(q, m)), n + m)
             for (n, p), (m, q) in zip(*points)
         ]
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -234,7 +246,7 @@ class _Box:
 class _Point(_Box):
     def __init__(self, row: dict) -> None:
         self.id, self.low, self.high, self.left = row["id"], row["n"], row["n"], row["left"]
-        self.roots, self.top = {row["root"]}, np.frombuffer(row["point"], np.int32)
+        self.roots, self.top = {row["root"]}, stored(row["point"], row["n"])
 
 
 class _Leaf(_Box):
@@ -457,10 +469,14 @@ def joined(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
 
     owned = nodes.join(roots.withColumnRenamed("root", "other"), "id", "left")
     owned = owned.withColumn("root", F.coalesce("other", "id")).drop("other")
-    places = owned.select("id", "root", F.posexplode("first").alias("place", "bucket"))
-    shared = places.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    shared = shared.where("low < high").select("bucket")
-    members = places.drop("root").join(shared, "bucket").join(owned.select("id", "n", "root", "point"), "id")
+    places = owned.select("id", "n", "root", F.posexplode("first").alias("place", "bucket"))
+    # of two linked sets the smaller one has the first common shingle so far in front
+    near = (100 + PERCENT) * (F.col("n") - F.col("place")) >= 2 * PERCENT * F.col("n")
+    shared = places.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max(near).alias("near")
+    )
+    shared = shared.where("low < high and near").select("bucket")
+    members = places.join(shared, "bucket").join(owned.select("id", "n", "point"), ["id", "n"])
     members = members.withColumn("left", F.col("n") - F.col("place"))
     more = settled(_verified(own, tree_pairs(members.select(*_MEMBER))))
     if not more.isEmpty():
