@@ -245,6 +245,42 @@ FROM (SELECT DISTINCT k, conv_id FROM f) JOIN w USING (k) LEFT JOIN g USING (k)
 """
 
 
+def _spelling() -> str:
+    run = r"[A-Za-z\x{00C0}-\x{00FF}]+"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    key = "coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({lower}, '{run}')) AS run FROM documents)
+  WHERE len(run) >= 7 GROUP BY ALL),
+checked AS (SELECT run, n, {_crc32(key)} AS h FROM runs, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word
+    FROM checked)
+  WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM words, unnest(range(1, len(word) + 1)) u(i)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min(struct_pack(m := -m, other := other)) AS best FROM pairs GROUP BY word),
+judged AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * n THEN best.other END AS form,
+         CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+way AS (
+  SELECT word, word AS place, 0 AS steps FROM judged
+  UNION ALL SELECT w.word, j.form, steps + 1 FROM way w JOIN judged j ON j.word = w.place WHERE j.form IS NOT NULL)
+SELECT j.word, form, root, n, n_near, form_n
+FROM judged j JOIN (SELECT word, arg_max(place, steps) AS root FROM way GROUP BY word) r ON r.word = j.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secrets": _secrets(),
@@ -253,4 +289,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": DECONTAMINATION,
         "op11_conversations": _conversations(),
         "op12_ngram_join": _components(4, 85, ""),
+        "op13_spelling_variants": _spelling(),
     }

@@ -20,6 +20,7 @@ from tabgauge.llm import (
     packing,
     quality,
     secrets,
+    spelling,
     token_counts,
 )
 
@@ -78,6 +79,10 @@ def _ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_groups(_documents(spark, folder))
 
 
+def _spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_documents(spark, folder), damage=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": _secrets,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_languages": _languages,
         "op11_conversations": _conversations,
         "op12_ngram_join": _ngram_join,
+        "op13_spelling_variants": _spelling,
         "pipeline": corpus_pipeline.run,
     }
 

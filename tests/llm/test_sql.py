@@ -20,5 +20,5 @@ def test_same_as_sql(spark, name):
 
 def test_one_query_per_operator_and_the_pipeline():
     names = list(registered.queries())
-    assert [int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))] == list(range(1, 13))
+    assert [int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))] == list(range(1, 14))
     assert names[-1] == "pipeline" and set(SQLS) <= set(names)
