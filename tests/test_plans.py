@@ -22,10 +22,12 @@ def people(spark):
     return made
 
 
+OPTIONS = Options(as_of="2024-02-01", rules={"people": {"positive": "id > 0"}}, combinations=[["id", "code"]])
+
+
 @pytest.fixture(scope="module")
 def result(people):
-    options = Options(as_of="2024-02-01", rules={"people": {"positive": "id > 0"}}, combinations=[["id", "code"]])
-    return assess({"people": people}, options)
+    return assess({"people": people}, OPTIONS)
 
 
 def test_overall_is_mean_of_dimensions(result):
@@ -59,7 +61,7 @@ def test_insights_and_gains(result):
 
 
 def test_rearranging_rows_changes_nothing(people, result):
-    again = assess({"people": people.orderBy(F.rand(1)).repartition(5)}, Options(as_of="2024-02-01"))
+    again = assess({"people": people.orderBy(F.rand(1)).repartition(5)}, OPTIONS)
     names = ["table", "column", "metric"]
 
     def rounded(found):
