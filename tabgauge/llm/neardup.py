@@ -8,9 +8,10 @@
    bit. The population count of the XOR of two sketches estimates their similarity;
    pairs that cannot reach the threshold are dropped before any set is fetched.
 4. All members of a bucket are compared with its smallest member, on the full sets.
-   Groups found so far are merged; only members that share a bucket but not a group
-   are then compared with each other. No bucket is expanded into all its pairs, and
-   no link between different groups is lost.
+   Groups found so far are merged. Members that share a bucket but not a group are then
+   brought together by their rarest shingles: under one order of shingles, linked sets
+   share one of their first quarter, and the overlap has to follow it. No bucket is
+   expanded into all its pairs, and no link between different groups is lost.
 5. Before sets are fetched, the odd sketch of each whole set is consulted: shingles
    that only one side has flip at most one bit each, so more differing bits than the
    threshold allows prove that a pair is no link. This check loses nothing.
@@ -20,12 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tabgauge.functions.checkpoints import settled
 from tabgauge.llm.documents import NO_ID, identified, sent, without
-from tabgauge.llm.words import mixed, shingles
+from tabgauge.llm.words import mixed, shingles, small
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -95,7 +96,7 @@ def _texts(batch: pa.RecordBatch):
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in small(batches):
         sizes, sets, sketches, buckets = [], [], [], []
         for data in _texts(batch):
             found = shingles(data, SHINGLE_WORDS)
@@ -135,7 +136,7 @@ _SETS = "id long, n long, parity array<long>, found array<long>"
 
 def _sets(batches):
     longs = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in small(batches):
         found = [shingles(data, SHINGLE_WORDS) for data in _texts(batch)]
         yield pa.RecordBatch.from_arrays(
             [
@@ -326,7 +327,13 @@ def _links_by_id(prints: DataFrame, classes: DataFrame) -> DataFrame:
 def _unsettled(
     members: DataFrame, roots: DataFrame, sketches: DataFrame, sets: DataFrame
 ) -> DataFrame:
-    """Pairs that share a bucket, but neither a component nor a comparison so far."""
+    """Pairs that share a bucket, but neither a component nor a comparison so far.
+
+    Under an order of shingles, of two sets at the threshold both have their first common
+    shingle among the first quarter, and what follows it must hold the overlap: so the
+    smaller set has it far in front. The order takes rare shingles first (counted over
+    the sets in question), so that shared passages come last and bring no sets together.
+    """
     rows = (
         members.where("id <> pivot")
         .join(roots, "id", "left")
@@ -338,12 +345,30 @@ def _unsettled(
         .where("low < high")
         .select("bucket")
     )
-    held = rows.join(mixed_buckets, "bucket", "left_semi")
-    held = held.join(sketches, "id").join(sets.select("id", "n", "parity"), "id")
-    sides = [
-        held.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "bucket"])
-        for side in ("a", "b")
-    ]
-    new = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
-    pairs = sides[0].join(sides[1], "bucket").where(new & _possible() & _alike())
-    return settled(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    held = settled(rows.join(mixed_buckets, "bucket", "left_semi").select("id", "root").distinct())
+    # rows of one id may have different sets
+    tokens = held.join(sets.select("id", "n", F.xxhash64("found").alias("same"), "found"), "id")
+    tokens = settled(tokens.select("id", "same", "root", "n", F.explode("found").alias("token")))
+    counts = tokens.groupBy("token").agg(
+        F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    shared = counts.where("times > 1")
+    # a set's shingles that no other has come before all others
+    whole = Window.partitionBy("id", "same")
+    own = F.col("n") - F.count("*").over(whole)
+    place = own + F.row_number().over(whole.orderBy("times", "token")) - 1
+    placed = tokens.join(shared, "token").withColumn("left", F.col("n") - place).where("low < high")
+    placed = placed.where(100 * F.col("left") >= PERCENT * F.col("n"))
+    fields = ("id", "root", "n", "left")
+    a, b = (
+        placed.select("token", *[F.col(c).alias(f"{c}_{side}") for c in fields]) for side in ("a", "b")
+    )
+    first = (100 + PERCENT) * F.col("left_a") >= 2 * PERCENT * F.col("n_a")
+    enough = (100 + PERCENT) * F.least("left_a", "left_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    new = (F.struct("n_a", "id_a") < F.struct("n_b", "id_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = a.where(first).join(b, "token").where(new & enough)
+    pairs = settled(
+        pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    )
+    pairs = _paired(sketches, pairs, "sketch").where(_alike()).select("a", "b")
+    return settled(pairs)

@@ -19,6 +19,9 @@ from tokenizers import Tokenizer
 _WHITE = "\t-\r \x85\xa0  -     　"
 _PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _RUNS = re.compile(f"[{_WHITE}]{{2}}")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Characters below are composed already.
+_COMBINING = "\u0300"
 #: Pieces and words that a task remembers, some 200 bytes each.
 _KNOWN = 300_000
 
@@ -61,18 +64,29 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         words = self.words
         bare = piece[1:] if piece[:1] == " " else piece
-        start = bare if self.drops else piece
-        if bare.isascii():
+        if bare.isascii() or max(bare) < _COMBINING:
+            # nothing to compose; letters are one word, as the patterns say
+            bare = bare.lower() if self.folds else bare
+            start = bare if self.drops or bare is piece else " " + bare
             if bare.isalpha():
                 return words[start]
             if bare[:-1].isalpha() and bare[-1] in ",.":
                 return words[start[:-1]] + words[bare[-1]]
-        elif self.tokenizer.normalizer:
+            at = bare.find("\n")
+            if not at and bare is piece and bare[1:].isalpha():
+                return words["\n"] + words[bare[1:]]
+            if at > 0 and not self.drops:
+                return self.pieces[piece[: at - len(bare)]] + self.pieces[bare[at:]]
+        if self.tokenizer.normalizer:
             piece = self.tokenizer.normalizer.normalize_str(piece)
         return b"".join(map(words.__getitem__, self.split(piece)))
 
     def _word(self, word: str) -> bytes:
-        mapped = "".join(map(_LETTERS.__getitem__, word.encode("utf-8", "replace")))
+        bare = word[1:] if word[:1] == " " else word
+        if bare.isascii() and bare.isalnum():  # stand for themselves
+            mapped = _LETTERS[0x20] + bare if bare is not word else word
+        else:
+            mapped = "".join(map(_LETTERS.__getitem__, word.encode("utf-8", "replace")))
         return b"".join([self.ids[t.id] for t in self.model.tokenize(mapped)])
 
     def encode(self, text: str) -> bytes:
@@ -80,7 +94,9 @@ class Encoder:
         if self.folds:  # fewer different pieces; the normalizer folds the rest
             text = text.encode("utf-8", "replace").lower().decode("utf-8")
         if self.drops:
-            return b"".join(map(self.pieces.__getitem__, text.split(" ")))
+            # split() also cuts at four separators that are not white space to the patterns
+            parts = text.split(" ") if any(map(text.__contains__, _SEPARATORS)) else text.split()
+            return b"".join(map(self.pieces.__getitem__, parts))
         if _RUNS.search(text):
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
         first, *rest = text.split(" ")

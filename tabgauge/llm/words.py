@@ -8,7 +8,7 @@ import xxhash
 SPACES = b" \t\n\x0b\x0c\r"
 
 _BLOCK = 4 << 20
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 100_000
 _K1 = np.uint64(0x9E3779B97F4A7C15)
 _K2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -26,6 +26,13 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def small(batches, rows: int = 256):
+    """Record batches of few rows, so that what is made of them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def blocks(data: bytes, separators: bytes = SPACES, size: int = _BLOCK):
     """The data in pieces of about `size` bytes, cut only after a separator."""
     start = 0

@@ -123,3 +123,20 @@ def test_sketch_estimates(spark):
 def test_estimate_in_spark(spark):
     table = spark.createDataFrame([([1, -1] + [0] * 14, [0] * 16)], "l array<long>, r array<long>")
     assert table.select(neardup._different_bits("l", "r", 1024).alias("n")).first().n == 65
+
+
+def test_many_texts_that_share_a_passage_below_the_threshold(spark):
+    """All meet in buckets, none is linked; some pairs of them are."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        own = [f"o{i}x{k}" for k in range(rng.randrange(40, 60))]
+        rows.append((i, " ".join(passage + own)))
+    for i in range(0, 60, 2):
+        rows.append((1000 + i, rows[i][1] + " and a few more words"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = result(docs)
+    assert {i: c for i, (_, c, _) in found.items()} == {
+        i: i - 1000 if i >= 1000 else i for i, _ in rows
+    }
