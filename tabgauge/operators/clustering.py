@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.columns import field_of, percent, present, ref
 from tabgauge.operators.anomaly import mean_filled, numeric_choice
-from tabgauge.operators.quantiles import stacked_quantiles
+from tabgauge.operators.quantiles import quantile_table
 
 
 def cluster_rows(
@@ -68,7 +68,7 @@ def cluster_stats(
 def cluster_medians(clustered: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """Exact median per cluster and column, all searched together.
 
-    No task holds the values of a cluster; a few numbers per cluster reach the driver.
+    No task holds the values of a cluster, and nothing per cluster reaches the driver.
     """
     cells = [
         F.struct(
@@ -77,11 +77,12 @@ def cluster_medians(clustered: DataFrame, label: str, columns: list[str]) -> Dat
         )
         for i, c in enumerate(columns)
     ]
-    found = stacked_quantiles(clustered.select(F.inline(F.array(*cells))), [0.5])
-    label_type = field_of(clustered, label).dataType.simpleString()
-    return clustered.sparkSession.createDataFrame(
-        [(key["group"], columns[key["position"]], median) for key, (median,) in found.items()],
-        f"`{label}` {label_type}, column string, median double",
+    found = quantile_table(clustered.select(F.inline(F.array(*cells))), [0.5])
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select(
+        F.col("key.group").alias(label),
+        F.get(names, F.col("key.position")).alias("column"),
+        F.col("quantiles")[0].alias("median"),
     )
 
 

@@ -1,104 +1,140 @@
-"""Exact quantiles with linear interpolation, one algorithm at any size.
-
-All columns are stacked and searched together. A bounded sketch gives, per column and
-wanted rank, two values around it. The next pass counts exactly how many values lie
-below, on and between all these values, which proves where each rank is: on one of them,
-or strictly between two. Once few values lie between, they are gathered and the rank is
-picked; until then they are sketched again, which cuts them a hundredfold or more each
-time, whatever ties the data has. Infinite values take their place in the order. Only a
-handful of numbers per column reaches the driver in each pass.
+"""Exact quantiles with linear interpolation by radix selection, one algorithm at any size.
+
+All columns are stacked and searched together. A pass maps each value to a part by a
+function that never decreases, and counts values per key and part, with the smallest and
+the largest of each: plain aggregates that tasks combine before anything is shuffled. The
+running counts show which part holds a wanted rank, and only the values of such parts are
+looked at in the next pass. First parts are fractions of an octave, so infinite values and
+both signs take their place in the order; later ones are equal slices between a part's
+smallest and largest value. A rank is found where a part has one value, or at a part's
+ends. Columns of few different values need one pass, most others two.
+
+The chosen parts, a few per key, stay in Spark until the last one is found.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: As many values between two bounds are gathered, 8 bytes each; more are narrowed first.
-GATHERED = 100_000
-_GRID = 1_000
-_ACCURACY = 20_000
-_SLACK = 2
-
-
-@dataclass
-class _Rank:
-    """The search for one order statistic, between two values (None: open)."""
-
-    rank: int
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-    before: int = 0
-    between: int = 0
-    part: int = 0
-
-    def narrow(self, count: int, grid: list[float]) -> None:
-        """Bounds from a sketch of the values that lie between the present ones."""
-        local = self.rank - self.before
-        first = math.floor(local / count * _GRID) - _SLACK
-        last = math.ceil((local + 1) / count * _GRID) + _SLACK
-        if first > 0:
-            self.low = grid[first]
-        if last < _GRID:
-            self.high = grid[last]
-
-
-class _Search:
-    """The open ranks of one column and the bounds that split its values."""
-
-    def __init__(self, count: int, shares: list[float]) -> None:
-        self.count = count
-        places = [share * (count - 1) for share in shares]
-        self.ranks = {r: _Rank(r) for p in places for r in (math.floor(p), math.ceil(p))}
-        self.bounds: list[float] = []
-
-    def open(self) -> list[_Rank]:
-        return [r for r in self.ranks.values() if r.value is None]
-
-    def bound(self) -> None:
-        ends = {x for r in self.open() for x in (r.low, r.high) if x is not None}
-        self.bounds = sorted(ends)
-
-    def locate(self, counts: dict[int, int]) -> None:
-        """Place the open ranks by the exact number of values in each part.
-
-        Part 2 i holds the values strictly between bounds i - 1 and i, part 2 i + 1 those
-        equal to bound i.
-        """
-        for rank in self.open():
-            before = 0
-            for part in range(2 * len(self.bounds) + 1):
-                held = counts.get(part, 0)
-                if before <= rank.rank < before + held:
-                    break
-                before += held
-            i, equal = divmod(part, 2)
-            if equal:
-                rank.value = self.bounds[i]
-            else:
-                rank.low = self.bounds[i - 1] if i else None
-                rank.high = self.bounds[i] if i < len(self.bounds) else None
-                rank.before, rank.between, rank.part = before, held, part
-
-    def quantile(self, share: float) -> float:
-        place = share * (self.count - 1)
-        low = self.ranks[math.floor(place)].value
-        high = self.ranks[math.ceil(place)].value
-        part = place - math.floor(place)
-        if low == high or part == 0:
-            return low
-        if math.isinf(low):  # nothing lies between; the lower one of two infinities
-            return low
-        return high if math.isinf(high) else low + (high - low) * part
+
+from tabgauge.functions.checkpoints import settled
+
+#: Slices of a part in every pass but the first.
+PARTS = 1 << 16
+#: First parts in an octave.
+_FINE = 64
+#: More than the octaves below one that a double can have.
+_OCTAVES = 1_100
+
+
+def _octave_part(value: Column) -> Column:
+    """A whole number that never decreases as the value grows."""
+    size = F.abs(value)
+    most = F.lit(2 * _FINE * _OCTAVES)
+    place = F.when(size == math.inf, most).otherwise(
+        F.floor(F.log2(F.when(size == math.inf, 1.0).otherwise(size)) * _FINE).cast("int") + _FINE * _OCTAVES
+    )
+    return F.when(value == 0, 0).when(value > 0, place).otherwise(-place)
+
+
+def _slice_part(value: Column, parts: int) -> Column:
+    share = (value - F.col("low")) / (F.col("high") - F.col("low"))
+    return F.least(F.floor(share * parts).cast("int"), F.lit(parts - 1))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Values per key, segment (values before it) and part, and the values before each part."""
+    counts = rows.groupBy("key", "segment", "part").agg(
+        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    earlier = (
+        Window.partitionBy("key", "segment").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    start = F.col("segment") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return counts.withColumn("start", start)
+
+
+def _holding(parts: DataFrame) -> DataFrame:
+    """Parts that hold wanted ranks, with these."""
+    end = F.col("start") + F.col("n")
+    held = F.filter("ranks", lambda rank: (rank >= F.col("start")) & (rank < end))
+    return (
+        parts.withColumn("ranks", held)
+        .where(F.size("ranks") > 0)
+        .select("key", "total", "start", "n", "low", "high", "ranks")
+    )
+
+
+def _inner(rank: Column) -> Column:
+    """Whether a rank is at neither end of a part of several values."""
+    last = F.col("start") + F.col("n") - 1
+    return (F.col("low") < F.col("high")) & (rank > F.col("start")) & (rank < last)
+
+
+def _stored(parts: DataFrame) -> tuple[DataFrame, int]:
+    """The parts, stored, and how many of them have ranks still to be found."""
+    seen = Observation()
+    open_ones = F.count_if(F.exists("ranks", _inner)).alias("n")
+    stored = settled(parts.observe(seen, open_ones))
+    return stored, seen.get["n"]
+
+
+def quantile_table(stacked: DataFrame, shares: list[float], parts: int = PARTS) -> DataFrame:
+    """key, quantiles (an array, one per share), from rows (key, value).
+
+    Keys without values are left out. Any number of keys; none needs to fit anywhere.
+    """
+    values = stacked.where(F.col("value").isNotNull())
+    first = values.select("key", F.lit(0).cast("long").alias("segment"), "value", _octave_part(F.col("value")).alias("part"))
+    total = F.sum("n").over(Window.partitionBy("key"))
+    places = [F.lit(float(share)) * (F.col("total") - 1) for share in shares]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+    chosen = _holding(_counted(first).withColumn("total", total).withColumn("ranks", ranks))
+    found, left = _stored(chosen)
+    levels = [found]
+    while left:
+        opened = found.where(F.exists("ranks", _inner))
+        bounds = opened.select(F.col("key").alias("of"), F.col("start").alias("segment"), "low", "high")
+        inside = values.join(
+            bounds, F.col("key").eqNullSafe(F.col("of")) & F.col("value").between(F.col("low"), F.col("high"))
+        )
+        inside = inside.select("key", "segment", "value", _slice_part(F.col("value"), parts).alias("part"))
+        wanted = opened.select(
+            F.col("key").alias("of"), F.col("start").alias("origin"), "total", F.filter("ranks", _inner).alias("ranks")
+        )
+        placed = _counted(inside).join(
+            wanted, F.col("key").eqNullSafe(F.col("of")) & (F.col("segment") == F.col("origin"))
+        )
+        found, left = _stored(_holding(placed))
+        levels.append(found)
+
+    picked = None
+    for level in levels:
+        every = level.select("key", "total", "start", "n", "low", "high", F.explode("ranks").alias("rank"))
+        value = F.when(F.col("rank") == F.col("start"), F.col("low")).otherwise(F.col("high"))
+        own = every.where(~_inner(F.col("rank"))).select("key", "total", F.struct("rank", value.alias("value")).alias("found"))
+        picked = own if picked is None else picked.union(own)
+    known = picked.groupBy("key").agg(
+        F.first("total").alias("total"), F.map_from_entries(F.collect_set("found")).alias("found")
+    )
+    return known.select("key", F.array(*[_between(p) for p in places]).alias("quantiles"))
+
+
+def _between(place: Column) -> Column:
+    """The value at a place between two ranks; between infinities and others nothing lies."""
+    low, high = (F.element_at("found", f(place).cast("long")) for f in (F.floor, F.ceil))
+    infinite = F.lit(math.inf)
+    return (
+        F.when((low == high) | (place == F.floor(place)) | (F.abs(low) == infinite), low)
+        .when(F.abs(high) == infinite, high)
+        .otherwise(low + (high - low) * (place - F.floor(place)))
+    )
 
 
 def exact_quantiles(
-    df: DataFrame, values: dict[str, Column], shares: list[float], gathered: int = GATHERED
+    df: DataFrame, values: dict[str, Column], shares: list[float], parts: int = PARTS
 ) -> dict[str, list[float | None]]:
     """Quantiles of each expression, skipping NULL; None for no values at all."""
     none: list[float | None] = [None] * len(shares)
@@ -109,81 +145,5 @@ def exact_quantiles(
         for i, v in enumerate(values.values())
     ]
     stacked = df.select(F.inline(F.array(*cells)))
-    found = stacked_quantiles(stacked, shares, gathered)
+    found = {r["key"]: list(r["quantiles"]) for r in quantile_table(stacked, shares, parts).collect()}
     return {name: found.get(i, none) for i, name in enumerate(values)}
-
-
-def stacked_quantiles(stacked: DataFrame, shares: list[float], gathered: int = GATHERED) -> dict:
-    """Key to quantiles, from rows (key, value); keys without values are left out.
-
-    The driver holds a few numbers per key.
-    """
-    stacked = stacked.where(F.col("value").isNotNull())
-    grid = [i / _GRID for i in range(_GRID + 1)]
-    sketch = F.percentile_approx("value", grid, _ACCURACY)
-    searches = {}
-    for key, count, found in stacked.groupBy("key").agg(F.count("value"), sketch).collect():
-        searches[key] = _Search(count, shares)
-        for rank in searches[key].open():
-            rank.narrow(count, found)
-    while active := {k: s for k, s in searches.items() if s.open()}:
-        for search in active.values():
-            search.bound()
-        parted = _parted(stacked, active)
-        counts: dict = {}
-        for key, part, count in parted.groupBy("key", "part").count().collect():
-            counts.setdefault(key, {})[part] = count
-        for key, search in active.items():
-            search.locate(counts[key])
-        left = [(k, r) for k, s in active.items() for r in s.open()]
-        _pick(parted, [(k, r) for k, r in left if r.between <= gathered])
-        wide = [(k, r) for k, r in left if r.between > gathered]
-        if wide:
-            inside = _only(parted, {(k, r.part) for k, r in wide})
-            again = inside.groupBy("key", "part").agg(F.count("value"), sketch).collect()
-            sketched = {(key, part): (count, found) for key, part, count, found in again}
-            for key, rank in wide:
-                rank.narrow(*sketched[key, rank.part])
-    return {key: [s.quantile(share) for share in shares] for key, s in searches.items()}
-
-
-def _local(like: DataFrame, rows: list[tuple], rest: str) -> DataFrame:
-    """A small table whose first column is a key of another table."""
-    schema = T.StructType([like.schema["key"], *T.StructType.fromDDL(rest).fields])
-    return F.broadcast(like.sparkSession.createDataFrame(rows, schema))
-
-
-def _parted(stacked: DataFrame, searches: dict) -> DataFrame:
-    """Rows with the part of their column that they lie in."""
-    rows = [(key, search.bounds) for key, search in searches.items()]
-    joined = stacked.join(_local(stacked, rows, "bounds array<double>"), "key")
-    part = F.lit(0)
-    for i in range(max(len(bounds) for _, bounds in rows)):
-        bound = F.get("bounds", F.lit(i))
-        above = (F.col("value") > bound).cast("int") + (F.col("value") >= bound).cast("int")
-        part = part + F.coalesce(above, F.lit(0))
-    return joined.select("key", "value", part.alias("part"))
-
-
-def _only(parted: DataFrame, wanted: set) -> DataFrame:
-    kept = [(key, part) for key, part in wanted]
-    return parted.join(_local(parted, kept, "part int"), ["key", "part"])
-
-
-def _pick(parted: DataFrame, ranks: list) -> None:
-    """Settle ranks whose parts hold few values."""
-    if not ranks:
-        return
-    places: dict = {}
-    for key, rank in ranks:
-        places.setdefault((key, rank.part), []).append(rank)
-    rows = [(k, p, [r.rank - r.before for r in held]) for (k, p), held in places.items()]
-    sorted_values = F.array_sort(F.collect_list("value"))
-    gathered = _only(parted, set(places)).groupBy("key", "part").agg(sorted_values.alias("held"))
-    wanted = _local(parted, rows, "part int, places array<int>")
-    picked = gathered.join(wanted, ["key", "part"]).select(
-        "key", "part", F.transform("places", lambda p: F.get("held", p))
-    )
-    for key, part, found in picked.collect():
-        for rank, value in zip(places[key, part], found):
-            rank.value = value
