@@ -662,6 +662,20 @@ CASE WHEN {value} >= 90 THEN 'Excellent' WHEN {value} >= 80 THEN 'Good' WHEN {va
 CASE WHEN {value} >= 90 THEN 'excellent' WHEN {value} >= 75 THEN 'good' WHEN {value} >= 60 THEN 'moderate' ELSE 'poor' END AS level"""
 
 
+def near_rows(tokens: list[str], percent: int) -> str:
+    """CTEs: classes (k, rep, n) of rows with equal token sets, and links e (x, y) of them."""
+    return f"""WITH tokens AS (SELECT DISTINCT k, t FROM ({' UNION ALL '.join(tokens)})),
+        lists AS (SELECT k, count(*) AS n, string_agg(t, chr(0) ORDER BY t) AS held FROM tokens GROUP BY k),
+        classes AS (SELECT k, n, min(k) OVER (PARTITION BY held) AS rep FROM lists),
+        reps AS (SELECT rep, n FROM classes WHERE k = rep),
+        common AS (SELECT a.k AS x, b.k AS y, count(*) AS c
+            FROM tokens a JOIN tokens b ON a.t = b.t AND a.k <> b.k
+            WHERE a.k IN (SELECT rep FROM reps) AND b.k IN (SELECT rep FROM reps) GROUP BY ALL),
+        e AS (SELECT x, y, c / (p.n + r.n - c) AS similarity FROM common
+            JOIN reps p ON p.rep = x JOIN reps r ON r.rep = y WHERE 100 * c >= {percent} * (p.n + r.n - c))
+        """
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     lists = " UNION ALL ".join(
@@ -825,6 +839,20 @@ def oracle_sql() -> dict[str, str]:
     q["cluster_samples"] = rounded("SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 10", "value")
 
     q["anomaly_counts"] = "SELECT count(*) AS rows, (floor(0.05 * (count(*) - 1)) + 1)::BIGINT AS anomalies FROM lineitem"
+    q["anomaly_paths"] = "SELECT count(*) AS rows, 0 AS different FROM (SELECT DISTINCT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    by_text = [f"SELECT doc_id AS k, '{c}:' || unnest({words.format(c)}) AS t FROM documents" for c in ("text", "lang", "source")]
+    contacts = [f"SELECT c_custkey AS k, '{c}:' || unnest({words.format(c)}) AS t FROM contacts" for c in ("c_mktsegment", "email", "phone", "zip_code")]
+    contacts.append("SELECT c_custkey, 'n:' || c_nationkey FROM contacts WHERE c_nationkey IS NOT NULL")
+    contacts += [f"SELECT c_custkey, 'b{h}:' || floor(c_acctbal / 50 + {h}) FROM contacts WHERE c_acctbal IS NOT NULL" for h in (0, 0.5)]
+    q["near_row_links"] = near_rows(by_text, 70) + "SELECT x AS left_key, y AS right_key, round(similarity, 5) AS similarity FROM e WHERE x < y"
+    q["near_contacts"] = sources("contacts", more=near_rows(contacts, 60).replace("WITH", "", 1)) + "SELECT x AS left_key, y AS right_key, round(similarity, 5) AS similarity FROM e WHERE x < y"
+    q["near_row_groups"] = near_rows(by_text, 70).replace("WITH", "WITH RECURSIVE", 1).rstrip() + """,
+        reach AS (SELECT rep AS x, rep AS y FROM reps UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+        roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+        degrees AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+        SELECT doc_id, coalesce(root, doc_id) AS group_key, coalesce(c.n, 0) AS tokens, coalesce(links, 0) AS links
+        FROM documents LEFT JOIN classes c ON c.k = doc_id LEFT JOIN roots ON roots.x = c.rep LEFT JOIN degrees d ON d.x = c.rep"""
     q["load_folder"] = q["dataset_info"]
     q["csv_round_trip"] = rounded("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders", "o_totalprice")
     q["narrative"] = sources(*ASSESSED, more=ranked) + f"""SELECT 1::INT AS line, format('Overall quality is {{:.1f}} of 100: {{}}.', score, three_bands) AS text

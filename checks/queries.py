@@ -15,7 +15,7 @@ from tabgauge.functions.checkpoints import scratch_path, use_checkpoint_dir
 from tabgauge.functions import scoring
 from tabgauge.functions.together import together
 from tabgauge.operators import (
-    accuracy, anomaly, clustering, completeness, consistency, distribution, profile,
+    accuracy, anomaly, clustering, completeness, consistency, distribution, near_rows, profile,
     relations, remediate, schema, timeliness, trend, uniqueness, validity,
 )
 from tabgauge.plans import history, insights, report, summary
@@ -196,7 +196,27 @@ _CLUSTER = _column_names("user_id value")
 
 
 def _scored(df: DataFrame) -> DataFrame:
-    return anomaly.detect_anomalies(df, _ANOMALY, key=["l_orderkey", "l_linenumber"])
+    return anomaly.detect_anomalies(df, _ANOMALY)
+
+
+def _forest_paths(df: DataFrame) -> DataFrame:
+    """Different rows, and those whose score is not what joins with the forest give."""
+    forest = anomaly.Forest(trees=10)
+    count = df.count()
+    features = anomaly.mean_filled(df, _ANOMALY)
+    nodes = anomaly.fit_forest(df, features, forest, count)
+    sample = min(forest.sample, count)
+    vector = F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features)])
+    scored = df.withColumn("score", anomaly._scorer(df, nodes, sample)(vector))
+    scored = scored.groupBy(*_ANOMALY).agg(F.min("score").alias("least"), F.max("score").alias("most"))
+    paths = anomaly.joined_paths(df, features, nodes, _ANOMALY, sample)
+    expected = -F.pow(F.lit(2.0), -F.col("path_length") / F.lit(float(anomaly.expected_path(sample))))
+    same = (F.abs(F.col("least") - expected) < 1e-9) & (F.abs(F.col("most") - expected) < 1e-9)
+    return scored.join(paths, _ANOMALY).agg(F.count("*").alias("rows"), F.count_if(~same).alias("different"))
+
+
+_NEAR_TEXT = ["text", "lang", "source"]
+_NEAR_CONTACT = _column_names("c_nationkey c_acctbal c_mktsegment email phone zip_code")
 
 
 def _insight_rows(found: DataFrame) -> DataFrame:
@@ -501,6 +521,16 @@ def queries() -> dict[str, Query]:
         "lineitem", lambda df: anomaly.anomaly_summary(_scored(df)).select("rows", "anomalies")
     )
 
+    q["anomaly_paths"] = on("lineitem", _forest_paths)
+
+    # Near-duplicate rows
+    q["near_row_links"] = on("documents", lambda df: near_rows.near_row_links(df, "doc_id", _NEAR_TEXT, 70))
+    q["near_row_groups"] = on("documents", lambda df: near_rows.near_row_groups(df, "doc_id", _NEAR_TEXT, 70))
+    q["near_contacts"] = on(
+        "contacts",
+        lambda df: near_rows.near_row_links(df, "c_custkey", _NEAR_CONTACT, 60, {"c_acctbal": 50}),
+    )
+
     # Streaming, and the same measure over a table, which gives all windows
     q["stream_windows"] = _stream_windows
     q["table_windows"] = on("events", _table_windows)

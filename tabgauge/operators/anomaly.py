@@ -1,10 +1,13 @@
 """Anomaly detection with an isolation forest.
 
 Each tree is grown in its own task from a small sample; the sampling is part of the
-method. A hash of seed, tree and row decides which rows a tree sees, so the forest does
-not depend on how the table is split or on tasks that run again. The forest (at most trees x 2 x sample nodes, whatever the
-table's size) is then sent to all tasks, which score their rows batch by batch.
-The cut between normal and anomalous rows is an exact quantile of all scores.
+method. Equal rows are counted first, and a hash of seed and row decides how many of a
+row's copies are drawn, and by which trees: as if each copy were drawn on its own, so a row
+that fills a third of the table has a third of each sample, and the forest does not depend
+on how the table is split or on tasks that run again. About 2 x trees x sample copies are
+drawn in all, whatever the table's size. The forest (at most trees x 2 x sample nodes) is
+then sent to all tasks, which score their rows batch by batch. The cut between normal and
+anomalous rows is an exact quantile of all scores.
 """
 
 from __future__ import annotations
@@ -85,31 +88,74 @@ def _grow(rows: np.ndarray, depth_limit: int, random: np.random.Generator) -> li
     return nodes
 
 
-def fit_forest(
-    df: DataFrame, features: list[Column], forest: Forest, count: int, key: list[str] | None = None
-) -> pd.DataFrame:
-    """The nodes of all trees, grown in parallel; ``count`` is the number of rows.
+def copies_drawn(copies: int, trees: int, rate: float, chance: float, random: np.random.Generator) -> np.ndarray:
+    """How many copies of a row each tree draws.
 
-    A row is drawn for a tree where the hash of the tree and the row's ``key`` (all
-    columns unless given) is below the rate.
+    Every copy is drawn by every tree with probability `rate`. The number drawn in all is
+    where `chance`, uniform between 0 and 1, falls in its distribution; it is 0 up to
+    (1 - rate) ** (copies * trees).
     """
+    every = copies * trees
+    if rate >= 1:
+        return np.full(trees, copies)
+    if every * rate > 50:
+        drawn = int(random.binomial(every, rate))
+    else:
+        drawn, here = 0, (1 - rate) ** every
+        below = here
+        while below < chance and drawn < every and here > 0:
+            here *= (every - drawn) / (drawn + 1) * rate / (1 - rate)
+            below += here
+            drawn += 1
+    # one copy's places with the trees follow each other; a place is taken once
+    if every <= 1_000_000:
+        places = random.choice(every, drawn, replace=False)
+    else:
+        places = random.integers(0, every, drawn)
+    return np.bincount(places // copies, minlength=trees)
+
+
+def draw(df: DataFrame, features: list[Column], forest: Forest, count: int) -> DataFrame:
+    """tree, f0, f1 ..., copies: what each tree sees of a table of `count` rows."""
+    names = [f"f{i}" for i in range(len(features))]
+    # minus zero is zero, so that it is in one group and hashed as one
+    table = df.select(*[(f + F.lit(0.0)).alias(n) for f, n in zip(features, names)])
+    # Twice as many copies as needed are drawn, so that no tree runs short.
+    rate = min(1.0, 2.0 * forest.sample / max(count, 1))
+    place = F.xxhash64(F.lit(forest.seed), *names)
+    chance = F.xxhash64(F.lit(forest.seed + 1), *names).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    none = F.pow(F.lit(1.0 - rate), F.col("copies") * forest.trees)
+    grouped = table.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
+    some = grouped.withColumns({"place": place, "chance": chance}).where(F.col("chance") >= none)
+    trees = forest.trees
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            taken = [
+                copies_drawn(int(n), trees, rate, float(u), np.random.default_rng([abs(int(p)), int(p < 0)]))
+                for n, p, u in zip(batch["copies"], batch["place"], batch["chance"])
+            ]
+            row, tree = np.nonzero(np.array(taken).reshape(-1, trees))
+            found = batch[names].iloc[row].reset_index(drop=True)
+            found.insert(0, "tree", tree)
+            found["copies"] = [int(taken[r][t]) for r, t in zip(row, tree)]
+            yield found
+
+    fields = ", ".join(f"{n} double" for n in names)
+    return some.mapInPandas(drawn, f"tree int, {fields}, copies long")
+
+
+def fit_forest(df: DataFrame, features: list[Column], forest: Forest, count: int) -> pd.DataFrame:
+    """The nodes of all trees, grown in parallel; ``count`` is the number of rows."""
     names = [f"f{i}" for i in range(len(features))]
-    place = F.xxhash64(*[ref(c) for c in key or df.columns])
-    table = df.select(*[f.alias(n) for f, n in zip(features, names)], place.alias("place"))
     sample = min(forest.sample, count)
-    # Twice as many rows as needed are drawn, so that no tree runs short.
-    rate = min(1.0, 2.0 * sample / max(count, 1))
-    bound = F.lit(int(rate * (2**63 - 1)))
-    every_tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
-    drawn = F.xxhash64(F.lit(forest.seed), "tree", "place").bitwiseAND(2**63 - 1) <= bound
-    assigned = table.select("*", every_tree).where(drawn).drop("place")
     depth_limit = math.ceil(math.log2(max(sample, 2)))
     seed = forest.seed
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         random = np.random.default_rng([seed, tree])
-        values = rows[names].to_numpy(dtype=float)
+        values = np.repeat(rows[names].to_numpy(dtype=float), rows["copies"].to_numpy(), axis=0)
         values = values[np.lexsort(values.T)]
         if len(values) > sample:
             values = values[random.choice(len(values), sample, replace=False)]
@@ -120,7 +166,26 @@ def fit_forest(
         grown.insert(0, "tree", tree)
         return grown
 
-    return assigned.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
+    return draw(df, features, forest, count).groupBy("tree").applyInPandas(grow, _NODES).toPandas()
+
+
+def joined_paths(df: DataFrame, features: list[Column], nodes: pd.DataFrame, key: list[str], sample: int) -> DataFrame:
+    """key columns and path_length, the mean over all trees, by joins with the forest as a table.
+
+    What the vectorised scores rest on, said with joins alone.
+    """
+    forest = F.broadcast(df.sparkSession.createDataFrame(nodes, _NODES))
+    values = F.array(*features).alias("values")
+    rows = df.select(*[ref(c) for c in key], values, F.explode(F.sequence(F.lit(0), F.lit(int(nodes["tree"].max())))).alias("tree"))
+    rows = rows.withColumn("node", F.lit(0))
+    for _ in range(math.ceil(math.log2(max(sample, 2)))):
+        goes_left = F.get("values", F.greatest(F.col("feature"), F.lit(0))) <= F.col("threshold")
+        following = F.when(F.col("feature") < 0, F.col("node")).when(goes_left, F.col("left_node"))
+        rows = rows.join(forest, ["tree", "node"]).select(
+            *[ref(c) for c in key], "values", "tree", following.otherwise(F.col("right_node")).alias("node")
+        )
+    ended = rows.join(forest.select("tree", "node", "path_length"), ["tree", "node"])
+    return ended.groupBy(*[ref(c).alias(c) for c in key]).agg(F.avg("path_length").alias("path_length"))
 
 
 def _scorer(df: DataFrame, nodes: pd.DataFrame, sample: int):
@@ -162,17 +227,16 @@ def detect_anomalies(
     df: DataFrame,
     columns: list[str] | None = None,
     forest: Forest = Forest(),
-    key: list[str] | None = None,
 ) -> DataFrame:
     """The table with ``anomaly_score`` (below 0: anomalous) and ``is_anomaly``.
 
-    ``key`` names columns that identify a row, all columns unless given. Rows are scored
-    once, into shared storage; the cut and the result are both taken from there.
+    Rows are scored once, into shared storage; the cut and the result are both taken from
+    there. Equal rows have equal scores.
     """
     chosen = numeric_choice(df, columns)
     rows = df.count()
     features = mean_filled(df, chosen)
-    nodes = fit_forest(df, features, forest, rows, key)
+    nodes = fit_forest(df, features, forest, rows)
     if nodes.empty:
         return df.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn(
             "is_anomaly", F.lit(False)

@@ -14,7 +14,7 @@ from tabgauge.functions import scoring
 from tabgauge.functions.dates import parse_date
 from tabgauge.functions.text import is_lower, is_title, is_upper
 from tabgauge.operators import (
-    accuracy, anomaly, clustering, completeness, consistency, distribution, profile,
+    accuracy, anomaly, clustering, completeness, consistency, distribution, near_rows, profile,
     relations, remediate, schema, timeliness, trend, uniqueness, validity,
 )
 from tabgauge.operators.quantiles import exact_quantiles
@@ -188,7 +188,7 @@ def test_anomalies_do_not_depend_on_the_layout(spark):
     df = spark.createDataFrame(rows)
 
     def flagged(table):
-        found = anomaly.detect_anomalies(table, ["a", "b"], key=["k"])
+        found = anomaly.detect_anomalies(table, ["a", "b"])
         return {r["k"] for r in found.where("is_anomaly").collect()}
 
     first = flagged(df)
@@ -354,6 +354,89 @@ def test_duplicate_keys_keep_all(spark):
 # Learning ---------------------------------------------------------------------------
 
 
+def test_repeated_rows_hide_no_outlier(spark):
+    """420 values of some 143 copies each and one row far off, in any layout."""
+    rows = spark.range(60_000).select((F.col("id") % 60).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    far = spark.createDataFrame([(10_000.0, -10_000.0)], "a double, b double")
+    table = rows.union(far)
+    scored = anomaly.detect_anomalies(table, ["a", "b"])
+    assert scored.where("a = 10000").first()["is_anomaly"]
+    # it scores like the extremes of the others, well below their middle
+    scores_of = {r["a"]: r["anomaly_score"] for r in scored.where("b in (0, -10000) and a in (10000, 28)").collect()}
+    assert scores_of[10_000.0] < scores_of[28.0] - 0.05
+    again = anomaly.detect_anomalies(table.repartition(9, "b"), ["a", "b"])
+
+    def scores(found):
+        return {(r["a"], r["b"]): r["anomaly_score"] for r in found.distinct().collect()}
+
+    assert scores(scored) == scores(again)
+
+
+def test_copies_are_drawn_as_if_each_by_itself(spark):
+    """A row that is a third of the table has a third of every tree's sample."""
+    third = spark.range(10_000).select(F.lit(1.0).alias("a"), F.lit(2.0).alias("b"))
+    others = spark.range(20_000).select((F.col("id") * 1.0).alias("a"), F.lit(0.0).alias("b"))
+    drawn = anomaly.draw(third.union(others), [F.col("a"), F.col("b")], anomaly.Forest(), 30_000).toPandas()
+    assert 45_000 < drawn["copies"].sum() < 57_000 and len(drawn) < 40_000
+    hot = drawn[drawn["f1"] == 2.0].groupby("tree")["copies"].sum()
+    assert len(hot) == 100 and 140 < hot.mean() < 200 and hot.max() < 260
+    assert drawn.groupby("tree")["copies"].sum().min() > 300
+    few = anomaly.draw(third.limit(30), [F.col("a"), F.col("b")], anomaly.Forest(), 30).toPandas()
+    assert few["copies"].tolist() == [30] * 100
+
+
+def brute_near_rows(rows, percent):
+    import itertools
+    import re
+
+    sets = {k: frozenset((0, w) for w in re.findall(r"\w+", t.lower())) if t else frozenset() for k, t in rows}
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(sets[k], k)
+    found = set()
+    for a, b in itertools.combinations(sorted(k for s, k in first.items() if s), 2):
+        common = len(sets[a] & sets[b])
+        if (100 + percent) * common >= percent * (len(sets[a]) + len(sets[b])):
+            found.add((a, b, round(common / len(sets[a] | sets[b]), 9)))
+    return found
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_near_rows_as_all_pairs(spark, percent):
+    random = np.random.default_rng(percent)
+    rows = []
+    for i in range(300):
+        base = [f"w{random.integers(0, 60)}" for _ in range(random.integers(0, 12))] if i % 3 == 0 or not rows[-1][1] else rows[-1][1].split()
+        words = list(base)
+        if words and i % 3:
+            words[random.integers(0, len(words))] = f"v{random.integers(0, 5)}"
+        rows.append((i, " ".join(words) or None))
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    found = {(r[0], r[1], round(r[2], 9)) for r in near_rows.near_row_links(df, "k", ["t"], percent).collect()}
+    assert found == brute_near_rows(rows, percent)
+    groups = {r["k"]: (r["group_key"], r["tokens"]) for r in near_rows.near_row_groups(df, "k", ["t"], percent).collect()}
+    assert len(groups) == 300 and all(groups[a][0] == groups[b][0] for a, b, _ in found)
+    assert all(groups[k] == (k, 0) for k, t in rows if t is None)
+
+
+def test_near_rows_by_bands_and_without_rows(spark):
+    rows = [(1, 10.0, date(2024, 1, 1), True), (2, 11.4, date(2024, 1, 2), True), (3, 90.0, date(2020, 1, 1), True), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "k long, x double, d date, b boolean")
+    found = near_rows.near_row_links(df, "k", percent=40, bands={"x": 2.0, "d": 10}).collect()
+    assert [(r[0], r[1]) for r in found] == [(1, 2)]
+    assert near_rows.near_row_links(df, "k", percent=40).collect() == []
+    assert near_rows.near_row_groups(df.limit(0), "k").collect() == []
+
+
+def test_frequent_tokens_bring_no_rows_together(spark):
+    """Rows that share two of four words never meet."""
+    rows = [(i, f"customer germany a{i} b{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    classes = near_rows._classes(near_rows._sets(df, "k", ["t"], None))
+    assert near_rows._posted(classes, 80).count() == 0
+    assert near_rows._posted(classes, 50).where("175 * left >= 2 * 75 * n").count() == 0
+
+
 def test_planted_outliers_score_lowest(spark):
     random = np.random.default_rng(2)
     normal = random.normal(0, 1, (2000, 2))
