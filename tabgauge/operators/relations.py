@@ -6,17 +6,15 @@ A combination is a list of at least two existing column names.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.columns import field_of, grouping_key, in_batches, missing, names_of_kind, percent, present
+from tabgauge.functions.columns import field_of, grouping_key, missing, names_of_kind, percent, present
 from tabgauge.functions.scoring import correlation_strength, dependency_strength
 from tabgauge.operators.completeness import complete_rows
+from tabgauge.operators.pair_blocks import correlations, joint_counts
 
-PAIRS_PER_PASS = 200
 #: More different values than this make a table of shares unreadable.
 MAX_CATEGORIES = 20
 
@@ -34,34 +32,45 @@ def combination_completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     return complete_rows(combination(df, columns))
 
 
-def co_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per pair: missing together, missing each, and both conditional shares."""
-    table = combination(df, columns)
-    pairs = list(combinations(table.columns, 2))
+def _pairs_of(df: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
+    """column_1, column_2 and the columns of found (first, second, …), also where it has no row.
 
-    def lacking(name: str) -> Column:
-        return missing(field_of(table, name))
-
-    counted = table.agg(
-        *[F.count_if(lacking(c)).alias(f"m{i}") for i, c in enumerate(table.columns)],
-        *[F.count_if(lacking(a) & lacking(b)).alias(f"b{k}") for k, (a, b) in enumerate(pairs)],
+    Pairs are made from positions in Spark: the plan does not grow with their number.
+    """
+    position, width = F.col("id"), len(names)
+    first, second = F.floor(position / width).cast("int"), (position % width).cast("int")
+    pairs = df.sparkSession.range(width**2).select(first.alias("first"), second.alias("second"))
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    # one row per pair of columns: the schema bounds it
+    return (
+        pairs.where("first <= second")
+        .join(F.broadcast(found), ["first", "second"], "left")
+        .withColumns({"column_1": F.get(listed, F.col("first")), "column_2": F.get(listed, F.col("second"))})
     )
-    position = {c: i for i, c in enumerate(table.columns)}
-    rows = []
-    for k, (a, b) in enumerate(pairs):
-        both, first, second = F.col(f"b{k}"), F.col(f"m{position[a]}"), F.col(f"m{position[b]}")
-        rows.append(
-            F.struct(
-                F.lit(a).alias("column_1"),
-                F.lit(b).alias("column_2"),
-                both.alias("both_missing"),
-                first.alias("missing_1"),
-                second.alias("missing_2"),
-                percent(both, first, 0.0).alias("second_missing_given_first"),
-                percent(both, second, 0.0).alias("first_missing_given_second"),
-            )
+
+
+def co_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per pair: missing together, missing each, and both conditional shares.
+
+    One pass over the table for any number of columns.
+    """
+    table = combination(df, columns)
+    names = table.columns
+    counted = joint_counts(table, [missing(field_of(table, c)) for c in names])
+    both, first, second = (F.coalesce(c, F.lit(0).cast("long")) for c in ("both", "with_first", "with_second"))
+    return (
+        _pairs_of(table, names, counted)
+        .where("first < second")
+        .select(
+            "column_1",
+            "column_2",
+            both.alias("both_missing"),
+            first.alias("missing_1"),
+            second.alias("missing_2"),
+            percent(both, first, 0.0).alias("second_missing_given_first"),
+            percent(both, second, 0.0).alias("first_missing_given_second"),
         )
-    return counted.select(F.inline(F.array(*rows)))
+    )
 
 
 def functional_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,64 +126,36 @@ def functional_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Correlation of each pair over the rows where both have a value.
-
-    The pairs of a row are stacked and aggregated by pair in one pass, so the
-    plan has three aggregates however many pairs there are, and each task sends
-    one row per pair. NULL if either column is constant.
-    """
-    names = sorted({n for pair in pairs for n in pair})
-    values = {n: present(field_of(df, n)).cast("double") for n in names}
-    table = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
-    position = {n: f"v{i}" for i, n in enumerate(names)}
-    labels = pa.table(
-        {
-            "pair": pa.array(range(len(pairs)), pa.int32()),
-            "column_1": pa.array([a for a, _ in pairs], pa.string()),
-            "column_2": pa.array([b for _, b in pairs], pa.string()),
-        }
-    )
-    parts = []
-    for batch in in_batches(list(enumerate(pairs)), PAIRS_PER_PASS):
-        cells = [
-            F.struct(
-                F.lit(k).alias("pair"), F.col(position[a]).alias("a"), F.col(position[b]).alias("b")
-            )
-            for k, (a, b) in batch
-        ]
-        both = table.select(F.inline(F.array(*cells))).where("a IS NOT NULL AND b IS NOT NULL")
-        scale = F.nullif(F.stddev_samp("a") * F.stddev_samp("b"), F.lit(0.0))
-        parts.append(both.groupBy("pair").agg((F.covar_samp("a", "b") / scale).alias("pearson")))
-    found = reduce(DataFrame.unionByName, parts)
-    return (
-        df.sparkSession.createDataFrame(labels)
-        .join(F.broadcast(found), "pair", "left")
-        .select("column_1", "column_2", "pearson")
-    )
-
-
 def pair_correlation(df: DataFrame, first: str, second: str) -> DataFrame:
     """Correlation of two numeric columns and its strength."""
     table = combination(df, [first, second])
-    return _pairwise(table, [(first, second)]).withColumn(
-        "strength", correlation_strength(F.col("pearson"))
+    values = [present(field_of(table, n)).cast("double").alias(v) for n, v in ((first, "a"), (second, "b"))]
+    scale = F.nullif(F.stddev_samp("a") * F.stddev_samp("b"), F.lit(0.0))
+    both = table.select(*values).where("a IS NOT NULL AND b IS NOT NULL")
+    return both.agg((F.covar_samp("a", "b") / scale).alias("pearson")).select(
+        F.lit(first).alias("column_1"),
+        F.lit(second).alias("column_2"),
+        "pearson",
+        correlation_strength(F.col("pearson")).alias("strength"),
     )
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Correlation of every two numeric columns, in both orders, and 1 with itself."""
+    """Correlation of every two numeric columns, in both orders, and 1 with itself.
+
+    Over the rows where both have a value; NULL if either is constant there. One pass over
+    the table for any number of columns; without numeric columns there are no rows.
+    """
     names = columns or names_of_kind(df, "Numeric")
-    found = _pairwise(df, [*combinations(names, 2), *[(n, n) for n in names]])
-    both_orders = F.when(
-        F.col("column_1") == F.col("column_2"), F.array(F.struct("column_1", "column_2"))
-    ).otherwise(
-        F.array(
-            F.struct("column_1", "column_2"),
-            F.struct(F.col("column_2").alias("column_1"), F.col("column_1").alias("column_2")),
-        )
+    values = df.select(
+        *[present(field_of(df, n)).cast("double").alias(f"v{i}") for i, n in enumerate(names)]
+    )
+    found = _pairs_of(df, names, correlations(values))
+    turned = F.struct(F.col("column_2").alias("column_1"), F.col("column_1").alias("column_2"))
+    orders = F.when(F.col("first") == F.col("second"), F.array(F.struct("column_1", "column_2"))).otherwise(
+        F.array(F.struct("column_1", "column_2"), turned)
     )
-    return found.select(F.explode(both_orders).alias("pair"), "pearson").select("pair.*", "pearson")
+    return found.select(F.explode(orders).alias("pair"), "pearson").select("pair.*", "pearson")
 
 
 def _value_pairs(df: DataFrame, first: str, second: str) -> DataFrame:

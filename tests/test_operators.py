@@ -330,6 +330,59 @@ def test_correlation_uses_common_rows(spark):
     assert len(found) == 9
 
 
+def test_correlation_over_many_columns(spark):
+    """300 columns in five blocks: one scan, one plan size, missing values, far and constant columns."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(400, 300)) + rng.normal(size=(400, 1))
+    values[:, 7] += 1e9
+    values[:, 8] = 5.1
+    values[:, 9] = np.r_[np.full(200, 1 / 3), np.full(200, 0.1)]
+    values[rng.random(values.shape) < 0.2] = np.nan
+    values[200:, 10] = np.nan  # over its rows column 9 is constant
+    pdf = pd.DataFrame(values, columns=[f"c{i}" for i in range(300)])
+    df = spark.createDataFrame(pdf).repartition(6)
+    table = relations.correlation_matrix(df)
+    narrow = relations.correlation_matrix(df.select("c0", "c1"))
+
+    def steps(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        return [plan.count(part) for part in ("MapInArrow", "Exchange", "Join", "Scan ExistingRDD")]
+
+    assert steps(table) == steps(narrow)
+    found = {(int(r[0][1:]), int(r[1][1:])): r[2] for r in table.collect()}
+    assert len(found) == 90_000 and all(found[b, a] == v for (a, b), v in found.items())
+    got = np.array([[found[a, b] if found[a, b] is not None else np.nan for b in range(300)] for a in range(300)])
+    wanted = pdf.corr(min_periods=2).to_numpy()
+    assert np.isnan(got[9, 10]) and np.isnan(got[8]).all()
+    wanted[9, 10] = wanted[10, 9] = np.nan
+    wanted[8] = wanted[:, 8] = np.nan
+    assert np.allclose(got, wanted, atol=1e-6, equal_nan=True)
+
+
+def test_correlation_edges(spark):
+    def found(values, schema):
+        return {(r[0], r[1]): r[2] for r in relations.correlation_matrix(spark.createDataFrame(values, schema)).collect()}
+
+    assert found([], "a double, b int") == dict.fromkeys([("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")])
+    assert found([("x",)], "a string") == {}
+    assert found([(1.0, 2)], "a double, b int")["a", "a"] is None
+    endless = found([(1.0, 2.0, 1.0), (float("inf"), 3.0, 2.0), (2.0, 5.0, 4.0)], "a double, b double, c double")
+    assert np.isnan(endless["a", "b"]) and endless["b", "c"] == pytest.approx(np.corrcoef([2, 3, 5], [1, 2, 4])[0, 1])
+
+
+def test_missing_together_over_many_columns(spark):
+    rng = np.random.default_rng(4)
+    gone = rng.random((300, 150)) < rng.random(150)
+    pdf = pd.DataFrame(np.where(gone, np.nan, 1.0), columns=[f"c{i}" for i in range(150)])
+    found = relations.co_missing(spark.createDataFrame(pdf).repartition(5), list(pdf.columns)).collect()
+    assert len(found) == 150 * 149 // 2
+    for r in found:
+        a, b = gone[:, int(r["column_1"][1:])], gone[:, int(r["column_2"][1:])]
+        assert (r["both_missing"], r["missing_1"], r["missing_2"]) == ((a & b).sum(), a.sum(), b.sum())
+    empty = relations.co_missing(spark.createDataFrame([], "a int, b string"), ["a", "b"]).collect()
+    assert [tuple(r)[2:] for r in empty] == [(0, 0, 0, 0.0, 0.0)]
+
+
 def test_too_many_categories(spark):
     df = spark.range(30).select(F.col("id").alias("a"), (F.col("id") % 2).alias("b"))
     assert rows(relations.contingency(df, "a", "b")) == []
