@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 
 from tabgauge.llm.license_texts import TEMPLATES
-from tabgauge.llm.secrets import _UNIT, ALLOWED, BASE, CLASSES, _gains
+from tabgauge.llm.secrets import _UNIT, ALLOWED, BASE, CLASSES, WORDS_PATH, CharacterClass, _gains
 
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -55,6 +56,29 @@ def _places(name: str, pattern: str, group: int) -> str:
   FROM {name}_m, unnest(range(1, len(whole) + 1)) u(i))"""
 
 
+def _apart(name: str, k: int, entry: str, of: CharacterClass) -> str:
+    """A CTE with what the matches of an allow-list entry leave of the candidates.
+
+    Two entries are said in another way, without looking around and referring back: words
+    are put in angle brackets, and every character is named.
+    """
+    value, pattern = "v", f"(?i){entry}"
+    if entry == WORDS_PATH:
+        value, pattern = r"regexp_replace(v, '([A-Za-z0-9]+)', '<\1>', 'g')", "<[a-z]{3,}>(?:[/_-]<[a-z]{3,}>){2,}"
+    elif "\\1" in entry:
+        pattern = "(?i)" + "|".join(f"{re.escape(c)}{{8,}}" for c in of.alphabet)
+    length = "length(translate(array_to_string({}, ''), '<>', ''))"
+    return f"""
+{name}_c{k + 1} AS (
+  SELECT r, s + {length.format("pieces[1 : i - 1]")} + {length.format("whole[1 : i - 1]")} AS s,
+         translate(pieces[i], '<>', '') AS v
+  FROM (
+    SELECT r, s, string_split_regex({value}, {_quoted(pattern)}) AS pieces,
+           regexp_extract_all({value}, {_quoted(pattern)}, 0) AS whole FROM {name}_c{k}),
+    unnest(range(1, len(pieces) + 1)) u(i)
+  WHERE length(translate(pieces[i], '<>', '')) >= {of.window})"""
+
+
 def _secrets() -> str:
     ctes, base, more = [], [], []
     for rank, (kind, pattern, group, least) in enumerate(BASE):
@@ -66,16 +90,13 @@ def _secrets() -> str:
         name, w = of.kind, of.window
         value = "lower(v)" if of.kind == "entropy_hex" else "v"
         needs = " AND ".join(f"regexp_matches(v, {_quoted(n)})" for n in of.needs)
-        # the one entry with a reference back is said with functions here
-        known = [f"regexp_matches(v, {_quoted('(?i)' + a)})" for a in ALLOWED if "\\1" not in a]
-        known.append(
-            "len(list_filter(string_split(lower(v), ''), lambda c: contains(lower(v), repeat(c, 8)))) > 0"
-        )
         sums = list(itertools.accumulate(_gains(w)[1:]))
         most = round((math.log2(w) - of.bits) * w * _UNIT)
         ctes.append(_places(name, of.pattern, 0))
+        ctes.append(f"{name}_c0 AS (SELECT r, s, v FROM {name}_p WHERE {needs})")
+        ctes += [_apart(name, k, entry, of) for k, entry in enumerate(ALLOWED)]
         ctes.append(f"""
-{name}_c AS (SELECT r, s, {value} AS v FROM {name}_p WHERE {needs} AND NOT ({' OR '.join(known)})),
+{name}_c AS (SELECT r, s, {value} AS v FROM {name}_c{len(ALLOWED)}),
 {name}_n AS (
   SELECT r, s, i, c, count(*) AS n FROM (
     SELECT r, s, i, unnest(string_split(substr(v, i + 1, {w}), '')) AS c

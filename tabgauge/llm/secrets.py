@@ -4,9 +4,9 @@ Base spans are leftmost non-overlapping matches per kind (fixed patterns below).
 method adds spans: candidate strings are runs of one character class; a window slides
 over each candidate, the counts of its characters are kept up to date as one enters
 and one leaves, and with them the Shannon entropy. Stretches whose windows reach the
-class's entropy become spans, unless a base span covers them already. An allow-list
-entry suppresses the whole candidate it stands in for the spans that are reported (as
-their SQL does); redaction takes only the match of the entry out and scores the rest.
+class's entropy become spans, unless a base span covers them already. Allow-list entries
+take their matches out of a candidate, one entry after the other; what stands before,
+between and after is scored, so that known words do not hide a key beside them.
 
 All is DataFrame functions on one row at a time: nothing is shuffled.
 """
@@ -60,17 +60,15 @@ CLASSES = (
     ),
 )
 
-#: What candidates contain that are known not to be secrets (searched in either case).
+#: Three or more whole words in lower case, as in the name of a file.
+WORDS_PATH = r"(?-i:(?<![A-Za-z0-9])[a-z]{3,}(?:[/_-][a-z]{3,}){2,}(?![A-Za-z0-9]))"
+#: Parts of candidates that are known not to be secrets (searched in either case).
 ALLOWED = (
     r"example", r"placeholder", r"changeme", r"your[_-]?(api|key|token|secret)", r"x{6,}",
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"0123456789",
-    r"abcdefghij", r"[a-z]{3,}[/_-][a-z]{3,}[/_-][a-z]{3,}", r"(.)\1{7,}",
+    r"abcdefghij", WORDS_PATH, r"(.)\1{7,}",
 )
 
-_PATH = r"[a-z]{3,}[/_-][a-z]{3,}[/_-][a-z]{3,}"
-#: Redaction takes a path for known only where it is of whole words in lower case.
-_WORDS_PATH = r"(?-i:(?<![A-Za-z0-9])[a-z]{3,}(?:[/_-][a-z]{3,}){2,}(?![A-Za-z0-9]))"
-
 #: Entropies are compared as whole numbers of this part of a bit.
 _UNIT = 1_000_000
 #: Spans are gathered in lists of this length, so that gathering stays linear.
@@ -189,17 +187,14 @@ def _at_least(length: int):
     return lambda value: F.length(value) >= length
 
 
-def _candidate(of: CharacterClass, allowed: tuple[str, ...]):
-    """Whether a string has what the class needs and is on no allow-list."""
+def _candidate(of: CharacterClass):
+    """Whether a string has what the class needs."""
 
     def test(value):
-        known = F.lit(False)
-        for entry in allowed:
-            known = known | F.rlike(value, F.lit("(?i)" + entry))
         fits = F.lit(True)
         for needed in of.needs:
             fits = fits & F.rlike(value, F.lit(needed))
-        return fits & ~known
+        return fits
 
     return test
 
@@ -209,7 +204,7 @@ def _without_allowed(found: Column, of: CharacterClass, allowed: tuple[str, ...]
 
     def cut(entry):
         def pieces(m):
-            value, pattern = m["value"], "(?i)" + (_WORDS_PATH if entry == _PATH else entry)
+            value, pattern = m["value"], "(?i)" + entry
             whole = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
             known = _located(value, pattern, whole, whole, _at_least(1))
             starts = F.concat(F.array(F.lit(0)), F.transform(known, lambda k: k["end"]))
@@ -231,13 +226,10 @@ def _without_allowed(found: Column, of: CharacterClass, allowed: tuple[str, ...]
     return found
 
 
-def with_spans(
-    docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, rest: bool = False
-) -> DataFrame:
+def with_spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """The table with the columns _text (null: empty) and _spans (start, end, kind).
 
-    An allow-list entry suppresses the candidates that hold it or, with rest, only its
-    match; what stands before and after is searched.
+    An allow-list entry suppresses its match; what stands before and after is searched.
     Spans are ordered by start, then by kind: assign, access, hex, then the kinds of
     CLASSES. Places are in code points, ends exclusive.
     """
@@ -264,8 +256,8 @@ def with_spans(
         found[f"_{kind}"] = F.when(F.size(f"_{kind}") > 0, located).otherwise(none)
     for of in CLASSES:
         whole = F.col(f"_{of.kind}")
-        located = _located(text, of.pattern, whole, whole, _candidate(of, () if rest else allowed))
-        found[f"_{of.kind}"] = _without_allowed(located, of, allowed) if rest else located
+        located = _located(text, of.pattern, whole, whole, _candidate(of))
+        found[f"_{of.kind}"] = _without_allowed(located, of, allowed)
     table = table.withColumns(found)
 
     def spans(kind):
@@ -374,7 +366,7 @@ def redact(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     n_chars, where there is such a column, is set to the new length of changed texts.
     Null texts stay null.
     """
-    found = with_spans(docs.select(F.struct("*").alias("row"), "text"), allowed, rest=True)
+    found = with_spans(docs.select(F.struct("*").alias("row"), "text"), allowed)
     changed = F.size("_spans") > 0
     new = F.when(changed, redacted(F.col("_text"), F.col("_spans"))).otherwise(F.col("text"))
     found = found.withColumn("_new", new)
