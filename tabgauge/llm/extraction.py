@@ -37,7 +37,9 @@ SEED = 11
 #: Pages whose nodes are judged together.
 _TOGETHER = 128
 
-_OUTSIDE = ("nav", "aside", "footer", "form", "header")
+_OUTSIDE = ("nav", "aside", "footer", "form")
+#: What in an article may be something else than its text; no example is made of it.
+_UNSURE = frozenset(k for k, m in enumerate(MEANINGS) if m in ("comment", "advert", "notice", "share", "side", "form"))
 
 
 class Trees:
@@ -83,34 +85,41 @@ def _labels(page: Page, kept: np.ndarray) -> np.ndarray:
     return labels
 
 
-def _marked(page: Page) -> np.ndarray | None:
-    """Text blocks in an article or main element, if the page has one."""
-    inside = np.zeros(len(page.tags), bool)
-    for k in range(1, len(page.tags)):
-        tag = page.tags[k]
-        inside[k] = (inside[page.parents[k]] or tag in ("article", "main")) and tag not in _OUTSIDE
-    texts = np.array([t is not None for t in page.texts])
-    return inside & texts if (inside & texts).any() else None
+def _marked(page: Page) -> tuple[np.ndarray, np.ndarray] | None:
+    """Text blocks in an article or main element, if the page has one, and which nodes are sure.
+
+    What stands in an article under a name for comments, adverts, notices, shares, side
+    matter or forms is neither called main text nor anything else. An article's own header
+    is part of it.
+    """
+    size = len(page.tags)
+    inside, unsure = np.zeros(size, bool), np.zeros(size, bool)
+    for k in range(1, size):
+        tag, up = page.tags[k], page.parents[k]
+        unsure[k] = unsure[up] or (inside[up] and bool(page.meanings[k] & _UNSURE))
+        inside[k] = (inside[up] or tag in ("article", "main")) and tag not in _OUTSIDE
+    kept = inside & ~unsure & np.array([t is not None for t in page.texts])
+    return (kept, ~unsure) if kept.any() else None
 
 
 def _plain(page: Page, rng: random.Random) -> None:
     """Take telling tags, and sometimes attributes, away from a page."""
-    page.tags = ["div" if t in ("article", "main", "section", *_OUTSIDE[:3], "header") else t for t in page.tags]
+    page.tags = ["div" if t in ("article", "main", "section", "nav", "aside", "footer", "header") else t for t in page.tags]
     content = list(MEANINGS).index("content")
     if rng.random() < 0.5:
         page.meanings = [m - {content} for m in page.meanings]
 
 
-def _examples(pages: list[tuple[Page, np.ndarray]], rng: random.Random):
-    for page, kept in pages:
-        labels = _labels(page, kept)
-        yield Forest([page]).features(), labels
+def _examples(pages: list[tuple[Page, np.ndarray, np.ndarray]], rng: random.Random):
+    for page, kept, sure in pages:
+        labels = _labels(page, kept)[sure]
+        yield Forest([page]).features()[sure], labels
         if any(page.meanings):
             _plain(page, rng)
-            yield Forest([page]).features(), labels
+            yield Forest([page]).features()[sure], labels
 
 
-def _layout_pages() -> list[tuple[Page, np.ndarray]]:
+def _layout_pages() -> list[tuple[Page, np.ndarray, np.ndarray]]:
     layouts = Layouts(SEED)
     pages = []
     for _ in range(LAYOUTS):
@@ -122,11 +131,11 @@ def _layout_pages() -> list[tuple[Page, np.ndarray]]:
                 kept[k] = True
                 wanted.pop(0)
         if not wanted:
-            pages.append((page, kept))
+            pages.append((page, kept, np.ones(len(kept), bool)))
     return pages
 
 
-def _sampled_pages(pages: DataFrame) -> list[tuple[Page, np.ndarray]]:
+def _sampled_pages(pages: DataFrame) -> list[tuple[Page, np.ndarray, np.ndarray]]:
     marked = pages.where(F.length("html") <= SAMPLE_CHARS).where(
         F.lower("html").contains("<article") | F.lower("html").contains("<main")
     )
@@ -137,9 +146,9 @@ def _sampled_pages(pages: DataFrame) -> list[tuple[Page, np.ndarray]]:
     found = []
     for html in texts:
         page = Page(html)
-        kept = _marked(page)
-        if kept is not None:
-            found.append((page, kept))
+        marks = _marked(page)
+        if marks is not None:
+            found.append((page, *marks))
     return found
 
 

@@ -55,9 +55,19 @@ class Layouts:
             inner = " ".join([*words[:at], marked, *words[at + 2 :]])
         return self.kept("p", text, inner)
 
+    def title(self) -> str:
+        """The article's title, often in a header of its own with a line below it."""
+        inner = self.kept("h1", self.words(2, 10))
+        if self.rng.random() < 0.6:
+            return inner
+        if self.rng.random() < 0.3:
+            inner += self.kept("p", self.prose(1, 2))
+        names = ("entry-header", "post-header", "article-header", "header", "headline", "title")
+        return self.tagged(("header", "header", "div"), names, inner, 0.6)
+
     def article(self) -> str:
         rng = self.rng
-        parts = [self.kept("h1", self.words(2, 10))] if rng.random() < 0.8 else []
+        parts = [self.title()] if rng.random() < 0.8 else []
         for _ in range(rng.choice((1, 1, 2, 4, 8, 20))):
             kind = rng.random()
             if kind < 0.75:
@@ -79,6 +89,9 @@ class Layouts:
         inner = "".join(parts)
         if rng.random() < 0.25:
             inner = f"<div>{inner}</div>"
+        inner += "".join(p() for p in (self.share, self.advert, self.notice, self.footer) if rng.random() < 0.08)
+        if rng.random() < 0.25:
+            inner += self.comments()
         names = ("content", "post-content", "entry-content", "article-body", "story", "main", "post", "text", "page", "x1", "wrap")
         return self.tagged(("article", "main", "div", "div", "section"), names, inner)
 

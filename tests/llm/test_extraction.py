@@ -38,6 +38,41 @@ def test_pages_against_their_marks(spark, pages, trees):
     assert same >= 0.97 * len(rows)
 
 
+COMMENTS = (
+    '<section class="comments"><h3>Three replies</h3><div class="comment"><p>{}</p></div><div class="comment"><p>{}</p></div></section>',
+    '<div id="comments"><ul><li class="comment"><b>Ann</b><p>{}</p></li><li class="comment"><p>{}</p></li></ul></div>',
+    '<section id="discussion"><article class="comment"><p>{}</p></article><article class="reply"><p>{}</p></article></section>',
+)
+
+
+@pytest.mark.parametrize("spot", ["in the article", "after it"])
+def test_titles_in_headers_and_comments(pages, trees, spot):
+    """The article's header belongs to it, readers' comments do not, wherever they stand."""
+    rows = [r.html for r in pages.collect() if "<h1>" in r.html]
+    layouts, right = Layouts(99), 0
+    changed = []
+    for k, html in enumerate(rows):
+        comments = COMMENTS[k % len(COMMENTS)].format(layouts.prose(2, 6), layouts.prose(1, 4))
+        html = html.replace("<h1>", "<header><h1>", 1).replace("</h1>", "</h1></header>", 1)
+        closing = "</article>" if spot == "in the article" else "<footer>"
+        changed.append(html.replace(closing, comments + closing, 1))
+    for found, html in zip(extraction.main_texts(changed, trees), rows):
+        right += found == article(html)
+    assert right >= 0.95 * len(rows)
+
+
+def test_labels_leave_unsure_parts_out(trees):
+    page = Page(
+        "<nav>n</nav><article><header><h1>t</h1></header><p>a</p><div class=comments><p>c</p><article>d</article></div>"
+        "<aside>s</aside></article><footer>f</footer>"
+    )
+    kept, sure = extraction._marked(page)
+    by_text = {t: (kept[k], sure[k]) for k, t in enumerate(page.texts) if t is not None}
+    assert [t for t, (k, _) in by_text.items() if k] == ["t", "a"]
+    assert [t for t, (_, s) in by_text.items() if not s] == ["c", "d"]
+    assert extraction._marked(Page("<p>x</p>")) is None
+
+
 def test_unseen_layouts(trees):
     layouts = Layouts(12345)
     right = wrong = lost = 0
