@@ -15,11 +15,12 @@ structure counts and not only names.
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +35,15 @@ TREES = 20
 DEPTH = 5
 SEED = 11
 
+#: The title that an article starts with.
+_TITLE = re.compile(r"(<(?:article|main)[^>]*>\s*)(<h1[^>]*>.*?</h1>)", re.S)
+
 #: Pages whose nodes are judged together.
 _TOGETHER = 128
 
 _OUTSIDE = ("nav", "aside", "footer", "form")
 #: What in an article may be something else than its text; no example is made of it.
+_COMMENT = list(MEANINGS).index("comment")
 _UNSURE = frozenset(k for k, m in enumerate(MEANINGS) if m in ("comment", "advert", "notice", "share", "side", "form"))
 
 
@@ -90,14 +95,15 @@ def _marked(page: Page) -> tuple[np.ndarray, np.ndarray] | None:
 
     What stands in an article under a name for comments, adverts, notices, shares, side
     matter or forms is neither called main text nor anything else. An article's own header
-    is part of it.
+    is part of it; an article among comments that stand apart is not one.
     """
     size = len(page.tags)
-    inside, unsure = np.zeros(size, bool), np.zeros(size, bool)
+    inside, unsure, apart = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
     for k in range(1, size):
         tag, up = page.tags[k], page.parents[k]
         unsure[k] = unsure[up] or (inside[up] and bool(page.meanings[k] & _UNSURE))
-        inside[k] = (inside[up] or tag in ("article", "main")) and tag not in _OUTSIDE
+        apart[k] = apart[up] or (not inside[up] and tag not in ("article", "main") and _COMMENT in page.meanings[k])
+        inside[k] = (inside[up] or tag in ("article", "main")) and tag not in _OUTSIDE and not apart[k]
     kept = inside & ~unsure & np.array([t is not None for t in page.texts])
     return (kept, ~unsure) if kept.any() else None
 
@@ -143,8 +149,13 @@ def _sampled_pages(pages: DataFrame) -> list[tuple[Page, np.ndarray, np.ndarray]
     places = [r.place for r in hashed.distinct().orderBy("place").limit(SAMPLE).collect()]
     rows = marked.where(F.xxhash64("html").isin(places)) if places else marked.limit(0)
     texts = sorted({r.html for r in rows.select("html").distinct().collect()})
-    found = []
-    for html in texts:
+    found, layouts = [], Layouts(SEED + 1)
+    for k, html in enumerate(texts):
+        # a table may show few kinds of pages: parts of the sample get comments, and a header for the title
+        if k % 2:
+            html = html.replace("</article>", f"</article>{layouts.comments()}", 1)
+        if k % 4 > 1:
+            html = _TITLE.sub(r"\1<header>\2</header>", html, count=1)
         page = Page(html)
         marks = _marked(page)
         if marks is not None:
@@ -156,12 +167,14 @@ def fitted(spark: SparkSession, pages: DataFrame) -> Trees:
     """Boosted trees for the pages of a table (html)."""
     rng = random.Random(SEED)
     examples = list(_examples(_layout_pages() + _sampled_pages(pages), rng))
-    rows = [
-        (Vectors.dense(f.tolist()), float(label))
-        for features, labels in examples
-        for f, label in zip(features, labels)
-    ]
-    table = spark.createDataFrame(rows, ["features", "label"]).coalesce(2)
+    features = np.concatenate([f for f, _ in examples])
+    columns = {
+        "features": pa.FixedSizeListArray.from_arrays(pa.array(features.ravel()), features.shape[1]).cast(pa.list_(pa.float32())),
+        "label": pa.array(np.concatenate([labels for _, labels in examples]).astype(np.float64)),
+    }
+    table = spark.createDataFrame(pa.table(columns)).coalesce(1)
+    # one part of a bounded sample, so that the trees do not depend on the number of cores
+    table = table.select(array_to_vector("features").alias("features"), "label")
     boosted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=64)
     return Trees(boosted.fit(table))
 

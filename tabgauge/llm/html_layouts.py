@@ -58,7 +58,7 @@ class Layouts:
     def title(self) -> str:
         """The article's title, often in a header of its own with a line below it."""
         inner = self.kept("h1", self.words(2, 10))
-        if self.rng.random() < 0.6:
+        if self.rng.random() < 0.5:
             return inner
         if self.rng.random() < 0.3:
             inner += self.kept("p", self.prose(1, 2))
@@ -90,7 +90,7 @@ class Layouts:
         if rng.random() < 0.25:
             inner = f"<div>{inner}</div>"
         inner += "".join(p() for p in (self.share, self.advert, self.notice, self.footer) if rng.random() < 0.08)
-        if rng.random() < 0.25:
+        if rng.random() < 0.35:
             inner += self.comments()
         names = ("content", "post-content", "entry-content", "article-body", "story", "main", "post", "text", "page", "x1", "wrap")
         return self.tagged(("article", "main", "div", "div", "section"), names, inner)

@@ -64,7 +64,7 @@ def test_titles_in_headers_and_comments(pages, trees, spot):
 def test_labels_leave_unsure_parts_out(trees):
     page = Page(
         "<nav>n</nav><article><header><h1>t</h1></header><p>a</p><div class=comments><p>c</p><article>d</article></div>"
-        "<aside>s</aside></article><footer>f</footer>"
+        "<aside>s</aside></article><section id=comments><article>e</article></section><footer>f</footer>"
     )
     kept, sure = extraction._marked(page)
     by_text = {t: (kept[k], sure[k]) for k, t in enumerate(page.texts) if t is not None}
