@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabgauge.functions import fixed
 from tabgauge.functions.columns import field_of, kind_of, present, ref, row_digest
@@ -13,6 +12,10 @@ from tabgauge.functions.text import matches
 from tabgauge.operators.accuracy import moments
 from tabgauge.operators.quantiles import exact_quantiles
 
+# Rows of the sample per range, and characters of a text in a bound.
+SAMPLED = 32
+BOUND_CHARS = 1000
+
 
 def fill_with_median(df: DataFrame, column: str) -> DataFrame:
     """Missing values of a numeric column replaced by its median."""
@@ -26,19 +29,20 @@ def forward_fill(
 ) -> DataFrame:
     """Missing values replaced by the last value before them.
 
-    ``order_by`` should identify a row, so that ties do not pile up in one range. The
-    bounds of the ranges are taken once, from a sketch of the first column of the order,
-    and then are part of the plan: every run of a task splits rows the same way. Each
-    range is filled by itself; the last value of a range is handed on to the ranges after
-    it. Only keys of the order, the column and the range go through the windows' sorts
-    beside the row itself.
+    Rows are split into ranges of the whole order key, so a first key that many rows share
+    is split by the keys after it; rows equal in all of ``order_by`` share a range, and
+    which of them comes first is open. The bounds are taken once, from a sample, and then
+    are part of the plan: every run of a task splits rows the same way, and they decide
+    only how even the ranges are, never a value. Each range is filled by itself; its last
+    value is handed on to the ranges after it. Missing keys come first. Only keys of the
+    order, the column and the range go through the windows' sorts beside the row itself.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [ref(c) for c in order_by]
     value = present(field_of(df, column))
-    first = field_of(df, order_by[0])
-    ranged = df.withColumn(column, value).withColumn("__range", _range_of(df, first, parts))
+    ranged = df.withColumn(column, value)
+    ranged = ranged.withColumn("__range", _range_of(ranged, order_by, parts))
     last_values = (
         ranged.where(ref(column).isNotNull())
         .groupBy("__range")
@@ -46,7 +50,7 @@ def forward_fill(
     )
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     handed_on = (
-        spark.range(-1, parts + 1)
+        spark.range(parts)
         .select(F.col("id").cast("int").alias("__range"))
         .join(last_values, "__range", "left")
         .select("__range", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
@@ -65,40 +69,59 @@ def forward_fill(
     )
 
 
-def _range_of(df: DataFrame, field: T.StructField, parts: int) -> Column:
-    """The number of the range a row lies in; -1 for rows without a value.
+def _range_of(df: DataFrame, order_by: list[str], parts: int) -> Column:
+    """The number of the range a row lies in: how many bounds its key has reached.
+
+    The place among the sorted bounds is found by halving: from large to small, a step is
+    taken when the bound at its end is not above the key.
+    """
+    fields = [field_of(df, c) for c in order_by]
+    bounds = _bounds(df, order_by, parts)
+    if not bounds:
+        return F.lit(0)
+    key = F.struct(*[ref(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    places = F.array(
+        *[
+            F.struct(*[F.lit(v).cast(f.dataType).alias(f"k{i}") for i, (v, f) in enumerate(zip(bound, fields))])
+            for bound in bounds
+        ]
+    )
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def step(at: Column, width: Column) -> Column:
+        # beyond the last bound there is no bound, and no step
+        return F.when(F.get(places, at + width - 1) <= key, at + width).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
+def _bounds(df: DataFrame, order_by: list[str], parts: int) -> list[tuple]:
+    """At most ``parts - 1`` keys that split the rows about evenly, in order.
 
-    Numbers and times are split by their quantiles, texts by their first characters'
-    place in the order, which is their own order.
+    From about SAMPLED rows a range. Equal keys of the sample are counted before they
+    are put in order, and texts are cut after BOUND_CHARS characters: a bound need not be
+    a key of the table.
     """
-    kind = kind_of(field.dataType)
-    if kind in ("Numeric", "DateTime"):
-        place = ref(field.name)
-        place = F.unix_micros(place.cast("timestamp")) if kind == "DateTime" else place
-        place = place.cast("double")
-        grid = [i / parts for i in range(1, parts)]
-        found = df.agg(F.percentile_approx(place, grid)).first()[0] if grid else None
-        bounds = sorted(set(found or []))
-    else:
-        place = ref(field.name).cast("string")
-        rows = df.where(place.isNotNull()).select(place.alias("place"))
-        bounds = _text_bounds(rows, parts)
-    number = F.lit(0)
-    for bound in bounds:
-        number = number + (place >= F.lit(bound)).cast("int")
-    return F.when(ref(field.name).isNull(), F.lit(-1)).otherwise(number)
-
-
-def _text_bounds(rows: DataFrame, parts: int) -> list[str]:
-    """Texts that split the rows about evenly, from counts of their beginnings."""
-    counted = rows.groupBy(F.substring("place", 1, 4).alias("start")).count()
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    if not total or parts < 2:
+    rows = df.count()
+    if parts < 2 or not rows:
         return []
-    so_far = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    cell = F.floor(F.coalesce(F.sum("count").over(so_far), F.lit(0)) * parts / total)
-    starts = counted.withColumn("cell", cell).groupBy("cell").agg(F.min("start").alias("start"))
-    return sorted({r.start for r in starts.where("cell > 0").collect()})
+    names = [f"k{i}" for i in range(len(order_by))]
+
+    def cut(name: str) -> Column:
+        is_text = kind_of(field_of(df, name).dataType) == "Text"
+        return F.substring(ref(name), 1, BOUND_CHARS) if is_text else ref(name)
+
+    keys = df.select(*[cut(c).alias(n) for c, n in zip(order_by, names)])
+    share = parts * SAMPLED / rows
+    sample = keys.sample(share, seed=SAMPLED) if share < 1 else keys
+    counted = sample.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    # One task orders the sample: its size is a parameter, whatever the table's.
+    so_far = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy())
+    cell = F.floor(F.coalesce(F.sum("n").over(so_far), F.lit(0)) * parts / total)
+    starts = counted.withColumn("cell", cell).where("cell > 0")
+    first = starts.groupBy("cell").agg(F.min(F.struct(*names)).alias("bound"))
+    return [tuple(r.bound) for r in first.orderBy("cell").collect()]
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

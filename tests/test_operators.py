@@ -399,6 +399,46 @@ def test_forward_fill_across_ranges(spark, parts):
     assert found == [None if math.isnan(v) else v for v in pd.Series(values, dtype=float).ffill()]
 
 
+@pytest.mark.parametrize("hot", ["2024-01-01T00:00:00", None])
+def test_forward_fill_splits_a_frequent_first_key(spark, hot):
+    """A third of all rows have one first key, the others' texts begin alike: no range is large."""
+    rows = 6000
+    first = [hot if i % 3 == 0 else f"2024-01-{i % 28 + 1:02d}T{i % 24:02d}" for i in range(rows)]
+    table = pd.DataFrame({"t": first, "i": range(rows), "x": [float(i) if i % 7 == 0 else None for i in range(rows)]})
+    df = spark.createDataFrame(table.astype({"t": object}), "t string, i int, x double").repartition(5, "x")
+    sizes = [r["count"] for r in df.groupBy(remediate._range_of(df, ["t", "i"], 12)).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * rows / 12
+    found = {r["i"]: r["x"] for r in remediate.forward_fill(df, "x", ["t", "i"], 12).collect()}
+    expected = table.sort_values(["t", "i"], na_position="first")
+    filled = expected["x"].ffill()
+    assert found == {i: None if math.isnan(x) else x for i, x in zip(expected["i"], filled)}
+
+
+def test_forward_fill_plan_does_not_grow_with_the_ranges(spark):
+    """The range is found by halving: one step more for twice as many bounds."""
+    df = spark.range(4000).select(F.col("id").alias("i"), F.lit(None).cast("double").alias("x"))
+    few, many = (str(remediate._range_of(df, ["i"], p)._jc.toString()).count("CASE") for p in (8, 64))
+    assert few == many == 1
+    ranges = df.groupBy(remediate._range_of(df, ["i"], 64).alias("r")).agg(F.min("i").alias("low"), F.max("i").alias("high"))
+    bounds = [(r["low"], r["high"]) for r in ranges.orderBy("r").collect()]
+    assert len(bounds) == 64
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "decimal(10,2)", "double", "binary"])
+def test_forward_fill_by_other_kinds_of_keys(spark, kind):
+    source = {"timestamp": "timestamp_seconds(i * 5000)", "date": "date_add(date'2024-01-01', i)", "binary": "cast(format_string('%04d', i) as binary)"}
+    key = source.get(kind, f"CAST(CASE WHEN i = 299 AND '{kind}' = 'double' THEN 'NaN' ELSE i / 4 END AS {kind})")
+    df = spark.range(300).selectExpr("CAST(id AS INT) AS i").selectExpr("i", f"{key} AS k", "CASE WHEN i % 9 = 4 THEN i END AS x")
+    found = {r["i"]: r["x"] for r in remediate.forward_fill(df.repartition(4), "x", ["k"], 7).collect()}
+    assert found == {i: None if i < 4 else i - (i - 4) % 9 for i in range(300)}
+
+
+def test_forward_fill_without_rows(spark):
+    df = spark.createDataFrame([], "i int, x double")
+    assert remediate.forward_fill(df, "x", ["i"], 5).collect() == []
+
+
 def test_duplicate_keys_keep_all(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
     assert {r["v"] for r in remediate.duplicates_by_key(df, ["k"]).collect()} == {"a", "b", "d", "e"}
