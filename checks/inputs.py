@@ -116,6 +116,7 @@ KINDS = {
     "pairs": "segment:T nation:I balance:N",
     "spoiled": "o_orderstatus:T spikes:N steps:N delivered:D",
     "doc_texts": "text:T lang:T source:T n_chars:I",
+    "daily": "name:T ts:D total_rows:I total_columns:I overall:N validity:N",
     "lineitem": (
         "l_orderkey:I l_partkey:I l_suppkey:I l_linenumber:I l_quantity:N l_extendedprice:N"
         " l_discount:N l_tax:N l_returnflag:T l_linestatus:T l_shipdate:D"

@@ -9,6 +9,7 @@ from checks.inputs import AS_OF, TABLES, columns_of, duckdb_input
 
 DIGITS = 5
 ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts", "spoiled")
+DESCRIBED = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 RULES = {
     "small_discount": "l_discount <= 0.08",
     "low_tax": "l_tax < 0.08",
@@ -172,6 +173,22 @@ def date_expr(c: str, k: str) -> str:
     return c if k == "D" else f"try_strptime({c}, '%Y-%m-%d')"
 
 
+KIND = (
+    "CASE WHEN {0} IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') THEN 'Numeric' WHEN {0} = 'DATE' OR {0} LIKE 'TIMESTAMP%'"
+    " THEN 'DateTime' WHEN {0} = 'BOOLEAN' THEN 'Boolean' WHEN {0} = 'VARCHAR' THEN 'Text' ELSE 'Other' END"
+)
+
+
+def column_flags(name, i, c, k) -> str:
+    likely = f"coalesce(avg(regexp_matches({c}, '{DATE_LIKE}')::INT) > 0.7, false)" if k == "T" else "false"
+    return f"""
+SELECT {i}::INT AS ordinal, CASE t WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+       WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE t END AS dtype, {KIND.format('t')} AS kind,
+       {c in ('order_date', 'email', 'value', 'l_tax')} AS is_selected, {KIND.format('t')} = 'Numeric' AS is_numeric,
+       {KIND.format('t')} = 'DateTime' AS is_datetime, false AS is_categorical, likely_date
+FROM (SELECT any_value(typeof({c})) AS t, {likely} AS likely_date FROM {name})"""
+
+
 AGE_SCORE = (
     "CASE WHEN r IS NULL THEN 0e0 WHEN r > 365 THEN greatest(0e0, 100e0 - (r - 365) / 10e0)"
     " WHEN r > 180 THEN greatest(70e0, 100e0 - (r - 180) / 4e0)"
@@ -691,6 +708,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT share AS date_like_share, share > 0.7 AS likely_date FROM (SELECT coalesce(avg(regexp_matches({c}, '{DATE_LIKE}')::INT), 0e0) AS share FROM {n})"""),
         "date_like_share",
     )
+    q["column_subset"] = rounded("SELECT c_custkey, c_acctbal FROM customer", "c_acctbal")
+    q["column_flags"] = per_column(("text_orders", "contacts", "mixed_events", "dirty_lineitem"), "INTD", column_flags)
+    q["trend_dates"] = per_column(("text_orders", "contacts", "mixed_events", "dirty_lineitem", "daily"), "TD", lambda n, i, c, k: f"""
+        SELECT {i}::INT AS ordinal FROM {n} HAVING count({c}) > 0 AND count({c}) = count({date_expr(c, k)})""")
+    q["type_distribution"] = union([f"""SELECT '{t}' AS "table", k AS kind, count(column_type) AS columns
+        FROM (SELECT unnest(['Numeric', 'DateTime', 'Boolean', 'Text', 'Categorical', 'Other']) AS k)
+        LEFT JOIN (SELECT column_type, {KIND.format('column_type')} AS kind FROM (DESCRIBE SELECT * FROM {t})) ON kind = k GROUP BY k""" for t in DESCRIBED])
+    q["display_types"] = union([f"""SELECT '{t}' AS "table", CASE WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'Numeric (Float)'
+        WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'Numeric (Integer)' WHEN column_type LIKE 'TIMESTAMP%' THEN 'Date/Time'
+        WHEN column_type = 'VARCHAR' THEN 'Text' WHEN column_type = 'FLOAT[]' THEN 'array<float>' ELSE column_type END AS data_type, count(*) AS count
+        FROM (DESCRIBE SELECT * FROM {t}) GROUP BY ALL""" for t in DESCRIBED])
     value = "completeness_percentage"
     q["score_labels"] = sources("dirty_lineitem") + union([
         f"""SELECT '{c}' AS "column", {bands(value)}, CASE WHEN {value} = floor({value}) THEN concat({value}::BIGINT, '/100') ELSE format('{{:.1f}}/100', {value}) END AS score_text,
@@ -825,6 +853,7 @@ def oracle_sql() -> dict[str, str]:
     events = sources("mixed_events")
     q["remediate_median_fill"] = events + rounded("SELECT event_id, coalesce(sparse_value, (SELECT quantile_cont(sparse_value, 0.5) FROM mixed_events)) AS sparse_value FROM mixed_events", "sparse_value")
     q["remediate_ffill"] = events + rounded("SELECT event_id, last_value(sparse_value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sparse_value FROM mixed_events", "sparse_value")
+    q["remediate_ffill_by_type"] = events + rounded("SELECT event_id, last_value(sparse_value IGNORE NULLS) OVER (ORDER BY event_type, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sparse_value FROM mixed_events", "sparse_value")
     q["remediate_dedup"] = "SELECT sha256(text) AS digest, lang, source, n_chars FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)"
     q["remediate_dup_keys"] = sources("labelled") + "SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY lang, n_chars) AS n FROM labelled) WHERE n > 1"
     q["remediate_range"] = rounded("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity < 3 OR l_quantity > 48", "l_quantity")

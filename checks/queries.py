@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from checks.inputs import AS_OF, TABLES, spark_input
 from tabgauge.functions.checkpoints import scratch_path, use_checkpoint_dir
 from tabgauge.functions import scoring
+from tabgauge.functions.columns import pick_columns
 from tabgauge.functions.together import together
 from tabgauge.operators import (
     accuracy, anomaly, clustering, completeness, consistency, distribution, near_rows, profile,
@@ -27,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 5
 ASSESSED = ("dirty_lineitem", "text_orders", "mixed_events", "contacts", "spoiled")
+DESCRIBED = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 RULES = {
     "small_discount": "l_discount <= 0.08",
     "low_tax": "l_tax < 0.08",
@@ -241,6 +243,18 @@ def queries() -> dict[str, Query]:
     q["likely_date"] = over(
         ("text_orders", "contacts", "mixed_events"), lambda df: schema.likely_dates(df)
     )
+    q["column_subset"] = on(
+        "customer", lambda df: pick_columns(df, ["c_custkey", "no_such", "c_acctbal"])
+    )
+    q["column_flags"] = over(
+        ("text_orders", "contacts", "mixed_events", "dirty_lineitem"),
+        lambda df: schema.column_meta(df, ["order_date", "email", "value", "l_tax"]),
+    )
+    q["trend_dates"] = over(
+        ("text_orders", "contacts", "mixed_events", "dirty_lineitem", "daily"), schema.trend_date_columns
+    )
+    q["type_distribution"] = over(DESCRIBED, schema.type_distribution)
+    q["display_types"] = over(DESCRIBED, schema.display_types)
     q["score_labels"] = on("dirty_lineitem", _labels)
 
     # Completeness
@@ -464,6 +478,12 @@ def queries() -> dict[str, Query]:
             "event_id", "sparse_value"
         ),
     )
+    q["remediate_ffill_by_type"] = on(
+        "mixed_events",
+        lambda df: remediate.forward_fill(df, "sparse_value", ["event_type", "event_id"]).select(
+            "event_id", "sparse_value"
+        ),
+    )
     q["remediate_dedup"] = on(
         "doc_texts", lambda df: remediate.drop_duplicates(df).select(F.sha2("text", 256).alias("digest"), "lang", "source", "n_chars")
     )
