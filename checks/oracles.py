@@ -179,6 +179,18 @@ KIND = (
 )
 
 
+def running_quality(name, i, c, k) -> str:
+    number = k in "IN"
+    spread = ", ".join(
+        f"{f'{f}({c}::DOUBLE)' if number else 'max(NULL::DOUBLE)'} AS {a}"
+        for f, a in (("min", "min"), ("max", "max"), ("avg", "mean"), ("stddev_samp", "std"), ("skewness", "skewness"))
+    )
+    return f"""
+SELECT row_count, missing_count, completeness_percentage, completeness_score, mixed_types, type_score,
+       consistency_percentage, min, max, mean, std, skewness
+FROM ({completeness(name, i, c, k)}), ({types(name, i, c, k)}), (SELECT {spread} FROM {name})"""
+
+
 def column_flags(name, i, c, k) -> str:
     likely = f"coalesce(avg(regexp_matches({c}, '{DATE_LIKE}')::INT) > 0.7, false)" if k == "T" else "false"
     return f"""
@@ -892,6 +904,10 @@ def oracle_sql() -> dict[str, str]:
         100e0 * (count(*) - count(value)) / count(*) AS missing_percentage, 100e0 * count(*) FILTER (value BETWEEN 0 AND 50) / count(value) AS valid_percentage, min(value) AS min, max(value) AS max
         FROM (SELECT date_trunc('hour', ts) AS w, value FROM events) GROUP BY w"""
     q["table_windows"] = rounded(windows, "missing_percentage valid_percentage min max")
+    q["running_quality"] = rounded(per_column(("mixed_events", "dirty_lineitem"), "INTD", running_quality),
+        "completeness_percentage completeness_score type_score consistency_percentage min max mean std skewness")
+    q["missing_sample"] = sources("dirty_lineitem") + f"""SELECT {', '.join(f'({c} IS NULL)::INT AS {c}' for i, c, k in columns_of('dirty_lineitem'))}
+        FROM dirty_lineitem ORDER BY md5(concat_ws(':', 42, l_orderkey, l_linenumber)), l_orderkey, l_linenumber LIMIT 100"""
     q["stream_windows"] = rounded(
         windows + " HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
         "missing_percentage valid_percentage min max",

@@ -22,7 +22,7 @@ from tabgauge.operators import (
 from tabgauge.plans import history, insights, report, summary
 from tabgauge.plans.assess import Assessment, Options, assess, metrics
 from tabgauge.sources import tables
-from tabgauge.streaming import monitor
+from tabgauge.streaming import monitor, running
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,6 +174,21 @@ def _table_windows(df: DataFrame) -> DataFrame:
     return _minutes(monitor.window_quality(timed, "ts", "value", valid="value BETWEEN 0 AND 50"))
 
 
+def _running_quality(df: DataFrame) -> DataFrame:
+    """The rows in three batches, one of them sent twice, the first two folded into one state."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    dealt = F.pmod(F.xxhash64(*df.columns), F.lit(3))
+    for k in (0, 1, 1, 2):
+        running.put(running.state_of(df.where(dealt == k)), path, k)
+        if k == 1:
+            running.fold(spark, path)
+    return running.quality(running.read(spark, path)).select(
+        "column", "row_count", "missing_count", "completeness_percentage", "completeness_score",
+        "mixed_types", "type_score", "consistency_percentage", "min", "max", "mean", "std", "skewness",
+    )
+
+
 def _load_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The tables of a folder, found and loaded through Spark's file systems."""
     found = tables.load_tables(spark, folder)
@@ -554,6 +569,7 @@ def queries() -> dict[str, Query]:
     # Streaming, and the same measure over a table, which gives all windows
     q["stream_windows"] = _stream_windows
     q["table_windows"] = on("events", _table_windows)
+    q["running_quality"] = over(("mixed_events", "dirty_lineitem"), _running_quality)
 
     # Loading and storing
     q["load_folder"] = _load_folder

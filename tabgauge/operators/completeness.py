@@ -98,7 +98,7 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 def missing_sample(df: DataFrame, key: list[str], rows: int = 100, seed: int = 42) -> DataFrame:
     """0/1 per cell for a repeatable sample of rows."""
     flags = [missing(f).cast("int").alias(f.name) for f in df.schema.fields]
-    drawn = F.xxhash64(F.lit(seed), *[ref(k) for k in key])
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), *[ref(k).cast("string") for k in key]))
     return df.orderBy(drawn, *[ref(k) for k in key]).limit(rows).select(*flags)
 
 

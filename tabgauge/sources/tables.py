@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +65,11 @@ def read_csv(
 
     Line breaks inside quotes need ``multiline=True``: such a file is read by one task,
     because a reader that starts in the middle cannot tell quoted breaks from others.
-    `broken_quotes` counts the rows that would be split without it.
+    Without it such a file is refused, as its rows would be split; a quote inside a field
+    that does not begin with one is plain text. `broken_quotes` counts the lines.
     """
+    if not multiline and not _open_lines(spark, path, sep, encoding).isEmpty():
+        raise ValueError(f"{path} has line breaks inside quotes: read it with multiline=True")
     raw = (
         spark.read.option("header", True)
         .option("sep", sep)
@@ -103,11 +108,21 @@ def read_csv(
     return cleaned.select(*typed)
 
 
-def broken_quotes(spark: SparkSession, path: str, encoding: str = "UTF-8") -> int:
-    """Lines with an odd number of quotes: parts of rows that have line breaks inside quotes."""
+def _open_lines(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+    """Lines with an odd number of quotes, one of them at the beginning of a field."""
+    opens = F.col("value").rlike(rf'(^|{re.escape(sep)})\s*"')
+    return _odd_lines(spark, path, encoding).where(opens)
+
+
+def _odd_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     lines = spark.read.option("encoding", encoding).text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.where(quotes % 2 == 1).count()
+    return lines.where(quotes % 2 == 1)
+
+
+def broken_quotes(spark: SparkSession, path: str, encoding: str = "UTF-8") -> int:
+    """Lines with an odd number of quotes: parts of rows that have line breaks inside quotes."""
+    return _odd_lines(spark, path, encoding).count()
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:

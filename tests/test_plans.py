@@ -183,6 +183,17 @@ def test_quotes_over_several_lines_are_counted(spark, tmp_path):
     assert tables.load_table(spark, str(path), multiline=True).count() == 2
 
 
+@pytest.mark.parametrize("sep", [",", "|"])
+def test_quotes_over_several_lines_are_refused(spark, tmp_path, sep):
+    path, plain = tmp_path / "notes.csv", tmp_path / "plain.csv"
+    path.write_text('id,note\n1, "two\nlines, ""so"""\n2,plain\n'.replace(",", sep))
+    with pytest.raises(ValueError, match="multiline=True"):
+        tables.load_table(spark, str(path), sep=sep)
+    assert tables.load_table(spark, str(path), sep=sep, multiline=True).count() >= 2
+    plain.write_text('id,note\n1,5" pipe\n2,"a ""word"""\n'.replace(",", sep))
+    assert [r["note"] for r in tables.load_table(spark, str(plain), sep=sep).collect()] == ['5" pipe', 'a "word"']
+
+
 def test_metrics_have_rules_and_combinations(result):
     found = {(r["dimension"], r["column"], r["metric"]): r["value"] for r in metrics(result).collect()}
     assert found["rules", "positive", "violations"] == 1
