@@ -530,6 +530,34 @@ def test_frequent_tokens_bring_no_rows_together(spark):
     assert near_rows._posted(classes, 50).where("175 * left >= 2 * 75 * n").count() == 0
 
 
+def test_crowded_tokens_bring_few_rows_together(spark, monkeypatch):
+    """Rows that have their rare tokens in crowds meet by several tokens, and only there."""
+    monkeypatch.setattr(near_rows, "CROWD", 3)
+    random = np.random.default_rng(5)
+    drawn = random.integers(0, 6, (500, 5))
+    rows = [(i, " ".join(f"c{j}x{v}" for j, v in enumerate(r)) + (f" u{i}" if i % 4 else "")) for i, r in enumerate(drawn.tolist())]
+    df = spark.createDataFrame(rows, "k long, t string")
+    found = {(r[0], r[1], round(r[2], 9)) for r in near_rows.near_row_links(df, "k", ["t"], 60).collect()}
+    assert found == brute_near_rows(rows, 60) and len(found) > 40
+
+
+def test_pairs_of_long_rows_by_sketch(spark):
+    """Long sets that share half their words are dropped before any sets are fetched."""
+    random = np.random.default_rng(6)
+    rows = []
+    for i in range(240):
+        words = [f"w{v}" for v in random.choice(160, 80, replace=False)] if i % 3 == 0 else rows[-1][1].split()[1:] + [f"v{i % 7}"]
+        rows.append((i, " ".join(words if i % 24 else words[:18])))
+    df = spark.createDataFrame(rows, "k long, t string")
+    classes = near_rows._classes(near_rows._sets(df, "k", ["t"], None))
+    pairs = near_rows._long_pairs(classes, near_rows._posted(classes, 70), 70)
+    stored = [f for f in pairs.inputFiles()]
+    links = brute_near_rows(rows, 70)
+    assert {(min(r["key_a"], r["key_b"]), max(r["key_a"], r["key_b"])) for r in pairs.collect()} == {(a, b) for a, b, _ in links}
+    candidates = min((spark.read.parquet(f.rsplit("/", 1)[0]) for f in stored if "id_b" in spark.read.parquet(f).columns), key=lambda t: len(t.columns))
+    assert candidates.count() < 3 * len(links)
+
+
 def test_planted_outliers_score_lowest(spark):
     random = np.random.default_rng(2)
     normal = random.normal(0, 1, (2000, 2))
