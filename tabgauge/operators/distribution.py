@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgauge.functions import fixed
-from tabgauge.functions.columns import present
+from tabgauge.functions.columns import present, ref
 from tabgauge.functions.scoring import distribution_quality
 from tabgauge.operators.consistency import Quartiles, numeric_fields, quartiles
 from tabgauge.operators.measures import VALUE, Measures, count_where, measure
@@ -92,17 +92,22 @@ class Bins:
         self.low, self.high, self.count = low, high, count
         self.step = (high - low) / count
 
-    def edge(self, index: Column) -> Column:
-        inner = index * F.lit(self.step) + F.lit(self.low)
-        return F.when(index >= self.count, F.lit(self.high)).otherwise(inner)
 
-    def index_of(self, value: Column) -> Column:
-        """Bin of a value, corrected where rounding puts it beyond an edge."""
-        scaled = (value - F.lit(self.low)) / F.lit(self.high - self.low) * F.lit(float(self.count))
-        guess = F.least(F.floor(scaled).cast("int"), F.lit(self.count - 1))
-        down = (value < self.edge(guess)).cast("int")
-        up = ((value >= self.edge(guess + 1)) & (guess != self.count - 1)).cast("int")
-        return guess - down + up
+def _edge(index: Column) -> Column:
+    """Lower edge of a bin, from the columns low, high, step and bins."""
+    inner = index * F.col("step") + F.col("low")
+    return F.when(index >= F.col("bins"), F.col("high")).otherwise(inner)
+
+
+def _layout(df: DataFrame, found: dict[str, Bins]) -> DataFrame:
+    """column, low, high, step, bins: one row per column."""
+    rows = pa.Table.from_pylist(
+        [
+            {"column": n, "low": b.low, "high": b.high, "step": b.step, "bins": b.count}
+            for n, b in found.items()
+        ]
+    )
+    return df.sparkSession.createDataFrame(rows)
 
 
 def bins_of(df: DataFrame, bins: int | None = None) -> dict[str, Bins]:
@@ -136,22 +141,25 @@ def bins_from(
 
 
 def bin_counts(df: DataFrame, bins: dict[str, Bins]) -> DataFrame:
-    """Values per column and bin, for bins that have any; infinite values have none."""
+    """Values per column and bin, for bins that have any; infinite values have none.
+
+    Columns are stacked before their bins are found, so that the generated code has one
+    such expression, however wide the table is, and the JIT compiler takes it.
+    """
     fields = [f for f in numeric_fields(df) if f.name in bins]
-    values = {f.name: present(f).cast("double") for f in fields}
-    indexed = df.select(
-        *[
-            F.when(finite(values[f.name]), bins[f.name].index_of(values[f.name])).alias(f"b{i}")
-            for i, f in enumerate(fields)
-        ]
-    )
-    names = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f"b{i}"), F.lit(f.name))])
+    values = df.select(*[present(f).cast("double").alias(f.name) for f in fields])
+    stacked = values.unpivot([], [ref(f.name) for f in fields], "column", "value")
+    # A bin by its width, corrected where rounding puts the value beyond an edge.
+    scaled = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("bins").cast("double")
+    guess = F.least(F.floor(scaled), F.col("bins") - 1).cast("int")
+    down = (F.col("value") < _edge(F.col("guess"))).cast("int")
+    up = ((F.col("value") >= _edge(F.col("guess") + 1)) & (F.col("guess") != F.col("bins") - 1)).cast("int")
     return (
-        indexed.unpivot([], [f"b{i}" for i in range(len(fields))], "position", "bin")
-        .where("bin IS NOT NULL")
-        .groupBy("position", "bin")
+        stacked.where(finite(F.col("value")))
+        .join(F.broadcast(_layout(df, {f.name: bins[f.name] for f in fields})), "column")
+        .withColumn("guess", guess)
+        .groupBy("column", (F.col("guess") - down + up).alias("bin"))
         .count()
-        .select(names[F.col("position")].alias("column"), "bin", "count")
     )
 
 
@@ -160,14 +168,7 @@ def histogram(df: DataFrame, bins: int | None = None) -> DataFrame:
     found = bins_of(df, bins)
     if not found:
         raise ValueError("the table has no numeric values")
-    rows = pa.Table.from_pylist(
-        [
-            {"column": n, "low": b.low, "high": b.high, "step": b.step, "bins": b.count}
-            for n, b in found.items()
-        ]
-    )
-    layout = df.sparkSession.createDataFrame(rows)
-    blocks = layout.withColumn(
+    blocks = _layout(df, found).withColumn(
         "block", F.explode(F.expr(f"sequence(0, (bins - 1) div {_BINS_PER_BLOCK})"))
     )
     every_bin = blocks.withColumn(
@@ -180,15 +181,11 @@ def histogram(df: DataFrame, bins: int | None = None) -> DataFrame:
         ),
     )
 
-    def edge(index: Column) -> Column:
-        inner = index * F.col("step") + F.col("low")
-        return F.when(index >= F.col("bins"), F.col("high")).otherwise(inner)
-
     return every_bin.join(bin_counts(df, found), ["column", "bin"], "left").select(
         "column",
         "bin",
-        edge(F.col("bin")).alias("bin_start"),
-        edge(F.col("bin") + 1).alias("bin_end"),
+        _edge(F.col("bin")).alias("bin_start"),
+        _edge(F.col("bin") + 1).alias("bin_end"),
         F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
     )
 
