@@ -15,6 +15,7 @@ The chosen parts, a few per key, stay in Spark until the last one is found.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -81,10 +82,17 @@ def _stored(parts: DataFrame) -> tuple[DataFrame, int]:
     return stored, seen.get["n"]
 
 
-def quantile_table(stacked: DataFrame, shares: list[float], parts: int = PARTS) -> DataFrame:
+def quantile_table(
+    stacked: DataFrame,
+    shares: list[float],
+    parts: int = PARTS,
+    within: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """key, quantiles (an array, one per share), from rows (key, value).
 
     Keys without values are left out. Any number of keys; none needs to fit anywhere.
+    ``within`` gives the rows for a table (of, low, high) again, at least those between the
+    bounds of their key.
     """
     values = stacked.where(F.col("value").isNotNull())
     first = values.select("key", F.lit(0).cast("long").alias("segment"), "value", _octave_part(F.col("value")).alias("part"))
@@ -97,7 +105,8 @@ def quantile_table(stacked: DataFrame, shares: list[float], parts: int = PARTS)
     while left:
         opened = found.where(F.exists("ranks", _inner))
         bounds = opened.select(F.col("key").alias("of"), F.col("start").alias("segment"), "low", "high")
-        inside = values.join(
+        again = within(bounds).where(F.col("value").isNotNull()) if within else values
+        inside = again.join(
             bounds, F.col("key").eqNullSafe(F.col("of")) & F.col("value").between(F.col("low"), F.col("high"))
         )
         inside = inside.select("key", "segment", "value", _slice_part(F.col("value"), parts).alias("part"))
@@ -140,10 +149,17 @@ def exact_quantiles(
     none: list[float | None] = [None] * len(shares)
     if not values:
         return {}
-    cells = [
-        F.struct(F.lit(i).alias("key"), v.cast("double").alias("value"))
-        for i, v in enumerate(values.values())
-    ]
-    stacked = df.select(F.inline(F.array(*cells)))
-    found = {r["key"]: list(r["quantiles"]) for r in quantile_table(stacked, shares, parts).collect()}
+    numbers = {str(i): v.cast("double") for i, v in enumerate(values.values())}
+
+    def stacked(chosen: dict[str, Column]) -> DataFrame:
+        return df.select(*[v.alias(i) for i, v in chosen.items()]).unpivot([], list(chosen), "key", "value")
+
+    def within(bounds: DataFrame) -> DataFrame:
+        """Only columns that are still open, and of these what lies between the outer bounds."""
+        outer = bounds.groupBy("of").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+        ranges = {r["of"]: (r["low"], r["high"]) for r in outer}
+        return stacked({i: F.when(v.between(*ranges[i]), v) for i, v in numbers.items() if i in ranges})
+
+    table = quantile_table(stacked(numbers), shares, parts, within)
+    found = {int(r["key"]): list(r["quantiles"]) for r in table.collect()}
     return {name: found.get(i, none) for i, name in enumerate(values)}

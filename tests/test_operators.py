@@ -17,6 +17,7 @@ from tabgauge.operators import (
     accuracy, anomaly, clustering, completeness, consistency, distribution, near_rows, profile,
     relations, remediate, schema, timeliness, trend, uniqueness, validity,
 )
+from tabgauge.operators import quantiles
 from tabgauge.operators.quantiles import exact_quantiles
 
 
@@ -558,6 +559,44 @@ def test_pairs_of_long_rows_by_sketch(spark):
     assert candidates.count() < 3 * len(links)
 
 
+def test_bins_of_stacked_columns(spark):
+    """One expression finds the bins of all columns: the plan does not grow with their number."""
+    random = np.random.default_rng(8)
+    values = {f"a.{i}": random.normal(0, 10.0**i, 400) for i in range(6)}
+    values["a.3"][:3] = [np.inf, -np.inf, np.nan]
+    df = spark.createDataFrame(pd.DataFrame(values))
+    bins = distribution.bins_of(df, 7)
+    counted = distribution.bin_counts(df, bins)
+    found = {(r["column"], r["bin"]): r["count"] for r in counted.collect()}
+    for name, column in values.items():
+        kept = column[np.isfinite(column)]
+        expected = np.histogram(kept, 7)[0]
+        assert [found.get((name, b), 0) for b in range(7)] == expected.tolist()
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("CAST(FLOOR") + plan.upper().count("CAST(LEAST(FLOOR") <= 2
+
+
+def test_quantiles_read_only_open_columns_again(spark):
+    """What the first pass settles is not looked at again, nor what lies beyond the open parts."""
+    df = spark.range(20_000).select((F.col("id") % 3 * 1.0).alias("few"), (F.col("id") * 1.0).alias("many"))
+    seen = []
+    table = quantiles.quantile_table
+
+    def watched(stacked, shares, parts, within):
+        def again(bounds):
+            rows = within(bounds)
+            seen.append({r["key"]: r["n"] for r in rows.where("value is not null").groupBy("key").agg(F.count("*").alias("n")).collect()})
+            return rows
+
+        return table(stacked, shares, parts, again)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quantiles, "quantile_table", watched)
+        found = quantiles.exact_quantiles(df, {c: F.col(c) for c in df.columns}, [0.25, 0.5, 0.75])
+    assert found == {"few": [0.0, 1.0, 2.0], "many": [4999.75, 9999.5, 14999.25]}
+    assert list(seen[0]) == ["1"] and seen[0]["1"] < 11_000
+
+
 def test_planted_outliers_score_lowest(spark):
     random = np.random.default_rng(2)
     normal = random.normal(0, 1, (2000, 2))
