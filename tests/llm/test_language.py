@@ -1,6 +1,9 @@
 import zlib
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -62,6 +65,35 @@ def test_nothing_to_learn_from(spark):
     assert [tuple(r) for r in language.languages(table).collect()] == [(1, False, "und", 0.0, False)]
 
 
+def test_a_dictionary_serves_many_texts_in_turn(monkeypatch):
+    used = []
+
+    class Compressor:
+        def __init__(self, make=zstandard.ZstdCompressor, **options):
+            self.own = make(**options)
+
+        def compress(self, data):
+            used.append(id(self))
+            return self.own.compress(data)
+
+    words = {"a": "the quick brown fox ", "b": "der schnelle braune Fuchs ", "c": "le renard brun "}
+    texts = [None if k % 11 == 0 else "1 2" if k % 7 == 0 else words["abc"[k % 3]] * k for k in range(300)]
+    found = {lang: text.encode() * 9 for lang, text in words.items()}
+    sizes = language.Sizes(found)
+    expected = [
+        language.decided(sizes.of(t), list(found)) if language._has_letter(t) else ("und", 0.0, False) for t in texts
+    ]
+    monkeypatch.setattr(language.zstandard, "ZstdCompressor", Compressor)
+    monkeypatch.setattr(language, "TURN", 100_000)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(300)), pa.array([False] * 300), pa.array(texts, pa.string())], names=["doc_id", "held_out", "text"]
+    )
+    (rows,) = language._predicted(SimpleNamespace(value=found))([batch])
+    assert [tuple(r.values())[2:] for r in rows.to_pylist()] == expected
+    turns = sum(len(language._encoded(t or "")) for t in texts) // language.TURN + 1
+    assert sum(a != b for a, b in zip(used, used[1:])) < turns * len(found)
+
+
 @pytest.mark.parametrize("group", [1, 2])
 def test_groups_of_languages(spark, monkeypatch, group):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
