@@ -48,13 +48,13 @@ def bit_planes(ids: np.ndarray) -> list[bytes]:
 def from_bit_planes(planes: list[bytes], count: int) -> np.ndarray:
     if not planes:
         return np.zeros(count, np.uint32)
-    packed = np.frombuffer(b"".join(planes), np.uint8).reshape(len(planes), -1)
     # as many whole bytes as the planes need, two for most vocabularies
     size = next(n for n in (1, 2, 4) if 8 * n >= len(planes))
-    bits = np.zeros((8 * size, count), np.uint8)
-    bits[: len(planes)] = np.unpackbits(packed, axis=1, bitorder="little")[:, :count]
-    whole = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    return whole.reshape(-1).view(f"<u{size}").astype(np.uint32)
+    ids = np.zeros(count, f"<u{size}")
+    for k, plane in enumerate(planes):
+        bits = np.unpackbits(np.frombuffer(plane, np.uint8), count=count, bitorder="little")
+        ids |= bits.astype(ids.dtype) << ids.dtype.type(k)
+    return ids.astype(np.uint32)
 
 
 def byte_planes(ids: np.ndarray) -> list[bytes]:

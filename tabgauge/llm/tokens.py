@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 
 import public_tokenizers
 import regex
@@ -70,13 +71,19 @@ class Encoder:
             start = bare if self.drops or bare is piece else " " + bare
             if bare.isalpha():
                 return words[start]
-            if bare[:-1].isalpha() and bare[-1] in ",.":
-                return words[start[:-1]] + words[bare[-1]]
+            stem = bare.rstrip(string.punctuation)
+            if bare and not stem:
+                return words[start]
+            if stem.isalpha():  # and the marks after them are another
+                marks = bare[len(stem) :]
+                return words[start[: -len(marks)]] + words[marks]
             at = bare.find("\n")
             if not at and bare is piece and bare[1:].isalpha():
                 return words["\n"] + words[bare[1:]]
             if at > 0 and not self.drops:
                 return self.pieces[piece[: at - len(bare)]] + self.pieces[bare[at:]]
+            if self.drops and bare.isprintable():  # the normalizer would leave it as it is
+                return b"".join(map(words.__getitem__, self.split(bare)))
         if self.tokenizer.normalizer:
             piece = self.tokenizer.normalizer.normalize_str(piece)
         return b"".join(map(words.__getitem__, self.split(piece)))

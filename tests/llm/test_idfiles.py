@@ -1,4 +1,5 @@
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 from tabgauge.functions.checkpoints import scratch_path
 from tabgauge.llm import idfiles
+from tabgauge.llm.tokens import Encoder
 
 
 def expected(docs):
@@ -31,6 +33,42 @@ def test_planes_round_trip(kind, top, count):
     assert (idfiles.unshuffled(*idfiles.shuffled(ids * 0, kind), count, kind) == 0).all()
 
 
+def test_planes_are_joined_one_at_a_time():
+    ids = np.random.default_rng(1).integers(0, 49_408, idfiles.BLOCK, np.uint32)
+    planes = idfiles.bit_planes(ids)
+    tracemalloc.start()
+    try:
+        assert (idfiles.from_bit_planes(planes, len(ids)) == ids).all()
+        assert tracemalloc.get_traced_memory()[1] < 16 * len(ids)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_marks_after_words(name):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = True
+    marks = ["", ",", "...", "***", "!!", "'", "''s", "|", "’", "»", ".'", "\n", ".\nx", "\u00ad", "\x1c!", "\xa0?", "'s", "<|"]
+    words = ["", "word", "Éa", "İx", "ß", "don't", "x1", "51.72.", "(316", "東", "e\u0301", "__", "ﬀ", "ǅ", "'"]
+    encoder = Encoder(name)
+    for text in [f"{a}{word}{mark}{b}" for word in words for mark in marks for a, b in (("", ""), (" ", " z"), ("y ", "."), ("  ", "  "))]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
+def test_simple_pieces_are_neither_normalized_nor_split():
+    encoder = Encoder(idfiles.TOKENIZER)
+    split = []
+    encoder.split = lambda piece, own=encoder.split: split.append(piece) or own(piece)
+    encoder.tokenizer = None  # no normalizer
+    texts = [" ".join(f"{chr(97 + a)}Ö{chr(97 + b)}{mark}" for a in range(26) for b in range(26)) for mark in ("***", ".!!", "$", "'")]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(idfiles.TOKENIZER))
+    for text in texts + ["| -- ***", "(316) 51.72"]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    assert split == ["(316)", "51.72"]
+
+
 def test_documents_round_trip(spark, monkeypatch):
     monkeypatch.setattr(idfiles, "PARTITION_BYTES", 200_000)
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
