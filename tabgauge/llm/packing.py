@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.checkpoints import settled
 from tabgauge.llm.tokens import encoder
+from tabgauge.llm.workers import thrifty
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -33,6 +34,7 @@ _LEAST_GROUPS = 64
 def _pieces(name: str, end: int, length: int, ids: bool):
     """A function for mapInArrow from (doc_id, text) to pieces."""
 
+    @thrifty
     def cut(batches):
         encode = encoder(name).encode
         width = 4 * length
@@ -154,6 +156,7 @@ class Places:
 def _placed(places):
     """A function for mapInArrow that gives numbered pieces their sequence and offset."""
 
+    @thrifty
     def placed(batches):
         for batch in batches:
             length, number = (batch.column(c).to_numpy() for c in ("length", "number"))
