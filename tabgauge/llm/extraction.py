@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabgauge.functions.checkpoints import settled
 from tabgauge.llm.html_dom import MEANINGS, Forest, Page, log_chances
 from tabgauge.llm.html_layouts import Layouts
 
@@ -165,6 +166,19 @@ def _sampled_pages(pages: DataFrame) -> list[tuple[Page, np.ndarray, np.ndarray]
 
 def fitted(spark: SparkSession, pages: DataFrame) -> Trees:
     """Boosted trees for the pages of a table (html)."""
+    # one part of a bounded sample, so that the trees do not depend on the number of cores
+    table = settled(_learned_from(spark, pages)).coalesce(1)
+    table = table.select(array_to_vector("features").alias("features"), "label")
+    boosted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=64)
+    return Trees(boosted.fit(table))
+
+
+def _learned_from(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """features and label of each node to learn from, in one part.
+
+    These are rows of the driver, which would go out again with every task of the fit;
+    it reads them from the shared folder instead.
+    """
     rng = random.Random(SEED)
     examples = list(_examples(_layout_pages() + _sampled_pages(pages), rng))
     features = np.concatenate([f for f, _ in examples])
@@ -172,11 +186,7 @@ def fitted(spark: SparkSession, pages: DataFrame) -> Trees:
         "features": pa.FixedSizeListArray.from_arrays(pa.array(features.ravel()), features.shape[1]).cast(pa.list_(pa.float32())),
         "label": pa.array(np.concatenate([labels for _, labels in examples]).astype(np.float64)),
     }
-    table = spark.createDataFrame(pa.table(columns)).coalesce(1)
-    # one part of a bounded sample, so that the trees do not depend on the number of cores
-    table = table.select(array_to_vector("features").alias("features"), "label")
-    boosted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=64)
-    return Trees(boosted.fit(table))
+    return spark.createDataFrame(pa.table(columns)).coalesce(1)
 
 
 _EXTRACTED = "page_id long, url string, text string, n_chars long"

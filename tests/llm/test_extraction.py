@@ -152,3 +152,22 @@ def test_edges(spark, trees):
     assert len(found) == len(rows)
     assert all(r.n_chars == len(r.text) for r in found)
     assert extraction.extract(table.limit(0)).collect() == []
+
+
+def test_tasks_of_the_fit_do_not_carry_the_rows_to_learn_from(spark, pages, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(self, table):
+        raise Seen(table)
+
+    monkeypatch.setattr(extraction, "LAYOUTS", 5)
+    monkeypatch.setattr(extraction.GBTClassifier, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        extraction.fitted(spark, pages)
+    table = seen.value.args[0]
+    plan = table._jdf.queryExecution().toString()
+    assert "LocalTableScan" not in plan and "LocalRelation" not in plan
+    assert table.rdd.getNumPartitions() == 1
+    before = extraction._learned_from(spark, pages).collect()
+    assert [(r.features.toArray().tolist(), r.label) for r in table.collect()] == [tuple(r[:2]) for r in before]
