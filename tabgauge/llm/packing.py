@@ -36,12 +36,12 @@ def _pieces(name: str, end: int, length: int, ids: bool):
 
     @thrifty
     def cut(batches):
-        encode = encoder(name).encode
+        encode_all = encoder(name).encode_all
         width = 4 * length
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data = encode(text or "") + end.to_bytes(4, "little")
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text"))):
+                data += end.to_bytes(4, "little")
                 first = len(data) % width or width
                 starts = [0, *range(first, len(data), width)]
                 for piece, (start, stop) in enumerate(zip(starts, [*starts[1:], len(data)])):

@@ -4,11 +4,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tabgauge.llm import packing
-from tabgauge.llm.tokens import encoder
+from tabgauge.llm import idfiles, packing, tokens
+from tabgauge.llm.tokens import Encoder, encoder
 
 ALPHABET = list(" \n\t\r\x0b\x0c\x1c\x85\xa0 　abcXYZé'sİΣσßﬁ①1234٣²!?.,-_<|>&$") + [
     "́", "東京", "🙂", "'ll", "<|endoftext|>", "​", "﻿", "\x00", "Å", "が", "  ", "the ",
@@ -36,6 +37,38 @@ def test_ids_are_those_of_the_library(spark, library, name):
         assert encoder(name).encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_many_texts_have_the_ids_of_the_library(library, monkeypatch, name):
+    monkeypatch.setattr(tokens, "_TOGETHER", 3000)
+    monkeypatch.setattr(tokens, "_HELD", 5000)
+    rng = random.Random(3)
+    few = list(" \n\n abcX'.,!1é\r\t") + ["'s", "\u0301", "the"]
+    texts = ["".join(rng.choices(kind, k=rng.randint(0, 40))) for kind in (ALPHABET, few) for _ in range(4000)]
+    texts += ["one  run", "\n\n", " ", "", None, "long " * 5000, "x" * 5000, "a\r\nb", "\nA\n", "a \n"]
+    encode_all = Encoder(name).encode_all
+    wanted = [library[name].encode(text or "", add_special_tokens=False).ids for text in texts]
+    wanted = [struct.pack(f"<{len(ids)}I", *ids) for ids in wanted]
+    array = pa.array(texts)
+    assert list(encode_all(array)) == wanted
+    assert list(encode_all(array[77:])) == wanted[77:]  # known parts, another offset
+    assert list(encode_all(array[-10:-8])) == wanted[-10:-8]  # runs only
+    assert list(encode_all(array[-7:-5])) == [b"", b""] and list(encode_all(array[:0])) == []
+
+
+@pytest.mark.parametrize("operator", [packing])
+def test_each_different_piece_is_encoded_once(monkeypatch, operator):
+    seen = []
+    own = Encoder._piece
+    monkeypatch.setattr(Encoder, "_piece", lambda self, piece: seen.append(piece) or own(self, piece))
+    monkeypatch.setattr(tokens, "_KNOWN", 0)
+    monkeypatch.setattr(tokens, "_encoders", {})
+    texts = [" ".join(f"word{chr(97 + (i + k) % 7)}" for k in range(50)) for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"part": [0] * 100, "doc_id": list(range(100)), "text": texts})
+    function = packing._pieces(packing.TOKENIZER, 0, 2048, False) if operator is packing else idfiles._chunked(idfiles.TOKENIZER, 2, "bit")
+    assert sum(len(b) for b in function([batch])) > 0
+    assert len(seen) <= 7 + 100  # and the first word of each text, which has no space before it
+
+
 def check(rows, docs, library):
     """Every id of every document is in one place, and no place is used twice or left out."""
     tokenizer = library["byte_bpe_50k.json"]
