@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.checkpoints import scratch_path
 from tabgauge.llm.tokens import encoder
+from tabgauge.llm.workers import few_rows, thrifty
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -30,6 +31,8 @@ CHUNK = 1 << 18
 LEVEL = 3
 #: Documents' texts of about so many bytes make a range partition.
 PARTITION_BYTES = 32 << 20
+#: Rows that a task hands to Python at once.
+ROWS = 2000
 
 _CHUNKS = (
     "part int, chunk int, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -100,8 +103,9 @@ def unshuffled(widths: list[int], planes: list[bytes], count: int, kind: str) ->
 def _chunked(name: str, end: int, kind: str):
     """A function for mapInArrow from ordered (part, doc_id, text) to chunks."""
 
+    @thrifty
     def chunked(batches):
-        encode = encoder(name).encode
+        encode_all = encoder(name).encode_all
         numbers: dict[int, int] = {}
         part, held, size = None, [], 0
 
@@ -123,13 +127,13 @@ def _chunked(name: str, end: int, kind: str):
             return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("part", "doc_id", "text"))
-            for here, doc_id, text in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("part", "doc_id"))
+            for here, doc_id, data in zip(*columns, encode_all(batch.column("text"))):
                 if held and (here != part or size >= CHUNK):
                     yield chunk()
                     held, size = [], 0
                 part = here
-                data = encode(text or "") + end.to_bytes(4, "little")
+                data += end.to_bytes(4, "little")
                 held.append((doc_id, data))
                 size += len(data) // 4
         if held:
@@ -170,8 +174,8 @@ def write(
     ordered = ordered.repartitionByRange(count, "doc_id", "same").sortWithinPartitions("doc_id", "same")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     chunks = ordered.mapInArrow(_chunked(name, end, kind), _CHUNKS)
-    # planes are compressed already
-    chunks.write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    with few_rows(docs.sparkSession, ROWS):  # planes are compressed already
+        chunks.write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     stored = docs.sparkSession.read.schema(_CHUNKS).parquet(f"{path}/chunks")
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -55,7 +55,7 @@ def test_many_texts_have_the_ids_of_the_library(library, monkeypatch, name):
     assert list(encode_all(array[-7:-5])) == [b"", b""] and list(encode_all(array[:0])) == []
 
 
-@pytest.mark.parametrize("operator", [packing])
+@pytest.mark.parametrize("operator", [packing, idfiles])
 def test_each_different_piece_is_encoded_once(monkeypatch, operator):
     seen = []
     own = Encoder._piece
