@@ -1,6 +1,7 @@
 """Operators on small tables whose results are known."""
 
 import math
+import time
 from datetime import date, datetime
 
 import numpy as np
@@ -559,6 +560,65 @@ def test_pairs_of_long_rows_by_sketch(spark):
     assert candidates.count() < 3 * len(links)
 
 
+def near_families(random, families, size, words):
+    """Texts that are drawn anew or from their neighbour, some of them parts of it."""
+    rows = []
+    for i in range(families * size):
+        if i % size:
+            held = rows[-1][1].split()
+            held = held[int(random.integers(0, 1 + len(held) // 6)) :] + [f"v{random.integers(0, 40)}" for _ in range(3)]
+        else:
+            held = [f"w{v}" for v in random.choice(3 * words, words, replace=False)]
+        rows.append((i, " ".join(held)))
+    return rows
+
+
+def test_pairs_of_long_rows_in_rounds_and_cells(spark, monkeypatch):
+    """Postings and whole sets are dealt out in rounds, long sets meet by many tokens: no pair is lost."""
+    for name, value in {"ROUND": 2000, "LONGER": 40, "BLOCK": 300, "VERIFIED": 6000, "SLOTS": 256, "TURN": 100}.items():
+        monkeypatch.setattr(near_rows, name, value)
+    rows = near_families(np.random.default_rng(9), 24, 7, 70)
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    found = {(r[0], r[1], round(r[2], 9)) for r in near_rows.near_row_links(df, "k", ["t"], 65).collect()}
+    assert found == brute_near_rows(rows, 65) and len(found) > 20
+
+
+def test_long_rows_that_share_rare_words_are_not_fetched(spark, monkeypatch):
+    """Sets too long for their sketch have to meet by many tokens before any are fetched."""
+    monkeypatch.setattr(near_rows, "LONGER", 700)
+    random = np.random.default_rng(11)
+    words = [[f"w{v}" for v in random.choice(12000, 1500, replace=False)] for _ in range(30)]
+    rows = [(i, " ".join(held + [f"often{v}" for v in random.choice(3000, 2500, replace=False)])) for i, held in enumerate(words)]
+    rows += [(100 + i, rows[i][1] + " x y z") for i in range(3)]
+    classes = near_rows._classes(near_rows._sets(spark.createDataFrame(rows, "k long, t string"), "k", ["t"], None))
+    pairs = near_rows._long_pairs(classes, near_rows._posted(classes, 70), 70)
+    tables = [spark.read.parquet(f.rsplit("/", 1)[0]) for f in pairs.inputFiles()]
+    assert {(r["key_a"], r["key_b"]) for r in pairs.collect()} == {(i, 100 + i) for i in range(3)}
+    assert all(t.count() < 30 for t in tables if "id_b" in t.columns)
+
+
+def test_near_rows_leave_little_on_disk(spark):
+    """On disk is a row for each class, not for each posting, and of shuffles no more than some sums."""
+    rows = near_families(np.random.default_rng(3), 10, 6, 90)
+    df = spark.createDataFrame(rows, "k long, t string")
+    classes = near_rows._classes(near_rows._sets(df, "k", ["t"], None))
+    posted = near_rows._posted(classes, 70)
+    assert sum(spark.read.parquet(f).count() for f in posted.inputFiles()) <= len(rows) < posted.count()
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def stored():
+        files = blocks.getAllFiles()
+        return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before = stored()
+    pairs = near_rows._long_pairs(classes, posted, 70)
+    deadline = time.time() + 20
+    while (kept := sum(size for f, size in stored().items() if f not in before)) > 2000 and time.time() < deadline:
+        time.sleep(0.2)
+    assert kept <= 2000
+    assert {(min(r["key_a"], r["key_b"]), max(r["key_a"], r["key_b"])) for r in pairs.collect()} == {r[:2] for r in brute_near_rows(rows, 70)}
+
+
 def test_bins_of_stacked_columns(spark):
     """One expression finds the bins of all columns: the plan does not grow with their number."""
     random = np.random.default_rng(8)
